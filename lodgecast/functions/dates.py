@@ -21,12 +21,11 @@ SHAPES = {
 }
 
 
-def parse_date(text: Column) -> Column:
+def parse_date(column: str) -> Column:
     """Date of a mixed-format string, null when it is none. Day first only if month first fails."""
-    trimmed = F.trim(text)
-    parsed = None
+    text = f"trim(`{column}`)"
+    branches = []
     for shape, formats in SHAPES.items():
-        attempt = F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(f)) for f in formats])
-        test = trimmed.rlike(shape)
-        parsed = F.when(test, attempt) if parsed is None else parsed.when(test, attempt)
-    return parsed.cast("date")
+        attempts = ", ".join(f'try_to_date({text}, "{f}")' for f in formats)
+        branches.append(f"WHEN {text} RLIKE r'{shape}' THEN coalesce({attempts})")
+    return F.expr(f"CASE {' '.join(branches)} END")

@@ -64,19 +64,24 @@ def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
     return {c: found.get(c) for c in columns}
 
 
+def _batch_values(df: DataFrame, approx: bool = False) -> dict:
+    numeric, strings = _present(df, NUMERIC_COLUMNS), _present(df, STRING_COLUMNS)
+    return {**medians(with_double_numbers(df), numeric, approx), **modes(df, strings)}
+
+
 def imputation_stats(df: DataFrame, approx: bool = False) -> DataFrame:
     """One row: the median of each numeric column and the mode of each string column.
 
     ``df`` is read a few times; pass a file scan or a stored frame.
     """
-    numeric, strings = _present(df, NUMERIC_COLUMNS), _present(df, STRING_COLUMNS)
-    numbers = with_double_numbers(df)
-    values = {**medians(numbers, numeric, approx), **modes(df, strings)}
+    values = _batch_values(df, approx)
     schema = T.StructType(
-        [T.StructField(n, T.DoubleType()) for n in numeric]
-        + [T.StructField(n, T.StringType()) for n in strings]
+        [
+            T.StructField(n, T.DoubleType() if n in NUMERIC_COLUMNS else T.StringType())
+            for n in values
+        ]
     )
-    return df.sparkSession.createDataFrame([tuple(values[f.name] for f in schema)], schema)
+    return df.sparkSession.createDataFrame([tuple(values.values())], schema)
 
 
 def _fill(df: DataFrame, values: dict) -> DataFrame:
@@ -101,8 +106,7 @@ def impute_mode(df: DataFrame, columns: Sequence[str], stats: DataFrame | None =
 
 def impute(df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """Median and mode filling of every booking column present."""
-    stats = imputation_stats(df) if stats is None else stats
-    values = stats.first().asDict()
+    values = _batch_values(df) if stats is None else stats.first().asDict()
     return _fill(with_double_numbers(df), {n: v for n, v in values.items() if n in df.columns})
 
 
@@ -144,12 +148,12 @@ def encode_label(df: DataFrame) -> DataFrame:
 
 def parse_reservation_date(df: DataFrame) -> DataFrame:
     """Add ``reservation_date`` from the date string."""
-    return df.withColumn("reservation_date", parse_date(F.col(DATE)))
+    return df.withColumn("reservation_date", parse_date(DATE))
 
 
 def count_invalid_dates(df: DataFrame) -> DataFrame:
     """Rows whose (filled) date string cannot be read."""
-    return df.agg(F.count_if(parse_date(F.col(DATE)).isNull()).alias("invalid_dates_count"))
+    return df.agg(F.count_if(parse_date(DATE).isNull()).alias("invalid_dates_count"))
 
 
 def booking_features(df: DataFrame) -> DataFrame:
@@ -191,7 +195,7 @@ def preprocess_summary(
     filled: DataFrame, processed_columns: Sequence[str], is_training: bool
 ) -> DataFrame:
     """One row of shapes and counts, from one pass over the duplicate groups."""
-    groups = _copies(filled).withColumn("_bad", parse_date(F.col(DATE)).isNull())
+    groups = _copies(filled).withColumn("_bad", parse_date(DATE).isNull())
     weight = F.lit(1).cast("long") if is_training else F.col("copies")
     added = sorted(set(processed_columns) - set(filled.columns))
     removed = sorted(set(filled.columns) - set(processed_columns))

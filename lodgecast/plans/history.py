@@ -26,15 +26,13 @@ def earlier_totals(
     Rows are ordered by ``moment`` then ``tie_break``. ``lookup`` (one row per ``key``) is
     joined at the day level, where a hot key has few rows, instead of on the rows themselves.
     """
-    dated = df.withColumn("_day", F.to_date(moment))
-    for name, value in totals.items():
-        dated = dated.withColumn(f"_one_{name}", value)
+    dated = df.withColumns(
+        {"_day": F.to_date(moment), **{f"_one_{n}": value for n, value in totals.items()}}
+    )
     days = dated.groupBy(key, "_day").agg(*[F.sum(f"_one_{n}").alias(f"_sum_{n}") for n in totals])
     before_day = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     days = days.select(
-        key,
-        "_day",
-        *[F.coalesce(F.sum(f"_sum_{n}").over(before_day), F.lit(0)).alias(f"_days_{n}") for n in totals],
+        key, "_day", *[F.sum(f"_sum_{n}").over(before_day).alias(f"_days_{n}") for n in totals]
     )
     if lookup is not None:
         days = days.join(lookup, key)
@@ -43,10 +41,15 @@ def earlier_totals(
         .orderBy(moment, *tie_break)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    joined = dated.withColumns(
-        {f"_day_{n}": F.coalesce(F.sum(f"_one_{n}").over(in_day), F.lit(0)) for n in totals}
-    ).join(days, [key, "_day"])
-    helpers = ["_day", *[f"{p}_{n}" for n in totals for p in ("_one", "_days", "_day")]]
-    return joined.withColumns(
-        {n: F.col(f"_days_{n}") + F.col(f"_day_{n}") for n in totals}
-    ).drop(*helpers)
+    placed = dated.select(
+        "*", *[F.sum(f"_one_{n}").over(in_day).alias(f"_rows_{n}") for n in totals]
+    )
+    kept = [*df.columns, *([c for c in lookup.columns if c != key] if lookup is not None else [])]
+    none = F.lit(0)
+    return placed.join(days, [key, "_day"]).select(
+        *kept,
+        *[
+            (F.coalesce(f"_days_{n}", none) + F.coalesce(f"_rows_{n}", none)).alias(n)
+            for n in totals
+        ],
+    )

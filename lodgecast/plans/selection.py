@@ -155,21 +155,37 @@ def _read_off_one_type(df: DataFrame, targets: list[_Target]) -> dict[tuple[str,
 def exact_quantiles(
     df: DataFrame, columns: list[str], shares: list[float], limit: int = CANDIDATES
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles of numeric columns; ``None`` for a column without values."""
+    """Linearly interpolated quantiles of numeric columns; ``None`` for a column without values.
+
+    Columns counted to hold at most ``limit`` values use Spark's ``percentile``, which keeps
+    them in one task; larger ones go through :func:`order_statistics`.
+    """
     counts = count_values(df, columns)
-    plan: dict[str, list[tuple[int, int, float]]] = {}
-    for column in columns:
-        if counts[column]:
-            spots = [share * (counts[column] - 1) for share in shares]
-            plan[column] = [(int(s), min(int(s) + 1, counts[column] - 1), s - int(s)) for s in spots]
-    wanted = {c: sorted({i for low, high, _ in p for i in (low, high)}) for c, p in plan.items()}
-    value = order_statistics(df, wanted, counts, limit)
+    found: dict[str, list[float | None]] = {c: [None] * len(shares) for c in columns}
+    small = [c for c in columns if 0 < counts[c] <= limit]
+    if small:
+        row = df.agg(*[F.percentile(c, F.array(*map(F.lit, shares))).alias(c) for c in small]).first()
+        found.update({c: list(row[c]) for c in small})
+    large = [c for c in columns if counts[c] > limit]
+    if large:
+        found.update(_large_quantiles(df, large, shares, counts, limit))
+    return found
+
+
+def _large_quantiles(
+    df: DataFrame, columns: list[str], shares: list[float], counts: dict[str, int], limit: int
+) -> dict[str, list[float | None]]:
+    places = {c: [share * (counts[c] - 1) for share in shares] for c in columns}
+    neighbours = {
+        c: [(int(p), min(int(p) + 1, counts[c] - 1), p - int(p)) for p in spots]
+        for c, spots in places.items()
+    }
+    wanted = {c: sorted({i for a, b, _ in n for i in (a, b)}) for c, n in neighbours.items()}
+    at = order_statistics(df, wanted, counts, limit)
     return {
-        column: [
-            float(value[column, low]) + (float(value[column, high]) - float(value[column, low])) * part
-            for low, high, part in plan[column]
+        c: [
+            float(at[c, a]) if at[c, a] == at[c, b] else (1 - part) * at[c, a] + part * at[c, b]
+            for a, b, part in n
         ]
-        if column in plan
-        else [None] * len(shares)
-        for column in columns
+        for c, n in neighbours.items()
     }

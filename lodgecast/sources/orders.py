@@ -6,7 +6,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodgecast.plans.history import earlier_totals
-from lodgecast.schemas import booking_schema
+
+
+# Canonical column -> expression over orders, customer and line counts.
+_BOOKING = {
+    "booking_id": (
+        "explode(if(o_orderkey % 40 = 11, array('INN' || o_orderkey, 'INN' || o_orderkey || 'D'), "
+        "array('INN' || o_orderkey)))"
+    ),
+    "number_of_adults": "int(1 + o_custkey % 3)",
+    "number_of_children": "int(o_custkey % 4 % 3)",
+    "number_of_weekend_nights": "int(coalesce(weekend, 0))",
+    "number_of_week_nights": "int(coalesce(week, 0))",
+    "type_of_meal": (
+        "CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN NULL "
+        "WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'Meal Plan 1' "
+        "WHEN o_orderpriority = '3-MEDIUM' THEN 'Meal Plan 2' ELSE 'Not Selected' END"
+    ),
+    "car_parking_space": "int(c_acctbal > 8000)",
+    "room_type": "'Room_Type ' || (1 + c_nationkey % 7)",
+    "lead_time": "int((o_orderkey * 37) % 365)",
+    "market_segment_type": "c_mktsegment",
+    "repeated": "int(canceled_before + kept_before > 0)",
+    "previous_cancellations": "int(canceled_before)",
+    "previous_not_canceled": "int(kept_before)",
+    "average_price": "if(o_orderkey % 50 = 7, NULL, o_totalprice / 1000)",
+    "special_requests": "int((o_orderkey * 13) % 6)",
+    "date_of_reservation": (
+        "CASE WHEN o_orderkey % 97 = 5 THEN '2018-2-29' WHEN o_orderkey % 89 = 3 THEN NULL "
+        "WHEN o_orderkey % 2 = 0 "
+        "THEN month(o_orderdate) || '/' || day(o_orderdate) || '/' || year(o_orderdate) "
+        "ELSE substr(string(o_orderdate), 1, 10) END"
+    ),
+    "booking_status": "CASE o_orderstatus WHEN 'F' THEN 'Canceled' WHEN 'O' THEN 'Not_Canceled' END",
+}
 
 
 def bookings_from_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,45 +73,7 @@ def bookings_from_orders(spark: SparkSession, folder: str) -> DataFrame:
         lookup=customers,
     ).join(lines, "o_orderkey", "left")
 
-    k, customer = F.col("o_orderkey"), F.col("o_custkey")
-    booking_id = F.concat(F.lit("INN"), k.cast("string"))
-    copies = F.when(k % 40 == 11, F.array(booking_id, F.concat(booking_id, F.lit("D"))))
-    day = F.col("o_orderdate")
-    slashed = F.concat_ws("/", F.month(day), F.dayofmonth(day), F.year(day))
-    iso = F.substring(day.cast("string"), 1, 10)
-    priority = F.col("o_orderpriority")
-    values = {
-        "booking_id": F.explode(F.coalesce(copies, F.array(booking_id))),
-        "number_of_adults": 1 + customer % 3,
-        "number_of_children": customer % 4 % 3,
-        "number_of_weekend_nights": F.coalesce("weekend", F.lit(0)),
-        "number_of_week_nights": F.coalesce("week", F.lit(0)),
-        "type_of_meal": F.when(priority == "4-NOT SPECIFIED", None)
-        .when(priority.isin("1-URGENT", "2-HIGH"), "Meal Plan 1")
-        .when(priority == "3-MEDIUM", "Meal Plan 2")
-        .otherwise("Not Selected"),
-        "car_parking_space": (F.col("c_acctbal") > 8000).cast("int"),
-        "room_type": F.concat(F.lit("Room_Type "), (1 + F.col("c_nationkey") % 7).cast("string")),
-        "lead_time": (k * 37) % 365,
-        "market_segment_type": F.col("c_mktsegment"),
-        "repeated": (F.col("canceled_before") + F.col("kept_before") > 0).cast("int"),
-        "previous_cancellations": F.col("canceled_before"),
-        "previous_not_canceled": F.col("kept_before"),
-        "average_price": F.when(k % 50 != 7, F.col("o_totalprice") / 1000),
-        "special_requests": (k * 13) % 6,
-        "date_of_reservation": F.when(k % 97 == 5, "2018-2-29")
-        .when(k % 89 == 3, None)
-        .when(k % 2 == 0, slashed)
-        .otherwise(iso),
-        "booking_status": F.when(status == "F", "Canceled").when(status == "O", "Not_Canceled"),
-    }
-    kinds = {f.name: f.dataType for f in booking_schema()}
-    return placed.select(
-        *[
-            value.alias(name) if name == "booking_id" else value.cast(kinds[name]).alias(name)
-            for name, value in values.items()
-        ]
-    )
+    return placed.selectExpr(*[f"{value} AS {name}" for name, value in _BOOKING.items()])
 
 
 def labelled_bookings(bookings: DataFrame) -> DataFrame:

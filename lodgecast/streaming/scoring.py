@@ -32,7 +32,7 @@ def request_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -
 
 def _features(bookings: DataFrame, stats: DataFrame | None) -> DataFrame:
     filled = bookings if stats is None else impute(bookings, stats)
-    dated = drop_invalid_dates(filled.withColumn("reservation_date", parse_date(F.col(DATE))))
+    dated = drop_invalid_dates(filled.withColumn("reservation_date", parse_date(DATE)))
     return booking_features(dated)
 
 
@@ -84,7 +84,7 @@ def stream_score_requests(
         target = f"{output}/batch_id={batch_id}"
         scores.write.mode("overwrite").parquet(target)
         if metrics_table is not None:
-            unread = parse_date(F.col(DATE)).isNull()
+            unread = parse_date(DATE).isNull()
             counts = valid.agg(
                 F.count(F.lit(1)).alias("records_before"),
                 F.count_if(~unread).alias("records_after"),

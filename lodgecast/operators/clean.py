@@ -17,7 +17,16 @@ from lodgecast.functions.dates import parse_date
 from lodgecast.functions.features import feature_columns
 from lodgecast.operators.validate import drop_invalid_dates
 from lodgecast.plans.selection import CANDIDATES, exact_quantiles
-from lodgecast.schemas import DATE, DERIVED_COLUMNS, ID, LABEL, NUMERIC_COLUMNS, STRING_COLUMNS
+from lodgecast.plans.storage import stored
+from lodgecast.schemas import (
+    DATE,
+    DERIVED_COLUMNS,
+    ID,
+    LABEL,
+    NUMERIC_COLUMNS,
+    POSITION,
+    STRING_COLUMNS,
+)
 
 
 def _present(df: DataFrame, names: Sequence[str]) -> list[str]:
@@ -110,17 +119,20 @@ def impute(df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     return _fill(with_double_numbers(df), {n: v for n, v in values.items() if n in df.columns})
 
 
-def _copies(df: DataFrame, order_col: str | None = None) -> DataFrame:
-    """One row per group of rows equal in all but the id, with ``copies`` and the kept id.
+def _copies(df: DataFrame) -> DataFrame:
+    """One row per group of rows equal in all but id and position, with ``copies``.
 
-    Grouping is null-safe and combined before the shuffle, so a large group costs one row per
-    task.
+    The kept id is the one at the first input position if that column is there, otherwise the
+    smallest. Grouping is null-safe and combined before the shuffle, so a large group costs one
+    row per task.
     """
-    content = [c for c in df.columns if c not in (ID, order_col)]
+    content = [c for c in df.columns if c not in (ID, POSITION)]
     kept = []
+    if POSITION in df.columns:
+        kept.append(F.min(POSITION).alias(POSITION))
     if ID in df.columns:
-        first = F.min(ID) if order_col is None else F.min(F.struct(order_col, ID)).getField(ID)
-        kept = [first.alias(ID)]
+        first = F.min(F.struct(POSITION, ID)).getField(ID) if POSITION in df.columns else F.min(ID)
+        kept.append(first.alias(ID))
     return df.groupBy(*content).agg(*kept, F.count(F.lit(1)).alias("copies"))
 
 
@@ -131,10 +143,9 @@ def count_duplicates(df: DataFrame) -> DataFrame:
     )
 
 
-def dedupe_bookings(df: DataFrame, order_col: str | None = None) -> DataFrame:
-    """One row per duplicate group: the smallest id, or the first by ``order_col`` (dropped)."""
-    columns = [c for c in df.columns if c != order_col]
-    return _copies(df, order_col).select(*columns)
+def dedupe_bookings(df: DataFrame) -> DataFrame:
+    """One row per duplicate group: the first by input position, else the smallest id."""
+    return _copies(df).select(*df.columns)
 
 
 def label_number(label: Column) -> Column:
@@ -171,36 +182,46 @@ class Cleaned:
 
 
 def preprocess_bookings(
-    df: DataFrame, is_training: bool = True, stats: DataFrame | None = None
+    df: DataFrame,
+    is_training: bool = True,
+    stats: DataFrame | None = None,
+    store_groups: bool = False,
 ) -> Cleaned:
     """Clean and derive features. Training also drops duplicates and maps the label.
 
     Without ``stats`` missing cells are filled from the batch's own statistics. ``rejected``
-    holds the rows whose date cannot be read. The date column leaves; the id stays, last.
+    holds the rows whose date cannot be read. The date column leaves; the id stays, last, as
+    does an input position. ``store_groups`` writes the duplicate groups once, for callers that
+    read several of the results.
     """
     filled = impute(df, stats)
-    kept = dedupe_bookings(filled) if is_training else filled
+    groups = _copies(filled)
+    if store_groups:
+        groups = stored(groups, "duplicate-groups")
+    kept = groups.drop("copies") if is_training else filled
     if LABEL in kept.columns:
         kept = encode_label(kept)
     dated = parse_reservation_date(kept)
-    columns = [c for c in filled.columns if c not in (ID, DATE)] + DERIVED_COLUMNS
-    if ID in filled.columns:
-        columns.append(ID)
-    frame = booking_features(drop_invalid_dates(dated)).select(*columns)
+    carried = [c for c in (ID, POSITION) if c in filled.columns]
+    content = [c for c in filled.columns if c not in (DATE, *carried)]
+    frame = booking_features(drop_invalid_dates(dated)).select(*content, *DERIVED_COLUMNS, *carried)
     rejected = dated.filter(F.col("reservation_date").isNull()).drop("reservation_date")
-    return Cleaned(frame, rejected, preprocess_summary(filled, columns, is_training))
+    before = [c for c in filled.columns if c != POSITION]
+    after = [c for c in frame.columns if c != POSITION]
+    return Cleaned(frame, rejected, preprocess_summary(groups, before, after, is_training))
 
 
 def preprocess_summary(
-    filled: DataFrame, processed_columns: Sequence[str], is_training: bool
+    groups: DataFrame, before: Sequence[str], after: Sequence[str], is_training: bool
 ) -> DataFrame:
     """One row of shapes and counts, from one pass over the duplicate groups."""
-    groups = _copies(filled).withColumn("_bad", parse_date(DATE).isNull())
+    marked = groups.withColumn("_bad", parse_date(DATE).isNull())
     weight = F.lit(1).cast("long") if is_training else F.col("copies")
-    added = sorted(set(processed_columns) - set(filled.columns))
-    removed = sorted(set(filled.columns) - set(processed_columns))
-    total = lambda value: F.coalesce(F.sum(value), F.lit(0).cast("long"))
-    counted = groups.agg(
+
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(value), F.lit(0).cast("long"))
+
+    counted = marked.agg(
         total(F.col("copies")).alias("records_before"),
         total(F.when(~F.col("_bad"), weight)).alias("records_after"),
         total(F.col("copies") - 1).alias("duplicates_count"),
@@ -208,11 +229,15 @@ def preprocess_summary(
     )
     return counted.select(
         "records_before",
-        F.lit(len(filled.columns)).alias("columns_before"),
+        F.lit(len(before)).alias("columns_before"),
         "records_after",
-        F.lit(len(processed_columns)).alias("columns_after"),
+        F.lit(len(after)).alias("columns_after"),
         "duplicates_count",
         "invalid_dates_count",
-        F.array(*[F.lit(c) for c in added]).alias("added_features"),
-        F.array(*[F.lit(c) for c in removed]).alias("removed_features"),
+        _names(set(after) - set(before)).alias("added_features"),
+        _names(set(before) - set(after)).alias("removed_features"),
     )
+
+
+def _names(names: set[str]) -> Column:
+    return F.array(*[F.lit(n) for n in sorted(names)])

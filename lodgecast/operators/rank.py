@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodgecast.functions import scoring as S
 from lodgecast.plans.numbering import number_rows
-from lodgecast.schemas import HIGH_RISK_THRESHOLD, ID, RISK_SHARE, SCORE_COLUMNS
+from lodgecast.schemas import HIGH_RISK_THRESHOLD, ID, POSITION, RISK_SHARE, SCORE_COLUMNS
 
 PROBABILITY = "probability_of_cancellation"
 
@@ -51,7 +51,7 @@ def build_scoring_table(df: DataFrame, share: float = RISK_SHARE, keep: list[str
     return table.select(*SCORE_COLUMNS, *keep)
 
 
-def assign_missing_ids(df: DataFrame, order_col: str) -> DataFrame:
+def assign_missing_ids(df: DataFrame, order_col: str = POSITION) -> DataFrame:
     """Ids 1..n along ``order_col`` if the id column is absent; otherwise unchanged.
 
     ``order_col`` stands for the input order. Apply after rows without a date were dropped.

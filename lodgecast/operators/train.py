@@ -23,7 +23,12 @@ from pyspark.sql import types as T
 from lodgecast.functions.scoring import uniform_hash
 from lodgecast.operators.clean import Cleaned, preprocess_bookings
 from lodgecast.operators.evaluate import METRICS, evaluate
-from lodgecast.operators.rank import PROBABILITY, build_scoring_table, flag_by_threshold
+from lodgecast.operators.rank import (
+    PROBABILITY,
+    assign_missing_ids,
+    build_scoring_table,
+    flag_by_threshold,
+)
 from lodgecast.operators.split import split_stratified
 from lodgecast.plans.storage import stored
 from lodgecast.schemas import (
@@ -31,6 +36,7 @@ from lodgecast.schemas import (
     HIGH_RISK_THRESHOLD,
     ID,
     LABEL,
+    POSITION,
     RISK_SHARE,
     SEED,
     TEST_SIZE,
@@ -257,8 +263,8 @@ def train_and_report(
     file scan or a stored frame.
     """
     params = FULL_PARAMS if params is None else params
-    cleaned = preprocess_bookings(raw, is_training=True, stats=stats)
-    frame = stored(cleaned.frame, "cleaned")
+    cleaned = preprocess_bookings(raw, is_training=True, stats=stats, store_groups=True)
+    frame = stored(cleaned.frame.drop(POSITION), "cleaned")
     parts = stored(split_stratified(frame, test_size, seed), "split")
     train = parts.filter(F.col("split") == "train").drop("split")
     test = parts.filter(F.col("split") == "test").drop("split")
@@ -287,10 +293,16 @@ class ScoringRun:
 def score_batch(
     raw: DataFrame, model: PipelineModel, share: float = RISK_SHARE, stats: DataFrame | None = None
 ) -> ScoringRun:
-    """Clean new bookings, score them and build the ranked table."""
+    """Clean new bookings, score them and build the ranked table.
+
+    Without an id column the rows that stay are numbered along their input position.
+    """
     cleaned = preprocess_bookings(raw, is_training=False, stats=stats)
-    scored = predict_proba(model, cleaned.frame).select(ID, PROBABILITY)
-    return ScoringRun(build_scoring_table(scored, share), cleaned)
+    scored = predict_proba(model, cleaned.frame)
+    if ID in scored.columns:
+        return ScoringRun(build_scoring_table(scored, share), cleaned)
+    numbered = assign_missing_ids(scored.select(POSITION, PROBABILITY))
+    return ScoringRun(build_scoring_table(numbered, share), cleaned)
 
 
 def score_single_rule(

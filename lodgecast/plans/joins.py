@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodgecast.plans.storage import stored
+
 BROADCAST_ROWS = 100_000
 SALTS = 32
 
@@ -26,6 +28,7 @@ def lookup_join(
     sends the row to the same part.
     """
     keys = list(keys)
+    table = stored(table, "lookup")  # counted and joined, so computed once
     if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
         return rows.join(F.broadcast(table), keys, how)
     salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))

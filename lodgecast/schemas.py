@@ -27,6 +27,7 @@ WIRE_TO_CANONICAL = {
 CANONICAL_TO_WIRE = {canonical: wire for wire, canonical in WIRE_TO_CANONICAL.items()}
 
 ID, LABEL, DATE = "booking_id", "booking_status", "date_of_reservation"
+POSITION = "input_position"  # optional; stands for the order of the input rows
 
 COUNT_COLUMNS = [
     "number_of_adults",

@@ -10,6 +10,7 @@ from lodgecast.schemas import (
     LABEL,
     MISSING_TOKENS,
     NUMERIC_COLUMNS,
+    POSITION,
     PRICE,
     RISK_SHARE,
     WIRE_TO_CANONICAL,
@@ -27,21 +28,38 @@ def rename_bookings(df: DataFrame, to: str = "canonical") -> DataFrame:
     raise ValueError(f"to must be 'canonical' or 'wire', not {to!r}")
 
 
-def read_bookings_csv(spark: SparkSession, path: str, labelled: bool = True) -> DataFrame:
+def read_bookings_csv(
+    spark: SparkSession, path: str, labelled: bool = True, position: bool = False
+) -> DataFrame:
     """Header CSV in wire names. Missing-value tokens become null, numbers become double.
 
     Columns are matched by header name, so files may order them freely or lack the id.
+    ``position`` adds ``input_position``, which sorts rows by file and place in the file.
     """
     header = spark.read.option("header", True).csv(path).columns
     unread = [f.name for f in wire_text_schema(labelled) if f.name not in header]
     required = [n for n in unread if n != "Booking_ID"]
     if required:
         raise ValueError(f"{path} lacks columns {required}")
-    text = spark.read.option("header", True).option("enforceSchema", False).schema(
-        ", ".join(f"`{name}` string" for name in header)
-    ).csv(path)
+    text = (
+        spark.read.option("header", True)
+        .option("enforceSchema", False)
+        .option("escape", '"')
+        .schema(", ".join(f"`{name}` string" for name in header))
+        .csv(path)
+    )
     wanted = [f.name for f in wire_text_schema(labelled) if f.name in header]
-    return text.select(*[_cell(name).alias(WIRE_TO_CANONICAL[name]) for name in wanted])
+    cells = [_cell(name).alias(WIRE_TO_CANONICAL[name]) for name in wanted]
+    if position:
+        # Within one file block the rows of a task are numbered in reading order.
+        cells.append(
+            F.struct(
+                F.col("_metadata.file_path").alias("file"),
+                F.col("_metadata.file_block_start").alias("block"),
+                F.monotonically_increasing_id().alias("row"),
+            ).alias(POSITION)
+        )
+    return text.select(*cells)
 
 
 def _cell(wire: str) -> Column:

@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from lodgecast.queries.bound import QUERIES
-from lodgecast.session import clear_scratch, local_session
+from lodgecast.session import clear_scratch, local_session, scratch_scope
 
 HEADLINE = [
     "bookings_view",
@@ -42,9 +42,10 @@ def main() -> None:
     QUERIES["booking_features"](spark, folder).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in names:
-        start = time.perf_counter()
-        QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - start, 3)
+        with scratch_scope(spark):
+            start = time.perf_counter()
+            QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+            seconds[name] = round(time.perf_counter() - start, 3)
     clear_scratch(spark)
     spark.stop()
     result = {

@@ -14,6 +14,7 @@ from lodgecast.operators.validate import booking_errors
 from lodgecast.plans.history import earlier_totals
 from lodgecast.plans.joins import lookup_join
 from lodgecast.plans.selection import exact_quantiles
+from lodgecast.plans.storage import small_frame
 from lodgecast.schemas import CATEGORY_COLUMNS, DATE, FEATURE_COLUMNS, ID, LABEL
 
 PSI_FLOOR = 1e-4  # share given to an empty bucket
@@ -94,8 +95,8 @@ def feature_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def _quartiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     quartiles = exact_quantiles(df, list(columns), [0.25, 0.5, 0.75])
     rows = [(c, *quartiles[c]) for c in columns]
-    return df.sparkSession.createDataFrame(
-        rows, "feature string, p25 double, p50 double, p75 double"
+    return small_frame(
+        df.sparkSession, rows, "feature string, p25 double, p50 double, p75 double"
     )
 
 

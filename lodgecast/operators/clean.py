@@ -11,13 +11,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodgecast.functions.dates import parse_date
 from lodgecast.functions.features import feature_columns
 from lodgecast.operators.validate import drop_invalid_dates
 from lodgecast.plans.selection import CANDIDATES, exact_quantiles
-from lodgecast.plans.storage import stored
+from lodgecast.plans.storage import small_frame, stored
 from lodgecast.schemas import (
     DATE,
     DERIVED_COLUMNS,
@@ -84,13 +83,8 @@ def imputation_stats(df: DataFrame, approx: bool = False) -> DataFrame:
     ``df`` is read a few times; pass a file scan or a stored frame.
     """
     values = _batch_values(df, approx)
-    schema = T.StructType(
-        [
-            T.StructField(n, T.DoubleType() if n in NUMERIC_COLUMNS else T.StringType())
-            for n in values
-        ]
-    )
-    return df.sparkSession.createDataFrame([tuple(values.values())], schema)
+    schema = ", ".join(f"{n} {'double' if n in NUMERIC_COLUMNS else 'string'}" for n in values)
+    return small_frame(df.sparkSession, [tuple(values.values())], schema)
 
 
 def _fill(df: DataFrame, values: dict) -> DataFrame:

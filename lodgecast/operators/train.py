@@ -30,7 +30,7 @@ from lodgecast.operators.rank import (
     flag_by_threshold,
 )
 from lodgecast.operators.split import split_stratified
-from lodgecast.plans.storage import stored
+from lodgecast.plans.storage import small_frame, stored
 from lodgecast.schemas import (
     DATE,
     HIGH_RISK_THRESHOLD,
@@ -161,8 +161,7 @@ def compare_models(
         rows.append((name, *[metrics[m] for m in METRICS]))
     best = max(rows, key=lambda r: (r[-1] or 0.0, r[0]))[0]
     schema = "model string, " + ", ".join(f"{m} double" for m in METRICS) + ", is_best boolean"
-    spark = train.sparkSession
-    return spark.createDataFrame([(*r, r[0] == best) for r in rows], schema), models
+    return small_frame(train.sparkSession, [(*r, r[0] == best) for r in rows], schema), models
 
 
 def cross_validate(
@@ -200,10 +199,8 @@ def cross_validate(
     ]
     best = max(range(len(rows)), key=lambda i: rows[i][1])
     schema = "settings string, mean_roc_auc double, is_best boolean"
-    scores = train.sparkSession.createDataFrame(
-        [(*row, i == best) for i, row in enumerate(rows)], schema
-    )
-    return scores, model
+    marked = [(*row, i == best) for i, row in enumerate(rows)]
+    return small_frame(train.sparkSession, marked, schema), model
 
 
 @dataclass
@@ -271,12 +268,11 @@ def train_and_report(
     model = train_model(train, params, seed)
     row = evaluate_model(model, test).first()
     schema = ", ".join(f"{m} double" for m in METRICS)
-    metrics = raw.sparkSession.createDataFrame([tuple(row)], schema)
+    metrics = small_frame(raw.sparkSession, [tuple(row)], schema)
     sizes = {r["split"]: r["count"] for r in parts.groupBy("split").count().collect()}
-    summary_row = cleaned.summary.first()
-    summary = raw.sparkSession.createDataFrame([summary_row], cleaned.summary.schema)
+    summary = stored(cleaned.summary, "summary")
     report = training_report(
-        summary_row.asDict(), sizes, row.asDict(), categorical_columns(train), params, test_size, seed
+        summary.first().asDict(), sizes, row.asDict(), categorical_columns(train), params, test_size, seed
     )
     version = f"{MODEL_NAME.lower()}_{datetime.now(timezone.utc):%Y%m%dT%H%M%SZ}"
     return TrainingRun(model, metrics, summary, report, version)

@@ -23,8 +23,9 @@ def earlier_totals(
 ) -> DataFrame:
     """Add, per row, the totals over strictly earlier rows of the same ``key`` (0 if none).
 
-    Rows are ordered by ``moment`` then ``tie_break``. ``lookup`` (one row per ``key``) is
-    joined at the day level, where a hot key has few rows, instead of on the rows themselves.
+    Rows are ordered by ``moment`` then ``tie_break``; rows without a key or moment are kept and
+    have no earlier rows. ``lookup`` (one row per ``key``) is joined at the day level, where a
+    hot key has few rows, instead of on the rows themselves; rows it lacks are dropped.
     """
     dated = df.withColumns(
         {"_day": F.to_date(moment), **{f"_one_{n}": value for n, value in totals.items()}}
@@ -46,10 +47,13 @@ def earlier_totals(
     )
     kept = [*df.columns, *([c for c in lookup.columns if c != key] if lookup is not None else [])]
     none = F.lit(0)
-    return placed.join(days, [key, "_day"]).select(
+    known = F.col(key).isNotNull() & F.col("_day").isNotNull()
+    return placed.join(days, [key, "_day"], "left" if lookup is None else "inner").select(
         *kept,
         *[
-            (F.coalesce(f"_days_{n}", none) + F.coalesce(f"_rows_{n}", none)).alias(n)
+            F.when(known, F.coalesce(f"_days_{n}", none) + F.coalesce(f"_rows_{n}", none))
+            .otherwise(none)
+            .alias(n)
             for n in totals
         ],
     )

@@ -32,7 +32,7 @@ def number_rows(
 ) -> DataFrame:
     """Add ``position`` (1-based along ``order``) and ``group_rows`` (rows in the group).
 
-    ``within`` names non-null grouping columns; without it the whole frame is one group. Keep
+    ``within`` names grouping columns (null is a group too); without it the whole frame is one group. Keep
     ``df`` narrow: it is written twice. The first write fixes the input (range sorting reads it
     twice) and a spreading number, so even rows equal in every ordering column can be split
     over slices.
@@ -52,15 +52,18 @@ def number_rows(
     group = Window.partitionBy(*keys)
     earlier = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        "_slice",
-        *keys,
+        F.col("_slice").alias("_at"),
+        *[F.col(k).alias(f"_group{i}") for i, k in enumerate(keys)],
         (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
         F.sum("_rows").over(group).alias(group_rows),
     )
+    same = F.col("_slice") == F.col("_at")
+    for i, key in enumerate(keys):
+        same = same & F.col(key).eqNullSafe(F.col(f"_group{i}"))
     # Without groups the offsets hold one row per slice, so their size is bounded by the number
     # of sort partitions. With groups it grows with the data and Spark chooses the join; a join
     # key (slice, group) never holds more than one slice of rows.
-    joined = ordered.join(offsets if keys else F.broadcast(offsets), ["_slice", *keys])
-    return joined.withColumn(position, F.col("_place") + F.col("_shift")).drop(
-        "_slice", "_place", "_shift"
+    joined = ordered.join(offsets if keys else F.broadcast(offsets), same)
+    return joined.select(
+        *df.columns, group_rows, (F.col("_place") + F.col("_shift")).alias(position)
     )

@@ -77,26 +77,21 @@ def order_statistics(
 
 
 def _narrow(df: DataFrame, targets: list[_Target]) -> None:
-    proposals = []
-    for i, t in enumerate(targets):
-        share = (t.index - t.below) / t.rows
-        ends = [max(0.0, share - t.slack), min(1.0, share + t.slack)]
-        values = F.when(t.inside(), F.col(t.column))
-        proposals.append(F.percentile_approx(values, ends, _ACCURACY).alias(f"p{i}"))
-    bounds = df.agg(*proposals).first()
+    proposed = _propose(df, targets)
+    # Targets that were proposed the same interval share its counts.
+    intervals = sorted({(t.column, low, high) for t, (low, high) in zip(targets, proposed)})
     checks = []
-    for i, t in enumerate(targets):
-        low, high = (F.lit(end) for end in bounds[i])
-        value = F.col(t.column)
+    for i, (column, low, high) in enumerate(intervals):
+        value = F.col(column)
         checks += [
-            F.count_if(value < low).alias(f"below{i}"),
-            F.count_if(value == low).alias(f"low{i}"),
-            F.count_if((value > low) & (value < high)).alias(f"rows{i}"),
-            F.count_if(value == high).alias(f"high{i}"),
+            F.count_if(value < F.lit(low)).alias(f"below{i}"),
+            F.count_if(value == F.lit(low)).alias(f"low{i}"),
+            F.count_if((value > F.lit(low)) & (value < F.lit(high))).alias(f"rows{i}"),
+            F.count_if(value == F.lit(high)).alias(f"high{i}"),
         ]
     counted = df.agg(*checks).first()
-    for i, t in enumerate(targets):
-        low, high = bounds[i]
+    for t, (low, high) in zip(targets, proposed):
+        i = intervals.index((t.column, low, high))
         below, at_low, rows, at_high = (counted[f"{n}{i}"] for n in ("below", "low", "rows", "high"))
         place = t.index - below
         if 0 <= place < at_low:
@@ -109,6 +104,27 @@ def _narrow(df: DataFrame, targets: list[_Target]) -> None:
             t.slack *= 4
 
 
+def _propose(df: DataFrame, targets: list[_Target]) -> list[tuple[Any, Any]]:
+    """An interval around each target; targets of one span share a sketch."""
+    spans: dict[tuple, list[int]] = {}
+    for i, t in enumerate(targets):
+        spans.setdefault((t.column, t.low, t.high), []).append(i)
+    sketches = []
+    for n, members in enumerate(spans.values()):
+        shares = []
+        for t in (targets[i] for i in members):
+            share = (t.index - t.below) / t.rows
+            shares += [max(0.0, share - t.slack), min(1.0, share + t.slack)]
+        values = F.when(targets[members[0]].inside(), F.col(targets[members[0]].column))
+        sketches.append(F.percentile_approx(values, shares, _ACCURACY).alias(f"s{n}"))
+    row = df.agg(*sketches).first()
+    proposed: dict[int, tuple[Any, Any]] = {}
+    for n, members in enumerate(spans.values()):
+        for place, i in enumerate(members):
+            proposed[i] = (row[n][2 * place], row[n][2 * place + 1])
+    return [proposed[i] for i in range(len(targets))]
+
+
 def _read_off(df: DataFrame, targets: list[_Target]) -> dict[tuple[str, int], Any]:
     found = {(t.column, t.index): t.value for t in targets if t.value is not None}
     open_targets = [t for t in targets if t.value is None]

@@ -7,7 +7,11 @@ executors, and being Parquet it keeps column pruning and true size estimates.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodgecast.session import scratch_path
 
@@ -17,3 +21,13 @@ def stored(df: DataFrame, label: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_frame(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
+    """A frame of a few rows as literals, so that no Python worker has to start for it."""
+    fields = T.StructType.fromDDL(schema).fields
+    records = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)])
+        for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*records)))

@@ -16,7 +16,7 @@ from lodgecast.operators import rank as R
 from lodgecast.operators import split as P
 from lodgecast.operators import train as M
 from lodgecast.operators import validate as V
-from lodgecast.plans.storage import stored
+from lodgecast.plans.storage import small_frame, stored
 from lodgecast.schemas import CATEGORY_COLUMNS, DERIVED_COLUMNS, LABEL, NUMERIC_COLUMNS
 from lodgecast.session import scratch_path
 from lodgecast.sinks import artifacts, files, tables
@@ -466,28 +466,28 @@ def predict_proba(spark, folder):
     return M.predict_proba(M.train_model(train, QUICK), test).select("booking_id", P4, "prediction")
 
 
-def _trained(spark, folder) -> M.TrainingRun:
-    return M.train_and_report(_labelled(spark, folder), QUICK)
+def _saved_run(spark, folder) -> str:
+    path = scratch_path(spark, "model")
+    artifacts.save_training_run(spark, M.train_and_report(_labelled(spark, folder), QUICK), path)
+    return path
 
 
 def train_and_report(spark, folder):
-    run = _trained(spark, folder)
-    path = scratch_path(spark, "model")
-    artifacts.save_training_run(spark, run, path)
-    report = artifacts.load_report(spark, path)
+    """What a saved training run's report says."""
+    report = artifacts.load_report(spark, _saved_run(spark, folder))
     metrics = [(k, float(v)) for k, v in report["metrics"][M.MODEL_NAME].items()]
     metrics += [(k, float(v)) for k, v in report["split"].items()]
-    return spark.createDataFrame(metrics, "name string, value double")
+    return small_frame(spark, metrics, "name string, value double")
 
 
 def score_batch(spark, folder):
-    run = _trained(spark, folder)
-    return M.score_batch(_new(spark, folder), run.model).scores
+    model, _, _ = artifacts.load_model(spark, _saved_run(spark, folder))
+    return M.score_batch(_new(spark, folder), model).scores
 
 
 def score_single_rule(spark, folder):
-    run = _trained(spark, folder)
-    return M.score_single_rule(_new(spark, folder), run.model, threshold=0.5)
+    model, _, _ = artifacts.load_model(spark, _saved_run(spark, folder))
+    return M.score_single_rule(_new(spark, folder), model, threshold=0.5)
 
 
 def train_baseline_lr(spark, folder):

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
+_scope: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
@@ -42,11 +47,35 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the scratch folder."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    written = _scope.get()
+    if written is not None:
+        written.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediates written inside the block when it ends.
+
+    Write or collect every result that depends on them before that.
+    """
+    written: list[str] = []
+    token = _scope.set(written)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for path in written:
+            _delete(spark, path)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's written intermediates; call it when the job is done."""
+    _delete(spark, scratch_root(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path = jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

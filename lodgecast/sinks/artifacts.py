@@ -8,13 +8,14 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from lodgecast.operators.train import MODEL_NAME, TrainingRun
+from lodgecast.plans.storage import small_frame
 
 
 def save_model(spark: SparkSession, model: PipelineModel, report: dict, path: str) -> None:
     """Write ``path/model`` and ``path/report`` (one indented JSON text)."""
     model.write().overwrite().save(f"{path}/model")
     text = json.dumps(report, ensure_ascii=False, indent=2)
-    one = spark.createDataFrame([(text,)], "value string").coalesce(1)
+    one = small_frame(spark, [(text,)], "value string")
     one.write.mode("overwrite").text(f"{path}/report")
 
 

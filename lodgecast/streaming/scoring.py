@@ -15,6 +15,7 @@ from lodgecast.operators.rank import flag_by_threshold, score_requests
 from lodgecast.operators.validate import drop_invalid_dates, validate_bookings, validate_requests
 from lodgecast.plans.storage import stored
 from lodgecast.schemas import DATE, HIGH_RISK_THRESHOLD, request_schema
+from lodgecast.session import scratch_scope
 from lodgecast.sinks.tables import append_monitoring
 from lodgecast.sources.bookings import explode_requests
 
@@ -36,6 +37,15 @@ def _features(bookings: DataFrame, stats: DataFrame | None) -> DataFrame:
     return booking_features(dated)
 
 
+def _counts(bookings: DataFrame) -> DataFrame:
+    unread = parse_date(DATE).isNull()
+    return bookings.agg(
+        F.count(F.lit(1)).alias("records_before"),
+        F.count_if(~unread).alias("records_after"),
+        F.count_if(unread).alias("invalid_dates_count"),
+    )
+
+
 def stream_score_single(
     requests: DataFrame,
     scorer: Scorer,
@@ -78,25 +88,18 @@ def stream_score_requests(
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        valid = stored(validate_requests(explode_requests(batch))[0], "requests")
-        features = _features(valid, stats)
-        scores = stored(score_requests(scorer(features)), "request-scores")
-        target = f"{output}/batch_id={batch_id}"
-        scores.write.mode("overwrite").parquet(target)
-        if metrics_table is not None:
-            unread = parse_date(DATE).isNull()
-            counts = valid.agg(
-                F.count(F.lit(1)).alias("records_before"),
-                F.count_if(~unread).alias("records_after"),
-                F.count_if(unread).alias("invalid_dates_count"),
-            )
-            append_monitoring(
-                batch_metrics(counts, scores),
-                metrics_table,
-                "stream_predict",
-                model_name,
-                f"stream-{batch_id}",
-            )
+        with scratch_scope(batch.sparkSession):  # a long-running stream must not pile up files
+            valid = stored(validate_requests(explode_requests(batch))[0], "requests")
+            scores = stored(score_requests(scorer(_features(valid, stats))), "request-scores")
+            scores.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+            if metrics_table is not None:
+                append_monitoring(
+                    batch_metrics(_counts(valid), scores),
+                    metrics_table,
+                    "stream_predict",
+                    model_name,
+                    f"stream-{batch_id}",
+                )
 
     return (
         requests.writeStream.foreachBatch(one_batch)

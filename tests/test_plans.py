@@ -139,3 +139,26 @@ def test_lookup_join_is_the_same_salted_or_broadcast(spark):
         expected = sorted(map(repr, map(tuple, plain.collect())))
         assert sorted(map(repr, map(tuple, small.select(*plain.columns).collect()))) == expected
         assert sorted(map(repr, map(tuple, salted.select(*plain.columns).collect()))) == expected
+
+
+def test_missing_groups_and_keys_keep_their_rows(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2), (None, 3)], "g string, v int")
+    found = number_rows(df, [F.col("v").asc()], within=["g"]).collect()
+    assert sorted((r["v"], r["position"], r["group_rows"]) for r in found) == [
+        (1, 1, 1), (2, 1, 2), (3, 2, 2),
+    ]
+    dated = df.withColumn("t", F.when(F.col("v") != 3, F.to_timestamp(F.lit("2024-01-01 00:00:00"))))
+    totals = earlier_totals(dated, "g", "t", {"n": F.lit(1)}, ["v"])
+    assert sorted((r["v"], r["n"]) for r in totals.collect()) == [(1, 0), (2, 0), (3, 0)]
+
+
+def test_scoped_intermediates_are_deleted(spark):
+    import os
+
+    from lodgecast.plans.storage import stored
+    from lodgecast.session import scratch_scope
+
+    with scratch_scope(spark):
+        path = stored(spark.range(3)).inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)

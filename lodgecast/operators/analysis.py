@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodgecast.functions.scoring import scorecard_probability, uniform_hash
 from lodgecast.operators.clean import count_duplicates, parse_reservation_date
 from lodgecast.operators.rank import PROBABILITY
-from lodgecast.operators.validate import booking_errors
+from lodgecast.operators.validate import is_invalid
 from lodgecast.plans.history import earlier_totals
 from lodgecast.plans.joins import lookup_join
 from lodgecast.plans.selection import exact_quantiles
@@ -136,7 +136,7 @@ def quality_checks(df: DataFrame) -> DataFrame:
     arrival = F.date_add("reservation_date", F.col("lead_time").cast("int"))
     present = F.col(DATE).isNotNull()
     checks = {
-        "broken_rules": F.size(booking_errors()) > 0,
+        "broken_rules": is_invalid(),
         "missing_id": F.col(ID).isNull(),
         "missing_date": ~present,
         "invalid_date": present & F.col("reservation_date").isNull(),

@@ -17,29 +17,52 @@ MISSING = "Field required"
 _REQUIRED = [*COUNT_COLUMNS, PRICE, *CATEGORY_COLUMNS, DATE]
 
 
-def booking_errors() -> Column:
-    """Array of ``column: message``; empty for a valid booking. Only the id may be missing."""
+def _checks() -> list[tuple[Column, str]]:
+    """(broken, message) per rule. Only the id may be missing."""
     checks = []
     for name in _REQUIRED:
-        value = F.col(name)
-        checks.append(F.when(value.isNull(), F.lit(f"{name}: {MISSING}")))
+        checks.append((F.col(name).isNull(), f"{name}: {MISSING}"))
         if name in COUNT_COLUMNS:
-            checks.append(F.when(value < 0, F.lit(f"{name}: {NEGATIVE_COUNT}")))
-    checks.append(F.when(F.col(PRICE) < 0, F.lit(f"{PRICE}: {NEGATIVE_PRICE}")))
-    return F.filter(F.array(*checks), lambda e: e.isNotNull())
+            checks.append((F.col(name) < 0, f"{name}: {NEGATIVE_COUNT}"))
+    checks.append((F.col(PRICE) < 0, f"{PRICE}: {NEGATIVE_PRICE}"))
+    return checks
+
+
+def _share_check() -> tuple[Column, str]:
+    share = F.col("risk_share")
+    return F.coalesce(~((share > 0) & (share <= 1)), F.lit(True)), BAD_SHARE
+
+
+def _any(checks: list[tuple[Column, str]]) -> Column:
+    """One boolean in generated code; messages are only put together for broken rows."""
+    broken = F.lit(False)
+    for test, _ in checks:
+        broken = broken | F.coalesce(test, F.lit(False))
+    return broken
+
+
+def _messages(checks: list[tuple[Column, str]]) -> Column:
+    return F.array_compact(F.array(*[F.when(test, F.lit(text)) for test, text in checks]))
+
+
+def is_invalid() -> Column:
+    """Whether a booking breaks any rule."""
+    return _any(_checks())
 
 
 def validate_bookings(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected); rejected rows keep an ``errors`` array."""
-    checked = df.withColumn("errors", booking_errors())
-    valid = checked.filter(F.size("errors") == 0).drop("errors")
-    return valid, checked.filter(F.size("errors") > 0)
+    """(valid, rejected); rejected rows keep an ``errors`` array of ``column: message``."""
+    checks = _checks()
+    rejected = df.filter(_any(checks)).withColumn("errors", _messages(checks))
+    return df.filter(~_any(checks)), rejected
 
 
 def rule_counts(df: DataFrame) -> DataFrame:
     """Number of rows breaking each rule."""
+    checks = _checks()
     return (
-        df.select(F.explode(booking_errors()).alias("rule"))
+        df.filter(_any(checks))
+        .select(F.explode(_messages(checks)).alias("rule"))
         .groupBy("rule")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
@@ -48,7 +71,7 @@ def rule_counts(df: DataFrame) -> DataFrame:
 def validate_requests(
     df: DataFrame, on_invalid: str = "reject_request"
 ) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected) over exploded requests.
+    """(valid, rejected) over exploded requests; rejected rows keep their ``errors``.
 
     ``reject_request``: one bad booking, or a share outside (0, 1], rejects the whole request.
     ``quarantine_row``: only the bad rows go. A bad share still rejects every row.
@@ -56,21 +79,17 @@ def validate_requests(
     Ids of bad requests are combined before their shuffle and joined back by broadcast while
     few, salted beyond that, so a request of any size is no hot spot.
     """
-    share = F.col("risk_share")
-    bad_share = F.coalesce(~((share > 0) & (share <= 1)), F.lit(True))
-    errors = F.concat(
-        booking_errors(), F.when(bad_share, F.array(F.lit(BAD_SHARE))).otherwise(F.array())
-    )
-    checked = df.withColumn("errors", errors)
+    checks = [*_checks(), _share_check()]
     if on_invalid == "quarantine_row":
-        return checked.filter(F.size("errors") == 0).drop("errors"), checked.filter(
-            F.size("errors") > 0
-        )
+        rejected = df.filter(_any(checks)).withColumn("errors", _messages(checks))
+        return df.filter(~_any(checks)), rejected
     if on_invalid != "reject_request":
         raise ValueError("on_invalid must be 'reject_request' or 'quarantine_row'")
-    bad = checked.filter(F.size("errors") > 0).select("request_id").distinct()
-    valid = lookup_join(checked.drop("errors"), bad, ["request_id"], "left_anti")
-    return valid, lookup_join(checked, bad, ["request_id"], "left_semi")
+    bad = df.filter(_any(checks)).select("request_id").distinct()
+    marked = lookup_join(df, bad.withColumn("_bad", F.lit(True)), ["request_id"], "left")
+    valid = marked.filter(F.col("_bad").isNull())
+    rejected = marked.filter(F.col("_bad")).withColumn("errors", _messages(checks))
+    return valid.select(*df.columns), rejected.select(*df.columns, "errors")
 
 
 def drop_invalid_dates(df: DataFrame, date: str = "reservation_date") -> DataFrame:

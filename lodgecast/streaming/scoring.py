@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodgecast.functions.dates import parse_date
-from lodgecast.operators.clean import booking_features, impute
+from lodgecast.operators.clean import booking_features, impute, parse_reservation_date
 from lodgecast.operators.monitor import batch_metrics
 from lodgecast.operators.rank import flag_by_threshold, score_requests
 from lodgecast.operators.validate import drop_invalid_dates, validate_bookings, validate_requests
@@ -31,10 +31,13 @@ def request_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -
     )
 
 
-def _features(bookings: DataFrame, stats: DataFrame | None) -> DataFrame:
-    filled = bookings if stats is None else impute(bookings, stats)
-    dated = drop_invalid_dates(filled.withColumn("reservation_date", parse_date(DATE)))
-    return booking_features(dated)
+def _bookings(requests: DataFrame, stats: DataFrame | None) -> DataFrame:
+    bookings = explode_requests(requests)
+    return bookings if stats is None else impute(bookings, stats)
+
+
+def _features(bookings: DataFrame) -> DataFrame:
+    return booking_features(drop_invalid_dates(parse_reservation_date(bookings)))
 
 
 def _counts(bookings: DataFrame) -> DataFrame:
@@ -56,10 +59,11 @@ def stream_score_single(
 ) -> StreamingQuery:
     """Judge each valid booking of the stream alone and append it to Parquet files.
 
-    Stateless. A batch has no statistics of its own to fill cells from, so pass stored ``stats``.
+    Stateless. A booking that lacks a required cell is invalid, unless stored ``stats`` are
+    given to fill it from; a stream has no statistics of its own.
     """
-    valid, _ = validate_bookings(explode_requests(requests))
-    scored = flag_by_threshold(scorer(_features(valid, stats)), threshold).select(
+    valid, _ = validate_bookings(_bookings(requests, stats))
+    scored = flag_by_threshold(scorer(_features(valid)), threshold).select(
         "request_id", "booking_id", "probability_of_cancellation", "is_high_risk", "risk_segment"
     )
     return (
@@ -89,8 +93,8 @@ def stream_score_requests(
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         with scratch_scope(batch.sparkSession):  # a long-running stream must not pile up files
-            valid = stored(validate_requests(explode_requests(batch))[0], "requests")
-            scores = stored(score_requests(scorer(_features(valid, stats))), "request-scores")
+            valid = stored(validate_requests(_bookings(batch, stats))[0], "requests")
+            scores = stored(score_requests(scorer(_features(valid))), "request-scores")
             scores.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
             if metrics_table is not None:
                 append_monitoring(

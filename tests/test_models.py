@@ -144,3 +144,23 @@ def test_equal_frames_do_not_drift(raw):
     assert {r["feature"]: r["psi"] for r in drift} == {"lead_time": 0.0, "room_type": 0.0}
     moved = frame.withColumn("lead_time", F.col("lead_time") + 200)
     assert A.feature_drift(frame, moved, ["lead_time"]).first()["psi"] > 0.2
+
+
+def test_a_model_scores_a_stream_as_it_scores_a_batch(spark, raw, run, tmp_path):
+    from lodgecast.sources.bookings import rename_bookings
+    from lodgecast.streaming import scoring as T
+
+    new = stored(C.impute(new_bookings(raw)))
+    wire = rename_bookings(new, "wire")
+    document = F.struct(F.array(F.struct(*[F.col(f"`{c}`") for c in wire.columns])).alias("bookings"))
+    wire.select(F.to_json(document).alias("value")).coalesce(2).write.text(str(tmp_path / "in"))
+    T.stream_score_single(
+        T.request_stream(spark, str(tmp_path / "in")),
+        lambda df: M.predict_proba(run.model, df),
+        str(tmp_path / "out"),
+        str(tmp_path / "state"),
+        threshold=0.5,
+    ).awaitTermination()
+    batch = M.score_single_rule(new, run.model, threshold=0.5)
+    columns = ["booking_id", "probability_of_cancellation", "is_high_risk", "risk_segment"]
+    assert rows(spark.read.parquet(str(tmp_path / "out")), *columns) == rows(batch, *columns)

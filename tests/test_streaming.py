@@ -42,14 +42,17 @@ def test_single_scores_continue_after_a_restart(spark, tmp_path):
 
 def test_gaps_are_filled_from_stored_statistics(spark, bookings, tmp_path):
     source = tmp_path / "in"
-    put(source, "1.json", request("a", 10.0))
+    gappy = request("a", 10.0, None)
+    gappy["bookings"][0].pop("type of meal")
+    put(source, "1.json", gappy)
     stats = C.imputation_stats(bookings({}))
-    requests = T.request_stream(spark, str(source))
-    out = str(tmp_path / "out")
-    T.stream_score_single(
-        requests, score_scorecard, out, str(tmp_path / "state"), stats=stats
-    ).awaitTermination()
-    assert spark.read.parquet(out).count() == 1
+    for name, given, kept in (("with", stats, 2), ("without", None, 0)):
+        requests = T.request_stream(spark, str(source))
+        out = str(tmp_path / f"out-{name}")
+        T.stream_score_single(
+            requests, score_scorecard, out, str(tmp_path / f"state-{name}"), stats=given
+        ).awaitTermination()
+        assert spark.read.schema("booking_id string").parquet(out).count() == kept
 
 
 def test_requests_are_ranked_and_measured_once(spark, tmp_path):

@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CANDIDATES = 500_000  # values of one interval that a single task may sort
+CANDIDATES = 200_000  # values of one column that may meet in a single task
 _ACCURACY = 1_000
 
 

@@ -55,6 +55,13 @@ def _new_clean(spark: SparkSession, folder: str) -> C.Cleaned:
     return C.preprocess_bookings(_new(spark, folder), is_training=False)
 
 
+def _both_clean(spark: SparkSession, folder: str) -> tuple[C.Cleaned, C.Cleaned]:
+    """(labelled, new) bookings cleaned, from one writing of the bookings."""
+    bookings = stored(_bookings(spark, folder), "bookings")
+    labelled = C.preprocess_bookings(O.labelled_bookings(bookings), is_training=True)
+    return labelled, C.preprocess_bookings(O.new_bookings(bookings), is_training=False)
+
+
 def _new_scored(spark: SparkSession, folder: str) -> DataFrame:
     return A.score_scorecard(_new_clean(spark, folder).frame).select("booking_id", P4)
 
@@ -466,28 +473,35 @@ def predict_proba(spark, folder):
     return M.predict_proba(M.train_model(train, QUICK), test).select("booking_id", P4, "prediction")
 
 
-def _saved_run(spark, folder) -> str:
+def _save_run(spark: SparkSession, labelled: DataFrame) -> str:
     path = scratch_path(spark, "model")
-    artifacts.save_training_run(spark, M.train_and_report(_labelled(spark, folder), QUICK), path)
+    artifacts.save_training_run(spark, M.train_and_report(labelled, QUICK), path)
     return path
 
 
+def _model_and_new(spark, folder):
+    """A model saved after training on the labelled bookings and loaded again; new bookings."""
+    bookings = stored(_bookings(spark, folder), "bookings")
+    path = _save_run(spark, O.labelled_bookings(bookings))
+    return artifacts.load_model(spark, path)[0], O.new_bookings(bookings)
+
+
 def train_and_report(spark, folder):
     """What a saved training run's report says."""
-    report = artifacts.load_report(spark, _saved_run(spark, folder))
+    report = artifacts.load_report(spark, _save_run(spark, _labelled(spark, folder)))
     metrics = [(k, float(v)) for k, v in report["metrics"][M.MODEL_NAME].items()]
     metrics += [(k, float(v)) for k, v in report["split"].items()]
     return small_frame(spark, metrics, "name string, value double")
 
 
 def score_batch(spark, folder):
-    model, _, _ = artifacts.load_model(spark, _saved_run(spark, folder))
-    return M.score_batch(_new(spark, folder), model).scores
+    model, new = _model_and_new(spark, folder)
+    return M.score_batch(new, model).scores
 
 
 def score_single_rule(spark, folder):
-    model, _, _ = artifacts.load_model(spark, _saved_run(spark, folder))
-    return M.score_single_rule(_new(spark, folder), model, threshold=0.5)
+    model, new = _model_and_new(spark, folder)
+    return M.score_single_rule(new, model, threshold=0.5)
 
 
 def train_baseline_lr(spark, folder):
@@ -609,8 +623,7 @@ def feature_interactions(spark, folder):
 
 
 def feature_drift(spark, folder):
-    reference = stored(_train_clean(spark, folder).frame)
-    current = stored(_new_clean(spark, folder).frame)
+    reference, current = (stored(c.frame) for c in _both_clean(spark, folder))
     drift = A.feature_drift(reference, current, SQUARED, CATEGORY_COLUMNS)
     return _rounded(drift, ["psi"])
 
@@ -625,8 +638,8 @@ def experiment_summary(spark, folder):
 
 
 def rule_baseline(spark, folder):
-    history = _train_clean(spark, folder).frame
-    judged = A.rule_baseline(history, _new_clean(spark, folder).frame)
+    history, new = _both_clean(spark, folder)
+    judged = A.rule_baseline(history.frame, new.frame)
     kept = judged.select("booking_id", "historical_cancel_rate", "rule_flag")
     return _rounded(kept, ["historical_cancel_rate"])
 

@@ -10,6 +10,7 @@ from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
+_local_roots: dict[str, str] = {}  # by application; local sessions without the setting only
 _scope: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)
 
 
@@ -42,8 +43,10 @@ def scratch_root(spark: SparkSession) -> str:
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="lodgecast-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        application = spark.sparkContext.applicationId
+        root = _local_roots.get(application)
+        if root is None:
+            root = _local_roots[application] = tempfile.mkdtemp(prefix="lodgecast-")
     return f"{root.rstrip('/')}/lodgecast-{spark.sparkContext.applicationId}"
 
 

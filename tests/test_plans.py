@@ -162,3 +162,20 @@ def test_scoped_intermediates_are_deleted(spark):
         path = stored(spark.range(3)).inputFiles()[0].removeprefix("file://")
         assert os.path.exists(path)
     assert not os.path.exists(path)
+
+
+def test_scratch_folder_without_the_setting():
+    from types import SimpleNamespace
+
+    from lodgecast.session import scratch_root
+
+    def session(master):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda key, default: default),
+            sparkContext=SimpleNamespace(master=master, applicationId="app-1"),
+        )
+
+    local = scratch_root(session("local[2]"))
+    assert local == scratch_root(session("local[2]")) and local.endswith("lodgecast-app-1")
+    with pytest.raises(ValueError):
+        scratch_root(session("yarn"))

@@ -34,6 +34,7 @@ def training_metrics(summary: DataFrame, evaluation: DataFrame) -> DataFrame:
 
 def batch_metrics(summary: DataFrame, scores: DataFrame) -> DataFrame:
     """Long metrics of a scoring run, one aggregation over the scores."""
+    # Metric names, here and in training_metrics.
     p = F.col("probability_of_cancellation")
     scored = scores.agg(
         F.count(F.lit(1)).alias("predictions_count"),

@@ -225,6 +225,7 @@ def training_report(
     model_name: str = MODEL_NAME,
 ) -> dict:
     """Report of a training run; written as JSON next to the model."""
+    # Report layout.
     return {
         "split": {
             "test_size": test_size,

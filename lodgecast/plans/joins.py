@@ -25,7 +25,7 @@ def lookup_join(
 
     Salted: each row goes to one of ``salts`` parts of its key, chosen by its content, and the
     table is repeated once per part. The salt comes from the row itself, so a repeated task
-    sends the row to the same part.
+    sends the row to the same part; rows equal in every column share a part.
     """
     keys = list(keys)
     table = stored(table, "lookup")  # counted and joined, so computed once

@@ -36,7 +36,7 @@ class Fence:
     least: int
 
 
-FENCES = (Fence("symbols", 6, 60), Fence("dup_lines", 6, 300), Fence("repeats", 6, 300))
+FENCES = (Fence("symbols", 6, 60), Fence("dup_lines", 6, 800), Fence("repeats", 6, 800))
 
 
 def measure_rules(docs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodgecast.llm.common import table
 from lodgecast.llm.html_extract import extract_main_text
+from lodgecast.llm.jaccard_join import near_duplicate_report
 from lodgecast.llm.license_scan import scan_licenses
 from lodgecast.llm.line_dedup import line_report
 from lodgecast.llm.mixing import mix_report
@@ -22,6 +23,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_report(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_cube_mix,
         op2_html_extraction,
+        op3_jaccard_join,
         op4_exact_top_k,
         op5_quality_classifier,
         op6_line_dedup,

@@ -16,6 +16,7 @@ from lodgecast.llm.mixing import mix_report
 from lodgecast.llm.packing import pack_documents
 from lodgecast.llm.quality_classifier import classify
 from lodgecast.llm.quality_rules import rules_report
+from lodgecast.llm.substring_dedup import substring_report
 from lodgecast.llm.topk_search import exact_top_k
 
 
@@ -51,6 +52,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_report(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_line_dedup,
         op7_quality_rules,
         op8_best_fit_packing,
+        op9_substring_dedup,
         op10_license_scan,
     )
 }

@@ -1,31 +1,70 @@
-"""The corpus pipeline: quality rules, line dedup, near-duplicate join, mixing, packing."""
+"""The corpus pipeline: quality rules, line dedup, near-duplicate join, source mix, packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last keep the
+columns of ``documents``. A stage's result is written before the next one reads it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lodgecast.llm.common import SPACE, table, whole_text
+from lodgecast.llm.jaccard_join import one_per_group
 from lodgecast.llm.line_dedup import drop_shared_lines
+from lodgecast.llm.mixing import mixed_rows
+from lodgecast.llm.packing import pack_documents
 from lodgecast.llm.quality_rules import keep_good
 from lodgecast.plans.storage import stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """The documents that pass the base rules and their group's fences."""
     return keep_good(docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier document holds; texts left without a word go."""
-    return drop_shared_lines(docs).select(*docs.columns)
+    """Documents without the lines that an earlier one holds; those left without a word go.
+
+    ``n_chars`` becomes the length of what is left, where the documents have that column.
+    """
+    cleaned = drop_shared_lines(docs)
+    emptied = (F.col("_llm_dropped") > 0) & (F.btrim(whole_text(), F.lit(SPACE)) == "")
+    kept = cleaned.filter(~emptied)
+    if "n_chars" in docs.columns:
+        left = F.length("text").cast(docs.schema["n_chars"].dataType)
+        kept = kept.withColumn("n_chars", F.when(F.col("_llm_dropped") > 0, left).otherwise(F.col("n_chars")))
+    return kept.select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return one_per_group(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document as often as its source's target takes it."""
+    return mixed_rows(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed documents' pieces with their sequence and place in it."""
+    return pack_documents(docs)
 
 
-STAGES = [("quality_rules", quality_stage), ("line_dedup", line_stage)]
-ORACLE_SQL = None
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("source_mix", mixing_stage),
+    ("packing", packing_stage),
+]
+ORACLE_SQL = None  # The mix is drawn, and the packing found by search: neither is SQL.
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``, each written and read again by the next one."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages applied to ``documents``."""
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

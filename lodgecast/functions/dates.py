@@ -10,22 +10,38 @@ from pyspark.sql import functions as F
 SHAPES = {
     r"^\d{4}-\d{1,2}-\d{1,2}$": ["yyyy-M-d"],
     r"^\d{1,2}/\d{1,2}/\d{4}$": ["M/d/yyyy", "d/M/yyyy"],
-    r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$": ["yyyy-M-d H:mm:ss"],
-    r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}$": ["yyyy-M-d'T'H:mm:ss"],
     r"^\d{8}$": ["yyyyMMdd"],
     r"^\d{4}/\d{1,2}/\d{1,2}$": ["yyyy/M/d"],
-    r"^[A-Za-z]{3} \d{1,2}, \d{4}$": ["MMM d, yyyy"],
-    r"^\d{1,2} [A-Za-z]{3} \d{4}$": ["d MMM yyyy"],
+    r"^\d{4}\.\d{1,2}\.\d{1,2}$": ["yyyy.M.d"],
     r"^\d{1,2}-\d{1,2}-\d{4}$": ["M-d-yyyy", "d-M-yyyy"],
+    r"^\d{1,2}\.\d{1,2}\.\d{4}$": ["M.d.yyyy", "d.M.yyyy"],
+    r"^[A-Za-z]{3} \d{1,2},? \d{4}$": ["MMM d[,] yyyy"],
+    r"^[A-Za-z]{4,9} \d{1,2},? \d{4}$": ["MMMM d[,] yyyy"],
+    r"^\d{1,2} [A-Za-z]{3} \d{4}$": ["d MMM yyyy"],
+    r"^\d{1,2} [A-Za-z]{4,9} \d{4}$": ["d MMMM yyyy"],
+    r"^\d{1,2}-[A-Za-z]{3}-\d{4}$": ["d-MMM-yyyy"],
+}
+# The same with two-digit years, which stand for 1969 to 2068.
+SHORT_SHAPES = {
     r"^\d{1,2}/\d{1,2}/\d{2}$": ["M/d/yy", "d/M/yy"],
+    r"^\d{1,2}-\d{1,2}-\d{2}$": ["M-d-yy", "d-M-yy"],
+    r"^\d{1,2}-[A-Za-z]{3}-\d{2}$": ["d-MMM-yy"],
 }
+LAST_SHORT_YEAR = 2068
+# A time of day behind the date; it is checked and left away.
+CLOCK = r"[ T]([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d([.]\d{1,9})?)?$"
 
 
 def parse_date(column: str) -> Column:
     """Date of a mixed-format string, null when it is none. Day first only if month first fails."""
     text = f"trim(`{column}`)"
+    text = f"if(instr({text}, ':') > 0, regexp_replace({text}, r'{CLOCK}', ''), {text})"
     branches = []
-    for shape, formats in SHAPES.items():
+    for shape, formats in {**SHAPES, **SHORT_SHAPES}.items():
         attempts = ", ".join(f'try_to_date({text}, "{f}")' for f in formats)
-        branches.append(f"WHEN {text} RLIKE r'{shape}' THEN coalesce({attempts})")
+        found = f"coalesce({attempts})"
+        if shape in SHORT_SHAPES:
+            late = f"year({found}) > {LAST_SHORT_YEAR}"
+            found = f"if({late}, add_months({found}, -1200), {found})"
+        branches.append(f"WHEN {text} RLIKE r'{shape}' THEN {found}")
     return F.expr(f"CASE {' '.join(branches)} END")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodgecast.schemas import HIGH_RISK_THRESHOLD, SEED, SEGMENT_HIGH, SEGMENT_REGULAR, SEGMENT_TOP
+from lodgecast.schemas import HIGH_RISK_THRESHOLD, ID, SEED, SEGMENT_HIGH, SEGMENT_REGULAR, SEGMENT_TOP
 
 # Coefficients of the scorecard, a logistic model over cleaned bookings.
 SCORECARD_INTERCEPT = -1.2
@@ -58,3 +58,9 @@ def uniform_hash(key: Column, salt: str | int = SEED) -> Column:
     """A repeatable number in [0, 2**52): the first 13 hex digits of md5(key|salt)."""
     digest = F.md5(F.concat_ws("|", key, F.lit(str(salt))))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
+
+
+def row_key(df: DataFrame) -> Column:
+    """What identifies a booking: its id, or its content where there is none."""
+    content = F.to_json(F.struct(*[c for c in df.columns if c != ID]))
+    return F.coalesce(F.col(ID).cast("string"), content) if ID in df.columns else content

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodgecast.functions.scoring import scorecard_probability, uniform_hash
+from lodgecast.functions.scoring import row_key, scorecard_probability, uniform_hash
 from lodgecast.operators.clean import count_duplicates, parse_reservation_date
 from lodgecast.operators.rank import PROBABILITY
 from lodgecast.operators.validate import is_invalid
@@ -62,13 +62,9 @@ def segment_cancel_rate(
 def class_balance(df: DataFrame, label: str = LABEL) -> DataFrame:
     """Rows and share per label value (null is a value of its own)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("bookings"))
-    total = df.agg(F.count(F.lit(1)).alias("_all"))
-    # The total is a single aggregated row.
-    return (
-        counts.withColumn("_one", F.lit(1))
-        .join(total.withColumn("_one", F.lit(1)), "_one")
-        .select(label, "bookings", (F.col("bookings") / F.col("_all")).alias("share"))
-    )
+    # One row per label value reaches the window.
+    everything = F.sum("bookings").over(Window.partitionBy())
+    return counts.select(label, "bookings", (F.col("bookings") / everything).alias("share"))
 
 
 def feature_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -256,8 +252,11 @@ def feature_drift(
 def assign_experiment(
     df: DataFrame, groups: Sequence[str] = ("control", "treatment"), salt: str = "pilot"
 ) -> DataFrame:
-    """Add ``experiment_group``, fixed by the booking id and the salt."""
-    slot = F.pmod(uniform_hash(F.col(ID), salt), F.lit(len(groups)))
+    """Add ``experiment_group``, fixed by the booking id and the salt.
+
+    Bookings without id go by their content, so they spread over the groups too.
+    """
+    slot = F.pmod(uniform_hash(row_key(df), salt), F.lit(len(groups)))
     names = F.array(*[F.lit(g) for g in groups])
     return df.withColumn("experiment_group", F.get(names, slot.cast("int")))
 

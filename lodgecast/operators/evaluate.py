@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodgecast.functions.scoring import round_half_even
-from lodgecast.plans.numbering import number_rows
+from lodgecast.plans.numbering import running_total
 
 METRICS = ["accuracy", "precision", "recall", "f1", "roc_auc"]
 
@@ -14,8 +14,8 @@ METRICS = ["accuracy", "precision", "recall", "f1", "roc_auc"]
 def confusion_counts(
     predictions: DataFrame, label: str = "label", prediction: str = "prediction"
 ) -> DataFrame:
-    """One row: tp, fp, tn, fn; class 1 is positive."""
-    actual, predicted = F.col(label) == 1, F.col(prediction) == 1
+    """One row: tp, fp, tn, fn; class 1 is positive. Rows without a label are not counted."""
+    actual, predicted = F.col(label) == 1, F.coalesce(F.col(prediction) == 1, F.lit(False))
     return predictions.agg(
         F.count_if(actual & predicted).alias("tp"),
         F.count_if(~actual & predicted).alias("fp"),
@@ -29,20 +29,19 @@ def roc_auc(
 ) -> DataFrame:
     """One row ``roc_auc``: the rank-sum statistic, tied scores sharing their mean rank.
 
-    Null when only one class is present.
+    Null when only one class is present. Rows without a label or a score do not take part.
+    Equal scores are combined before anything is sorted.
     """
-    ranked = number_rows(
-        predictions.select(F.col(label).alias("label"), F.col(probability).alias("score")),
-        [F.col("score").asc()],
+    kept = predictions.select(F.col(label).alias("label"), F.col(probability).alias("score"))
+    scores = (
+        kept.filter(F.col("label").isNotNull() & F.col("score").isNotNull())
+        .groupBy("score")
+        .agg(F.count_if(F.col("label") == 1).alias("positives"), F.count(F.lit(1)).alias("rows"))
     )
     # A group's mean position is half its first plus half its last: exact in doubles.
-    tied = ranked.groupBy("score").agg(
-        ((F.min("position") + F.max("position")) / 2).alias("mean_rank"),
-        F.count_if(F.col("label") == 1).alias("positives"),
-        F.count(F.lit(1)).alias("rows"),
-    )
-    total = tied.agg(
-        F.sum(F.col("mean_rank") * F.col("positives")).alias("rank_sum"),
+    mean_rank = F.col("before") + (F.col("rows") + 1) / 2
+    total = running_total(scores, "score", "rows", "before").agg(
+        F.sum(mean_rank * F.col("positives")).alias("rank_sum"),
         F.sum("positives").cast("double").alias("p"),
         F.sum("rows").cast("double").alias("n"),
     )

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodgecast.functions import scoring as S
 from lodgecast.plans.numbering import number_rows
+from lodgecast.plans.selection import text_at
+from lodgecast.plans.storage import stored
 from lodgecast.schemas import HIGH_RISK_THRESHOLD, ID, POSITION, RISK_SHARE, SCORE_COLUMNS
 
 PROBABILITY = "probability_of_cancellation"
@@ -51,6 +53,78 @@ def build_scoring_table(df: DataFrame, share: float = RISK_SHARE, keep: list[str
     return table.select(*SCORE_COLUMNS, *keep)
 
 
+def flag_riskiest(df: DataFrame, share: float = RISK_SHARE, keep: list[str] = ()) -> DataFrame:
+    """Flags and segments as in :func:`build_scoring_table`, without ranking the rows.
+
+    Rounded probabilities have few values, so one count of them gives the probability of the
+    last flagged rank; among rows of that probability an id cuts them off. Rows are then judged
+    one by one.
+    """
+    rounded = stored(round_probability(df.select(ID, PROBABILITY, *keep)), "probabilities")
+    flag = _top_flag(rounded, share)
+    if flag is None:  # equal ids lie on the cut: only their places tell them apart
+        return build_scoring_table(rounded, share, keep).drop("rank", "risk_percentile")
+    flagged = rounded.withColumn("is_high_risk", flag.cast("int"))
+    return flagged.withColumn("risk_segment", S.top_share_segment(F.col("is_high_risk"))).select(
+        ID, PROBABILITY, "is_high_risk", "risk_segment", *keep
+    )
+
+
+def _top_flag(rounded: DataFrame, share: float) -> Column | None:
+    """Whether a row is among the first ranks; None if ids cannot tell."""
+    values = rounded.groupBy(PROBABILITY).agg(F.count(F.lit(1)).alias("rows"))
+    # At most 10,001 rounded probabilities reach this window.
+    down = Window.orderBy(F.col(PROBABILITY).desc_nulls_last())
+    placed = values.select(
+        PROBABILITY,
+        "rows",
+        F.sum("rows").over(down.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
+        F.sum("rows").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"),
+    ).withColumn("top", S.high_risk_count(F.col("all"), share))
+    cut = placed.filter((F.col("upto") >= F.col("top")) & (F.col("upto") - F.col("rows") < F.col("top"))).first()
+    if cut is None:
+        return F.lit(False)  # no rows
+    at = F.col(PROBABILITY).eqNullSafe(F.lit(cut[PROBABILITY]))
+    above = F.col(PROBABILITY) > F.lit(cut[PROBABILITY])
+    if cut[PROBABILITY] is None:
+        above = F.col(PROBABILITY).isNotNull()
+    above = F.coalesce(above, F.lit(False))
+    wanted = cut["top"] - (cut["upto"] - cut["rows"])
+    if wanted == cut["rows"]:
+        return above | at
+    ties = rounded.filter(at).select(F.col(ID).cast("string").alias(ID))
+    last = text_at(ties, ID, wanted - 1)
+    within = F.col(ID).isNull() if last is None else F.col(ID).isNull() | (F.col(ID) <= F.lit(last))
+    if ties.filter(within).count() != wanted:
+        return None
+    return above | (at & within)
+
+
+def high_risk_table(df: DataFrame, share: float = RISK_SHARE) -> DataFrame:
+    """The flagged rows of :func:`build_scoring_table`; only they are ranked."""
+    total = df.count()
+    flagged = flag_riskiest(df, share).filter(F.col("is_high_risk") == 1)
+    ranked = rank_by_risk(flagged).withColumn("total_rows", F.lit(total))
+    return risk_percentile(ranked).select(*SCORE_COLUMNS)
+
+
+def result_totals(df: DataFrame, share: float = RISK_SHARE) -> DataFrame:
+    """Rows, and how many of them are flagged, without ranking any."""
+    rows = df.agg(F.count(F.lit(1)).alias("total_bookings"))
+    some = F.col("total_bookings") > 0
+    top = F.when(some, S.high_risk_count(F.col("total_bookings"), share)).otherwise(F.lit(0).cast("long"))
+    return rows.withColumn("high_risk_count", top)
+
+
+def riskiest(df: DataFrame, k: int = 5, share: float = RISK_SHARE) -> DataFrame:
+    """The first ``k`` rows of :func:`build_scoring_table`, found without ranking the others."""
+    rounded = round_probability(df.select(ID, PROBABILITY))
+    first = rounded.orderBy(*_by_risk()).limit(k)
+    few = first.withColumn("rank", F.row_number().over(Window.orderBy(*_by_risk())).cast("long"))
+    table = risk_percentile(few.withColumn("total_rows", F.lit(df.count())))
+    return flag_top_share(table, share).select(*SCORE_COLUMNS)
+
+
 def assign_missing_ids(df: DataFrame, order_col: str = POSITION) -> DataFrame:
     """Ids 1..n along ``order_col`` if the id column is absent; otherwise unchanged.
 
@@ -70,13 +144,19 @@ def flag_by_threshold(df: DataFrame, threshold: float = HIGH_RISK_THRESHOLD) ->
 
 
 def score_requests(df: DataFrame) -> DataFrame:
-    """Rank each request's bookings on their own, with the request's ``risk_share``."""
-    narrow = round_probability(df.select("request_id", "risk_share", ID, PROBABILITY))
+    """Rank each request's bookings on their own, with the request's ``risk_share``.
+
+    A request is one ``document_id`` if the column is there, else one ``request_id``: documents
+    of equal content or equal client ids are still requests of their own.
+    """
+    request = "document_id" if "document_id" in df.columns else "request_id"
+    names = list(dict.fromkeys([request, "request_id"]))
+    narrow = round_probability(df.select(*names, "risk_share", ID, PROBABILITY))
     ranked = number_rows(
-        narrow, _by_risk(), within=["request_id"], position="rank", group_rows="total_rows"
+        narrow, _by_risk(), within=[request], position="rank", group_rows="total_rows"
     )
     table = flag_top_share(risk_percentile(ranked), F.col("risk_share"))
-    return table.select("request_id", *SCORE_COLUMNS)
+    return table.select(*names, *SCORE_COLUMNS)
 
 
 def filter_high_risk(scores: DataFrame) -> DataFrame:

@@ -12,9 +12,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodgecast.functions.scoring import uniform_hash
+from lodgecast.functions.scoring import row_key, uniform_hash
 from lodgecast.plans.selection import CANDIDATES, order_statistics
-from lodgecast.schemas import ID, LABEL, SEED, TEST_SIZE
+from lodgecast.schemas import LABEL, SEED, TEST_SIZE
 
 
 def class_quotas(counts: dict[int, int], size: float) -> dict[int, int]:
@@ -33,15 +33,9 @@ def class_quotas(counts: dict[int, int], size: float) -> dict[int, int]:
     return {label: counts[label] - kept[label] for label in counts}
 
 
-def _split_number(df: DataFrame, seed: int) -> Column:
-    content = F.to_json(F.struct(*[c for c in df.columns if c != ID]))
-    key = F.coalesce(F.col(ID).cast("string"), content) if ID in df.columns else content
-    return uniform_hash(key, seed)
-
-
 def _parts(df: DataFrame, sizes: dict[str, float], label: str, seed: int, limit: int) -> DataFrame:
     """Add ``split``: parts of ``sizes`` are cut off in turn, the rest is ``train``."""
-    numbered = df.withColumn("_number", _split_number(df, seed))
+    numbered = df.withColumn("_number", uniform_hash(row_key(df), seed))
     counts = {
         row[label]: row["rows"]
         for row in numbered.groupBy(label).agg(F.count(F.lit(1)).alias("rows")).collect()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodgecast.functions.scoring import uniform_hash
+from lodgecast.functions.scoring import row_key, uniform_hash
 from lodgecast.operators.clean import Cleaned, preprocess_bookings
 from lodgecast.operators.evaluate import METRICS, evaluate
 from lodgecast.operators.rank import (
@@ -171,7 +171,7 @@ def cross_validate(
 
     Folds come from the booking id, so a rerun uses the same ones.
     """
-    folded = train.withColumn("fold", F.pmod(uniform_hash(F.col(ID), seed), F.lit(folds)).cast("int"))
+    folded = train.withColumn("fold", F.pmod(uniform_hash(row_key(train), seed), F.lit(folds)).cast("int"))
     classifier = GBTClassifier(labelCol=LABEL, seed=seed, **(base or {}))
     categories = fit_categories(train)
     widest = max([len(v) for v in categories.labelsArray], default=0) + 1
@@ -188,7 +188,7 @@ def cross_validate(
     model = CrossValidator(
         estimator=Pipeline(stages=[categories, features, classifier]),
         estimatorParamMaps=settings,
-        evaluator=BinaryClassificationEvaluator(labelCol=LABEL),
+        evaluator=BinaryClassificationEvaluator(labelCol=LABEL, numBins=0),  # every score, not bins
         numFolds=folds,
         foldCol="fold",
         seed=seed,

@@ -67,3 +67,24 @@ def number_rows(
     return joined.select(
         *df.columns, group_rows, (F.col("_place") + F.col("_shift")).alias(position)
     )
+
+
+def running_total(df: DataFrame, order: str, value: str, total: str) -> DataFrame:
+    """Add ``total``: the sum of ``value`` over the rows with a smaller ``order``.
+
+    ``order`` is unique and not null. The rows are range-sorted and written; each slice adds up
+    its own, and the sums of earlier slices (one row per slice) are broadcast.
+    """
+    ordered = stored(
+        df.orderBy(order).withColumn("_slice", F.spark_partition_id()), "running-total"
+    )
+    earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = ordered.groupBy("_slice").agg(F.sum(value).alias("_sum"))
+    offsets = slices.select("_slice", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum(value).over(inside), F.lit(0))
+    return (
+        ordered.join(F.broadcast(offsets), "_slice")
+        .withColumn(total, F.col("_before") + within)
+        .drop("_slice", "_before")
+    )

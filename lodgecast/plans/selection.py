@@ -205,3 +205,35 @@ def _large_quantiles(
         ]
         for c, n in neighbours.items()
     }
+
+
+def text_at(df: DataFrame, column: str, index: int, limit: int = CANDIDATES) -> str | None:
+    """Value at 0-based position ``index`` of a text column in ascending order, nulls first.
+
+    The position is narrowed by counting prefixes, two characters more each round, until few
+    values or one are left. ``df`` is read once per round; the driver sees one row per prefix.
+    """
+    nulls = df.filter(F.col(column).isNull()).count()
+    if index < nulls:
+        return None
+    left, prefix = index - nulls, ""
+    while True:
+        inside = df.filter(F.col(column).startswith(prefix))
+        width = len(prefix) + 2
+        counted = inside.groupBy(F.substring(column, 1, width).alias("prefix")).agg(
+            F.count(F.lit(1)).alias("rows")
+        )
+        # Code point order is the order of the texts' bytes.
+        for row in sorted(counted.collect(), key=lambda r: r["prefix"]):
+            if left < row["rows"]:
+                break
+            left -= row["rows"]
+        else:
+            raise ValueError(f"{column} has no value at {index}")
+        prefix = row["prefix"]
+        if len(prefix) < width:  # nothing follows: all of them are this text
+            return prefix
+        if row["rows"] <= limit:
+            values = F.sort_array(F.collect_list(column))
+            kept = df.filter(F.col(column).startswith(prefix)).agg(values.alias("v"))
+            return kept.select(F.get("v", F.lit(left))).first()[0]

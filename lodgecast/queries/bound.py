@@ -22,6 +22,7 @@ from lodgecast.session import scratch_path
 from lodgecast.sinks import artifacts, files, tables
 from lodgecast.sources import bookings as B
 from lodgecast.sources import orders as O
+from lodgecast.sources import requests as Q
 from lodgecast.streaming import scoring as T
 
 # Small settings, so that a check run ends soon; training jobs default to the full ones.
@@ -74,10 +75,9 @@ def _scores(spark: SparkSession, folder: str, share: float = 0.3) -> DataFrame:
     return R.build_scoring_table(_new_scored(spark, folder), share)
 
 
-def _train_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Score table of the labelled bookings, label and segment columns kept."""
-    keep = [LABEL, *CATEGORY_COLUMNS]
-    return R.build_scoring_table(_train_scored(spark, folder), keep=keep)
+def _train_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled bookings with their probability and flag, label and segment columns kept."""
+    return R.flag_riskiest(_train_scored(spark, folder), keep=[LABEL, *CATEGORY_COLUMNS])
 
 
 def _predictions(spark: SparkSession, folder: str) -> DataFrame:
@@ -151,7 +151,54 @@ def _request_files(spark: SparkSession, folder: str, complete: bool = False) ->
 
 
 def read_booking_requests(spark, folder):
-    return B.read_booking_requests(spark, _request_files(spark, folder)).drop("position")
+    read = Q.read_booking_requests(spark, _request_files(spark, folder))
+    return read.drop("position", "document_id", "type_errors")
+
+
+def _mixed_request_files(spark: SparkSession, folder: str) -> str:
+    """Request files of which most have a fault, by the number of their block of bookings.
+
+    0 cut off, 1 in a list, 2 without bookings, 3 bookings no list, 4 no booking, 5 an unreadable
+    share, 6 a number for a text, 7 sent twice, 8 without an id.
+    """
+    documents = _request_documents(C.impute(_new(spark, folder)))
+    kind = F.substring("request_id", 4, 20).cast("long") % 9
+    whole = F.to_json(F.struct("request_id", "risk_share", "bookings"))
+    text = F.when(kind == 0, F.expr("left(whole, length(whole) - 1)"))
+    for number, sent in (
+        (1, F.concat(F.lit("["), F.col("whole"), F.lit("]"))),
+        (2, F.to_json(F.struct("request_id", "risk_share"))),
+        (3, F.to_json(F.struct("request_id", F.lit("none").alias("bookings")))),
+        (4, F.to_json(F.struct("request_id", F.array().cast("array<string>").alias("bookings")))),
+        (5, F.to_json(F.struct("request_id", F.lit("abc").alias("risk_share"), "bookings"))),
+        (6, F.replace("whole", F.lit('"type of meal":"'), F.lit('"type of meal":5,"was":"'))),
+        (8, F.to_json(F.struct("risk_share", "bookings"))),
+    ):
+        text = text.when(kind == number, sent)
+    times = F.when(kind == 7, 2).otherwise(1)
+    sent = documents.withColumn("whole", whole).select(
+        F.explode(F.array_repeat(text.otherwise(F.col("whole")), times)).alias("value")
+    )
+    path = scratch_path(spark, "requests")
+    sent.write.text(path)
+    return path
+
+
+def read_booking_requests_rejected(spark, folder):
+    """What is handed back of the faulty request files, with the reasons."""
+    bookings, broken = Q.read_requests(spark, _mixed_request_files(spark, folder))
+    invalid = V.validate_requests(bookings)[1].select(*broken.columns)
+    rejected = broken.unionByName(invalid).withColumn("errors", F.array_join("errors", "; "))
+    return rejected.drop("document_id")
+
+
+def score_equal_payloads(spark, folder):
+    """Ranks of the documents that were sent twice: each is a request of its own."""
+    bookings, _ = Q.read_requests(spark, _mixed_request_files(spark, folder))
+    valid = V.validate_requests(bookings)[0].filter(F.col("request_id").isNotNull())
+    dated = V.drop_invalid_dates(C.parse_reservation_date(valid))
+    scored = A.score_scorecard(C.booking_features(dated))
+    return R.score_requests(scored).drop("document_id")
 
 
 def write_processed(spark, folder):
@@ -169,7 +216,7 @@ def write_scores(spark, folder):
 
 def write_high_risk(spark, folder):
     path = scratch_path(spark, "high-risk")
-    files.write_high_risk(_scores(spark, folder), path)
+    files.write_high_risk(R.high_risk_table(_new_scored(spark, folder)), path)
     return spark.read.parquet(path)
 
 
@@ -196,6 +243,15 @@ def append_monitoring(spark, folder):
     return spark.table(table).drop("created_at")
 
 
+def append_monitoring_types(spark, folder):
+    """Run types and models of one run keep their rows beside each other."""
+    table = f"{_run_database(spark)}.monitoring_metrics"
+    metrics = stored(batch_metrics(spark, folder))
+    for run_type, model in (("train", "scorecard"), ("batch_predict", "scorecard"), ("train", "other")):
+        tables.append_monitoring(metrics, table, run_type, model, "run-1")
+    return spark.table(table).drop("created_at")
+
+
 def append_model_run(spark, folder):
     table = f"{_run_database(spark)}.model_runs"
     metrics = E.evaluate(_predictions(spark, folder))
@@ -261,7 +317,7 @@ def drop_invalid_dates(spark, folder):
 
 
 def filter_high_risk(spark, folder):
-    return R.filter_high_risk(_scores(spark, folder))
+    return R.high_risk_table(_new_scored(spark, folder))
 
 
 def select_features(spark, folder):
@@ -316,6 +372,31 @@ def parse_reservation_date(spark, folder):
     return C.parse_reservation_date(dated)
 
 
+def parse_reservation_date_shapes(spark, folder):
+    """Order dates in further shapes: times of day, month names, dots, two-digit years."""
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    k = F.col("o_orderkey")
+    century = F.element_at(F.array(F.lit(2068), F.lit(1969), F.lit(1999)), (k % 3 + 1).cast("int"))
+    short = k % 16 >= 13
+    day = F.make_date(
+        F.when(short, century).otherwise(F.year("o_orderdate")),
+        F.month("o_orderdate"),
+        F.least(F.dayofmonth("o_orderdate"), F.lit(28)),
+    )
+    # Formats by order number.
+    formats = [
+        "yyyy-MM-dd '10:00'", "yyyy-MM-dd'T10:00'", "yyyy-MM-dd '23:59:59.000'", "M/d/yyyy '9:05'",
+        "d MMMM yyyy", "MMMM d, yyyy", "MMM d yyyy", "d-MMM-yyyy", "MM.dd.yyyy", "yyyy.MM.dd",
+        "yyyy-MM-dd'T10:00:00.123456'", "MMMM d yyyy", "yyyy-MM-dd '24:61'",
+        "M/d/yy", "dd-MMM-yy", "M-d-yy",
+    ]
+    text = F.lit(None).cast("string")
+    for i, form in enumerate(formats):
+        text = F.when(k % 16 == i, F.date_format(day, form)).otherwise(text)
+    parsed = C.parse_reservation_date(orders.select("o_orderkey", text.alias("date_of_reservation")))
+    return parsed.drop("date_of_reservation")
+
+
 def count_invalid_dates(spark, folder):
     filled = C.impute_mode(stored(_bookings(spark, folder)), ["date_of_reservation"])
     return C.count_invalid_dates(filled)
@@ -417,11 +498,11 @@ def score_requests(spark, folder):
 
 
 def batch_result_counts(spark, folder):
-    return R.batch_result_counts(_scores(spark, folder))
+    return R.result_totals(_new_scored(spark, folder))
 
 
 def top_risk_preview(spark, folder):
-    return R.top_risk_preview(_scores(spark, folder))
+    return R.riskiest(stored(_new_scored(spark, folder)))
 
 
 def standard_output(spark, folder):
@@ -442,10 +523,11 @@ def split_three_way(spark, folder):
 
 
 def encode_categories(spark, folder):
-    """Meal plans unseen in training get the number after the last."""
+    """Meal plans unseen in training get the number after the last; half of one is renamed."""
     train, test = _split(spark, folder)
-    seen = train.filter(F.col("type_of_meal") != "Meal Plan 1")
-    _, coded = M.encode_categories(seen, test)
+    renamed = (F.col("type_of_meal") == "Meal Plan 1") & (_booking_number() % 2 == 0)
+    test = test.withColumn("type_of_meal", F.when(renamed, "Meal Plan 9").otherwise(F.col("type_of_meal")))
+    _, coded = M.encode_categories(train, test)
     names = [f"{c}_index" for c in CATEGORY_COLUMNS]
     return coded.select("booking_id", *[F.col(n).cast("int").alias(n) for n in names])
 
@@ -557,12 +639,12 @@ def metrics_to_long(spark, folder):
 
 
 def lift_at_share(spark, folder):
-    lift = A.lift_at_share(_train_scores(spark, folder))
+    lift = A.lift_at_share(_train_flags(spark, folder))
     return _rounded(lift, ["top_cancel_rate", "overall_cancel_rate", "lift"])
 
 
 def segment_cancel_rate(spark, folder):
-    return _rounded(A.segment_cancel_rate(_train_scores(spark, folder)), ["cancel_rate"])
+    return _rounded(A.segment_cancel_rate(_train_flags(spark, folder)), ["cancel_rate"])
 
 
 def class_balance(spark, folder):
@@ -633,7 +715,7 @@ def assign_experiment(spark, folder):
 
 
 def experiment_summary(spark, folder):
-    groups = A.assign_experiment(_train_scores(spark, folder))
+    groups = A.assign_experiment(_train_flags(spark, folder))
     return _rounded(A.experiment_summary(groups), ["mean_probability", "cancel_rate"])
 
 
@@ -658,7 +740,7 @@ def stream_score_single(spark, folder):
         requests, A.score_scorecard, output, scratch_path(spark, "stream-checkpoint")
     )
     query.awaitTermination()
-    return spark.read.parquet(output).drop("request_id")
+    return spark.read.parquet(output).drop("request_id", "document_id", "batch_id")
 
 
 def stream_score_requests(spark, folder):
@@ -668,23 +750,44 @@ def stream_score_requests(spark, folder):
         requests, A.score_scorecard, output, scratch_path(spark, "stream-checkpoint")
     )
     query.awaitTermination()
-    return spark.read.parquet(output).drop("batch_id")
+    return spark.read.parquet(output).drop("batch_id", "document_id")
 
 
-def stream_batch_metrics(spark, folder):
-    table = f"{_run_database(spark)}.monitoring_metrics"
-    requests = T.request_stream(
-        spark, _request_files(spark, folder, complete=True), files_per_batch=1_000_000
-    )
+def stream_rejected(spark, folder):
+    """What a stream of the faulty request files did not score, with the reasons."""
+    rejected = scratch_path(spark, "stream-rejected")
     query = T.stream_score_requests(
-        requests,
+        T.request_stream(spark, _mixed_request_files(spark, folder), files_per_batch=3),
         A.score_scorecard,
         scratch_path(spark, "stream-requests"),
         scratch_path(spark, "stream-checkpoint"),
-        metrics_table=table,
-        model_name="scorecard",
+        rejected=rejected,
     )
     query.awaitTermination()
+    rows = spark.read.parquet(rejected).drop("batch_id", "document_id")
+    return rows.withColumn("errors", F.array_join("errors", "; "))
+
+
+def stream_batch_metrics(spark, folder):
+    """Two streams, each stopped and started again with more files, in one table."""
+    table = f"{_run_database(spark)}.monitoring_metrics"
+    documents = stored(_request_documents(C.impute(_new(spark, folder))), "documents")
+    block = F.substring("request_id", 4, 20).cast("long")
+    for number, name in enumerate(("even", "odd")):
+        path, state, output = (scratch_path(spark, x) for x in ("requests", "state", "scores"))
+        for turn in (0, 1):
+            part = documents.filter((block % 2 == number) & (F.floor(block / 2) % 2 == turn))
+            part.write.mode("append").json(path)
+            query = T.stream_score_requests(
+                T.request_stream(spark, path, files_per_batch=1_000),
+                A.score_scorecard,
+                output,
+                state,
+                metrics_table=table,
+                model_name="scorecard",
+                stream_name=name,
+            )
+            query.awaitTermination()
     kept = spark.table(table).select("run_type", "metric_name", "metric_value", "run_id")
     return _rounded(kept, ["metric_value"])
 
@@ -693,6 +796,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         bookings_view, rename_to_wire, read_bookings_csv, read_booking_requests,
+        read_booking_requests_rejected, score_equal_payloads, append_monitoring_types,
+        parse_reservation_date_shapes, stream_rejected,
         write_processed, write_scores, write_high_risk, append_predictions, append_monitoring,
         append_model_run, scores_as_json,
         validate_rule_counts, validate_bookings, validate_rejected, validate_requests,

@@ -165,6 +165,7 @@ left{i + 1} AS (
 
 def _encode() -> str:
     cells = []
+    renamed = f"type_of_meal = 'Meal Plan 1' AND {_number()} % 2 = 0"
     for column in ("type_of_meal", "room_type", "market_segment_type"):
         cells.append(
             f"CAST(coalesce((SELECT i FROM codes WHERE codes.name = '{column}' "
@@ -173,14 +174,14 @@ def _encode() -> str:
         )
     seen = " UNION ALL ".join(
         f"SELECT '{c}' AS name, v, row_number() OVER (ORDER BY v) - 1 AS i FROM "
-        f"(SELECT DISTINCT {c} AS v FROM train_clean JOIN parted USING (booking_id) "
-        "WHERE split = 'train' AND type_of_meal <> 'Meal Plan 1')"
+        f"(SELECT DISTINCT {c} AS v FROM train_clean JOIN parted USING (booking_id) WHERE split = 'train')"
         for c in ("type_of_meal", "room_type", "market_segment_type")
     )
     return (
         with_tables(TRAIN, _split([("test", "0.2")]), f"codes AS ({seen})")
-        + f"SELECT booking_id, {', '.join(cells)} FROM train_clean t JOIN parted USING (booking_id) "
-        "WHERE split = 'test'"
+        + f"SELECT booking_id, {', '.join(cells)} FROM (SELECT * REPLACE (CASE WHEN {renamed} "
+        "THEN 'Meal Plan 9' ELSE type_of_meal END AS type_of_meal) FROM train_clean) t "
+        "JOIN parted USING (booking_id) WHERE split = 'test'"
     )
 
 
@@ -247,6 +248,42 @@ _DOCUMENT_SCORES = _request_scores(
     "new_scored", f"{_number()} // 20", f"(1 + ({_number()} // 20) % 5) / 10.0", "DOC"
 )
 
+_BLOCK = f"({_number()} // 20)"
+_DOCUMENT_NUMBER = "CAST(substr(request_id, 4) AS BIGINT)"
+_BLOCKS = f"blocks AS (SELECT {_BLOCK} AS n, {_BLOCK} % 9 AS k, booking_id FROM fresh)"
+_REJECTED = """
+SELECT CASE WHEN k > 1 THEN 'DOC' || n END AS request_id, CAST(NULL AS VARCHAR) AS booking_id,
+       CASE k WHEN 0 THEN 'document: Invalid JSON'
+              WHEN 1 THEN 'document: Input should be an object'
+              WHEN 2 THEN 'bookings: Field required'
+              WHEN 3 THEN 'bookings: Input should be a valid list'
+              WHEN 4 THEN 'bookings: List should have at least 1 item' END AS errors
+FROM (SELECT DISTINCT n, k FROM blocks) WHERE k < 5
+UNION ALL
+SELECT 'DOC' || n, booking_id, CASE k WHEN 5 THEN 'risk_share must be in the range (0, 1]'
+                                      ELSE 'type_of_meal: Input should be a valid string' END
+FROM blocks WHERE k IN (5, 6)"""
+_UNDATED = f"""
+SELECT CASE WHEN {_BLOCK} % 9 = 7 THEN 'DOC' || {_BLOCK} END AS request_id, booking_id,
+       'date_of_reservation: Input should be a valid date' AS errors
+FROM new_dated, (VALUES (1), (2)) AS t (turn)
+WHERE d IS NULL AND ({_BLOCK} % 9 = 7 OR ({_BLOCK} % 9 = 8 AND turn = 1))"""
+_TURN = f"CASE WHEN {_BLOCK} % 2 = 0 THEN 'even' ELSE 'odd' END || '-' || ({_BLOCK} // 2 % 2)"
+_STREAM_METRICS = f"""
+metrics AS (
+  SELECT * FROM
+    (SELECT {_TURN} AS run_id, count(*) AS records_before_preprocessing FROM fresh GROUP BY 1)
+    JOIN (SELECT {_TURN} AS run_id, count(*) FILTER (WHERE d IS NOT NULL) AS records_after_preprocessing,
+                 count(*) FILTER (WHERE d IS NULL) AS invalid_dates_count
+          FROM new_dated GROUP BY 1) USING (run_id)
+    JOIN (SELECT {_TURN} AS run_id, count(*) AS predictions_count, sum(is_high_risk) AS high_risk_count,
+                 avg(is_high_risk) AS high_risk_share,
+                 avg(probability_of_cancellation) AS mean_cancellation_probability,
+                 max(probability_of_cancellation) AS max_cancellation_probability,
+                 min(probability_of_cancellation) AS min_cancellation_probability,
+                 avg(risk_percentile) AS avg_risk_percentile
+          FROM request_scores GROUP BY 1) USING (run_id))"""
+
 _DATE_TEXT = """
 texts AS (
   SELECT o_orderkey, CASE o_orderkey % 15
@@ -613,11 +650,20 @@ ORACLES: dict[str, str] = {
     "FROM new_scored",
     "stream_score_requests": with_tables(*NEW_SCORED, _DOCUMENT_SCORES)
     + "SELECT * FROM request_scores",
-    "stream_batch_metrics": with_tables(
-        *NEW_SCORED,
-        _DOCUMENT_SCORES,
-        "scores AS (SELECT * FROM request_scores)",
-        _BATCH_METRICS,
-    )
-    + _long("metrics", _METRIC_NAMES, ", 'stream_predict' AS run_type, 'stream-0' AS run_id"),
+    "stream_batch_metrics": with_tables(*NEW_SCORED, _DOCUMENT_SCORES, _STREAM_METRICS)
+    + _long("metrics", _METRIC_NAMES, ", 'stream_predict' AS run_type, run_id"),
+    "read_booking_requests_rejected": with_tables(NEW, _BLOCKS) + _REJECTED,
+    "score_equal_payloads": with_tables(*NEW_SCORED, _DOCUMENT_SCORES)
+    + "SELECT request_scores.* FROM request_scores, (VALUES (1), (2)) AS t (turn) "
+    f"WHERE {_DOCUMENT_NUMBER} % 9 = 7",
+    "stream_rejected": with_tables(NEW, _BLOCKS) + f"{_REJECTED} UNION ALL {_UNDATED}",
+    "append_monitoring_types": with_tables(*NEW_RANKED, _BATCH_METRICS)
+    + "SELECT * FROM ("
+    + _long("metrics", _METRIC_NAMES, ", 'run-1' AS run_id")
+    + "), (VALUES ('train', 'scorecard'), ('batch_predict', 'scorecard'), ('train', 'other')) "
+    "AS t (run_type, model_name)",
+    "parse_reservation_date_shapes": "SELECT o_orderkey, CASE WHEN o_orderkey % 16 <> 12 THEN make_date("
+    "CASE WHEN o_orderkey % 16 < 13 THEN year(o_orderdate) WHEN o_orderkey % 3 = 0 THEN 2068 "
+    "WHEN o_orderkey % 3 = 1 THEN 1969 ELSE 1999 END, month(o_orderdate), least(day(o_orderdate), 28)) "
+    "END AS reservation_date FROM orders",
 }

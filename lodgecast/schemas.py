@@ -111,15 +111,3 @@ def wire_text_schema(labelled: bool) -> T.StructType:
             if labelled or name != LABEL
         ]
     )
-
-
-def request_schema() -> T.StructType:
-    """One scoring request. Bookings are read as name -> text: both wire and canonical field
-    names are accepted, and some of them differ by case only."""
-    return T.StructType(
-        [
-            T.StructField("request_id", T.StringType()),
-            T.StructField("bookings", T.ArrayType(T.MapType(T.StringType(), T.StringType()))),
-            T.StructField("risk_share", T.DoubleType()),
-        ]
-    )

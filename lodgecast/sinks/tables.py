@@ -1,4 +1,5 @@
-"""The three run tables. Each is partitioned by run, and writing a run again replaces it.
+"""The three run tables. Each is partitioned by what identifies a write, and writing the same
+run, type and model again replaces only that.
 
 Three tables cannot be written in one transaction, so a failed job is simply run again with the
 same ``run_id``.
@@ -15,19 +16,25 @@ from pyspark.sql import functions as F
 # Table layouts.
 TABLES = {
     "model_runs": (
-        "model_name string, model_version string, accuracy double, f1 double, roc_auc double, "
-        "parameters_json string, created_at timestamp, run_id string"
+        "model_version string, accuracy double, f1 double, roc_auc double, "
+        "parameters_json string, created_at timestamp, run_id string, model_name string"
     ),
     "predictions": (
         "booking_id string, probability_of_cancellation double, rank bigint, "
-        "risk_percentile double, is_high_risk boolean, risk_segment string, model_name string, "
-        "created_at timestamp, run_id string"
+        "risk_percentile double, is_high_risk boolean, risk_segment string, "
+        "created_at timestamp, run_id string, model_name string"
     ),
     "monitoring_metrics": (
-        "run_type string, metric_name string, metric_value double, model_name string, "
-        "created_at timestamp, run_id string"
+        "metric_name string, metric_value double, "
+        "created_at timestamp, run_id string, model_name string, run_type string"
     ),
 }
+# What identifies a write, and so the partitions it replaces.
+KEYS = {
+    "model_runs": ["run_id", "model_name"],
+    "predictions": ["run_id", "model_name"],
+    "monitoring_metrics": ["run_id", "model_name", "run_type"],
+}
 
 
 def ensure_run_tables(spark: SparkSession, database: str, location: str | None = None) -> None:
@@ -37,22 +44,21 @@ def ensure_run_tables(spark: SparkSession, database: str, location: str | None =
     for name, columns in TABLES.items():
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) "
-            "USING parquet PARTITIONED BY (run_id)"
+            f"USING parquet PARTITIONED BY ({', '.join(KEYS[name])})"
         )
 
 
-def _replace_run(df: DataFrame, table: str, run_id: str, created_at: Column | None) -> None:
-    if not re.fullmatch(r"[A-Za-z0-9_.:-]+", run_id):
-        raise ValueError(f"run_id {run_id!r} may hold letters, digits and _ . : - only")
+def _replace(df: DataFrame, table: str, keys: dict[str, str], created_at: Column | None) -> None:
+    for name, value in keys.items():
+        if not re.fullmatch(r"[A-Za-z0-9_.: -]+", value):
+            raise ValueError(f"{name} {value!r} may hold letters, digits, blanks and _ . : - only")
     spark = df.sparkSession
     stamp = F.current_timestamp() if created_at is None else created_at
-    columns = [c for c in spark.table(table).columns if c != "run_id"]
+    columns = [c for c in spark.table(table).columns if c not in keys]
     rows = df.withColumn("created_at", stamp).select(*columns)
-    # A fixed partition value limits the overwrite to this run.
-    spark.sql(
-        f"INSERT OVERWRITE TABLE {table} PARTITION (run_id = '{run_id}') SELECT * FROM {{rows}}",
-        rows=rows,
-    )
+    # Fixed partition values limit the overwrite to this write's own rows.
+    place = ", ".join(f"{name} = '{value}'" for name, value in keys.items())
+    spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION ({place}) SELECT * FROM {{rows}}", rows=rows)
 
 
 def append_predictions(
@@ -62,7 +68,7 @@ def append_predictions(
     run_id: str,
     created_at: Column | None = None,
 ) -> None:
-    """Score rows of one run; flags become boolean, a missing id becomes the text ``None``."""
+    """Score rows of one run and model; flags become boolean, a missing id becomes the text ``None``."""
     rows = scores.select(
         F.coalesce(F.col("booking_id").cast("string"), F.lit("None")).alias("booking_id"),
         F.col("probability_of_cancellation").cast("double"),
@@ -70,9 +76,8 @@ def append_predictions(
         F.col("risk_percentile").cast("double"),
         F.col("is_high_risk").cast("boolean"),
         "risk_segment",
-        F.lit(model_name).alias("model_name"),
     )
-    _replace_run(rows, table, run_id, created_at)
+    _replace(rows, table, {"run_id": run_id, "model_name": model_name}, created_at)
 
 
 def append_monitoring(
@@ -83,14 +88,10 @@ def append_monitoring(
     run_id: str,
     created_at: Column | None = None,
 ) -> None:
-    """Long metrics of one run; run types in use are ``train`` and ``batch_predict``."""
-    rows = metrics.select(
-        F.lit(run_type).alias("run_type"),
-        "metric_name",
-        F.col("metric_value").cast("double"),
-        F.lit(model_name).alias("model_name"),
-    )
-    _replace_run(rows, table, run_id, created_at)
+    """Long metrics of one run, model and run type (``train``, ``batch_predict``, ...)."""
+    rows = metrics.select("metric_name", F.col("metric_value").cast("double"))
+    keys = {"run_id": run_id, "model_name": model_name, "run_type": run_type}
+    _replace(rows, table, keys, created_at)
 
 
 def append_model_run(
@@ -102,13 +103,12 @@ def append_model_run(
     run_id: str,
     created_at: Column | None = None,
 ) -> None:
-    """One row per training run: three metrics and the settings as JSON."""
+    """One row per training run and model: three metrics and the settings as JSON."""
     rows = metrics.select(
-        F.lit(model_name).alias("model_name"),
         F.lit(model_version).alias("model_version"),
         "accuracy",
         "f1",
         "roc_auc",
         F.lit(json.dumps(params, ensure_ascii=False)).alias("parameters_json"),
     )
-    _replace_run(rows, table, run_id, created_at)
+    _replace(rows, table, {"run_id": run_id, "model_name": model_name}, created_at)

@@ -1,4 +1,4 @@
-"""Bookings from CSV files and scoring requests from JSON files."""
+"""Bookings from CSV files."""
 
 from __future__ import annotations
 
@@ -6,15 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodgecast.schemas import (
-    COUNT_COLUMNS,
-    LABEL,
+    CANONICAL_TO_WIRE,
     MISSING_TOKENS,
     NUMERIC_COLUMNS,
     POSITION,
-    PRICE,
-    RISK_SHARE,
     WIRE_TO_CANONICAL,
-    request_schema,
     wire_text_schema,
 )
 
@@ -24,16 +20,22 @@ def rename_bookings(df: DataFrame, to: str = "canonical") -> DataFrame:
     if to == "canonical":
         return df.withColumnsRenamed(WIRE_TO_CANONICAL)
     if to == "wire":
-        return df.withColumnsRenamed({c: w for w, c in WIRE_TO_CANONICAL.items()})
+        return df.withColumnsRenamed(CANONICAL_TO_WIRE)
     raise ValueError(f"to must be 'canonical' or 'wire', not {to!r}")
 
 
 def read_bookings_csv(
-    spark: SparkSession, path: str, labelled: bool = True, position: bool = False
+    spark: SparkSession,
+    path: str,
+    labelled: bool = True,
+    position: bool = False,
+    multiline: bool = False,
 ) -> DataFrame:
     """Header CSV in wire names. Missing-value tokens become null, numbers become double.
 
-    Columns are matched by header name, so files may order them freely or lack the id.
+    Columns are matched by header name; all files of ``path`` have the same header, which may
+    lack the id. Rows with too few or too many cells fail the read. ``multiline`` allows line
+    breaks inside quoted cells, at the price of one task per file; without it they fail too.
     ``position`` adds ``input_position``, which sorts rows by file and place in the file.
     """
     header = spark.read.option("header", True).csv(path).columns
@@ -45,9 +47,12 @@ def read_bookings_csv(
         spark.read.option("header", True)
         .option("enforceSchema", False)
         .option("escape", '"')
+        .option("multiLine", multiline)
+        .option("mode", "FAILFAST")
         .schema(", ".join(f"`{name}` string" for name in header))
         .csv(path)
     )
+    # All cells are read, so that a row of another length is noticed under column pruning too.
     wanted = [f.name for f in wire_text_schema(labelled) if f.name in header]
     cells = [_cell(name).alias(WIRE_TO_CANONICAL[name]) for name in wanted]
     if position:
@@ -69,38 +74,3 @@ def _cell(wire: str) -> Column:
         # An unparseable or NaN number is a missing number.
         return F.nanvl(F.trim(present).try_cast("double"), F.lit(None).cast("double"))
     return present
-
-
-def read_booking_requests(spark: SparkSession, path: str) -> DataFrame:
-    """JSON requests ``{request_id?, bookings: [...], risk_share?}``, one row per booking."""
-    return explode_requests(spark.read.schema(request_schema()).json(path))
-
-
-def explode_requests(requests: DataFrame) -> DataFrame:
-    """One row per booking of each request, typed and in canonical names.
-
-    Works on static and streaming frames. Missing ids come from the payload's hash, a missing
-    share is the default. Values of the wrong type become null; validation reports them.
-    """
-    payload = F.to_json(F.struct("bookings", "risk_share"))
-    exploded = requests.select(
-        F.coalesce("request_id", F.xxhash64(payload).cast("string")).alias("request_id"),
-        F.coalesce("risk_share", F.lit(RISK_SHARE)).alias("risk_share"),
-        F.posexplode("bookings").alias("position", "booking"),
-    )
-    return exploded.select(
-        "request_id",
-        "risk_share",
-        "position",
-        *[_field(wire, name) for wire, name in WIRE_TO_CANONICAL.items() if name != LABEL],
-    )
-
-
-def _field(wire: str, name: str) -> Column:
-    text = F.coalesce(F.try_element_at("booking", F.lit(wire)), F.try_element_at("booking", F.lit(name)))
-    if name in COUNT_COLUMNS:
-        number = F.trim(text).try_cast("double")
-        return F.when(number == F.floor(number), number.try_cast("int")).alias(name)
-    if name == PRICE:
-        return F.trim(text).try_cast("double").alias(name)
-    return text.alias(name)

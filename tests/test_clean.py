@@ -181,3 +181,24 @@ def test_one_bad_booking_rejects_its_request(bookings):
     assert rows(validate_requests(df, "quarantine_row")[0], "booking_id") == [("a",), ("c",)]
     with pytest.raises(ValueError):
         validate_requests(df, "ignore")
+
+
+DATES = [  # text, date
+    ("1/5/99", "1999-01-05"), ("1/5/69", "1969-01-05"), ("1/5/68", "2068-01-05"), ("13/5/18", "2018-05-13"),
+    ("2/29/00", "2000-02-29"), ("06-Jan-18", "2018-01-06"), ("10-Apr-2026", "2026-04-10"),
+    ("2026-04-10 10:00", "2026-04-10"), ("2026-04-10T10:00", "2026-04-10"),
+    ("2026-04-10 10:00:00.000", "2026-04-10"), ("2026-4-1T23:59:59", "2026-04-01"),
+    ("5/6/2018 10:00", "2018-05-06"), ("10 April 2026", "2026-04-10"), ("April 10, 2026", "2026-04-10"),
+    ("Apr 10 2026", "2026-04-10"), ("Apr 10, 2026", "2026-04-10"), ("May 5 2026", "2026-05-05"),
+    ("10.04.2026", "2026-10-04"), ("13.04.2026", "2026-04-13"), ("2026.04.10", "2026-04-10"),
+    ("20260410", "2026-04-10"), (" 10/2/2015 ", "2015-10-02"),
+    ("2026-04-10 25:00", None), ("2026-04-10 10:61", None), ("2018-2-29", None), ("soon", None), ("", None),
+    (None, None), ("10:00", None), ("31-Feb-18", None),
+]
+
+
+def test_dates(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(DATES)], "i int, date_of_reservation string")
+    found = C.parse_reservation_date(df).orderBy("i").collect()
+    read = [str(r["reservation_date"]) if r["reservation_date"] else None for r in found]
+    assert read == [d for _, d in DATES]

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from lodgecast.operators import clean as C
 from lodgecast.operators import rank as R
+from lodgecast.operators.validate import BAD_SHARE, validate_requests
 from lodgecast.plans.storage import stored
 from lodgecast.schemas import CANONICAL_TO_WIRE, POSITION, WIRE_TO_CANONICAL
 from lodgecast.session import scratch_root
 from lodgecast.sinks import files, tables
 from lodgecast.sources import bookings as B
+from lodgecast.sources import requests as Q
 
 HEADER = [w for w in WIRE_TO_CANONICAL if w != "booking status"]
 
@@ -90,14 +92,62 @@ def test_request_documents(spark, tmp_path):
         {"bookings": [wrong]},
     ]
     (tmp_path / "r.json").write_text("\n".join(json.dumps(d) for d in documents))
-    found = B.read_booking_requests(spark, str(tmp_path / "r.json")).orderBy("lead_time").collect()
+    found = Q.read_booking_requests(spark, str(tmp_path / "r.json")).orderBy("lead_time").collect()
     assert [r["booking_id"] for r in found] == [None, "INN00001", "INN00099"]
     assert found[0]["lead_time"] is None and found[0]["repeated"] == 1
     assert found[0]["previous_cancellations"] == 2 and found[0]["risk_share"] == 0.3
-    assert found[0]["request_id"] not in (None, "r1")
+    assert found[0]["request_id"] is None
+    assert found[0]["document_id"] != found[1]["document_id"] == found[2]["document_id"]
     assert found[2]["request_id"] == "r1" and found[2]["average_price"] == 220.0
 
 
+def test_no_document_is_lost(spark, tmp_path):
+    """In = valid + rejected, whatever was sent."""
+    good = {"request_id": "r", "bookings": [SAMPLES[0]]}
+    lines = [
+        json.dumps(good), json.dumps(good), "not json", "[]", "7", "{}", '{"bookings": []}',
+        '{"bookings": {"a": 1}}', '{"bookings": [3]}', json.dumps({**good, "risk_share": "abc"}),
+        json.dumps({**good, "risk_share": None}), json.dumps({**good, "risk_share": "0.5"}), "",
+        json.dumps({"bookings": [{**SAMPLES[0], "type of meal": 5, "Booking_ID": 7}]}),
+        json.dumps({"request_id": None, "bookings": [{**SAMPLES[0], "lead time": -5}]}),
+    ]
+    (tmp_path / "r.json").write_text("\n".join(lines))
+    bookings, broken = Q.read_requests(spark, str(tmp_path / "r.json"))
+    valid, invalid = validate_requests(bookings)
+    kept = sorted((r["document_id"], r["request_id"], r["risk_share"]) for r in valid.collect())
+    assert [(r, s) for _, r, s in kept] == [("r", 0.3), ("r", 0.3), ("r", 0.5)]
+    assert len({d for d, _, _ in kept}) == 3
+    errors = sorted(e for r in broken.collect() for e in r["errors"])
+    assert errors == sorted(
+        [Q.NO_JSON, Q.NO_OBJECT, Q.NO_OBJECT, Q.NO_BOOKINGS, Q.EMPTY_LIST, Q.NO_LIST]
+    )
+    reasons = sorted(tuple(r["errors"])[:2] for r in invalid.collect())
+    assert reasons == sorted([
+        ("number_of_adults: Field required", "number_of_children: Field required"),
+        (BAD_SHARE,), (BAD_SHARE,),
+        (f"booking_id: {Q.NO_TEXT}", f"type_of_meal: {Q.NO_TEXT}"),
+        ("lead_time: Value must be non-negative",),
+    ])
+
+
+def test_documents_over_several_lines(spark, tmp_path):
+    (tmp_path / "r.json").write_text(json.dumps({"bookings": [SAMPLES[0]] * 2}, indent=2))
+    bookings, broken = Q.read_requests(spark, str(tmp_path / "r.json"), multiline=True)
+    assert bookings.count() == 2 and broken.count() == 0
+    bookings, broken = Q.read_requests(spark, str(tmp_path / "r.json"))
+    assert bookings.count() == 0 and broken.count() > 10
+
+
+def test_csv_rows_of_another_length_fail(spark, tmp_path):
+    line = ",".join(str(SAMPLES[0][h]) for h in HEADER)
+    broken = line.replace("Meal Plan 1", '"Meal\nPlan 1"')
+    path = write_csv(tmp_path / "b.csv", [line, broken])
+    with pytest.raises(Exception, match="(?i)malformed"):
+        B.read_bookings_csv(spark, path, labelled=False).collect()
+    read = B.read_bookings_csv(spark, path, labelled=False, multiline=True)
+    assert sorted(r["type_of_meal"] for r in read.collect()) == ["Meal\nPlan 1", "Meal Plan 1"]
+
+
 def scores(spark):
     return R.build_scoring_table(
         spark.createDataFrame([("a", 0.9), (None, 0.1)], f"booking_id string, {R.PROBABILITY} double")

@@ -63,7 +63,7 @@ def test_requests_are_ranked_and_measured_once(spark, tmp_path):
     def run():
         requests = T.request_stream(spark, str(source))
         T.stream_score_requests(
-            requests, score_scorecard, out, state, metrics_table=table
+            requests, score_scorecard, out, state, metrics_table=table, stream_name="stream"
         ).awaitTermination()
         return {r["booking_id"]: (r["rank"], r["is_high_risk"]) for r in spark.read.parquet(out).collect()}
 

@@ -13,7 +13,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -43,7 +43,7 @@ from lodgecast.schemas import (
 )
 
 MODEL_NAME = "GBT"
-MAX_CATEGORIES = 10_000
+MAX_CATEGORIES = 10_000  # values of a column that the model may list
 
 # Training settings, in the terms of Spark's boosted trees. Leaf count, L1 and L2
 # penalties have no counterpart there.
@@ -74,41 +74,67 @@ def numeric_columns(df: DataFrame) -> list[str]:
     ]
 
 
-def fit_categories(train: DataFrame) -> StringIndexerModel:
+@dataclass
+class Categories:
+    """Stages that number the categories, their output columns, and the most numbers of one."""
+
+    stages: list
+    outputs: list[str]
+    widest: int
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        for stage in self.stages:
+            df = stage.transform(df)
+        return df
+
+
+def fit_categories(train: DataFrame, most: int = MAX_CATEGORIES) -> Categories:
     """Category numbers 0.. in alphabetical order; values unseen here get the next number.
 
-    The category list is held by the model, so its size is checked before it is collected.
+    The lists of values are held by the model. A column of more than ``most`` values has no list:
+    its values are numbered by hash, into ``most`` numbers, and trees take those as a number.
     """
     names = categorical_columns(train)
-    sizes = train.agg(*[F.approx_count_distinct(c).alias(c) for c in names]).first()
-    large = [c for c in names if sizes[c] > MAX_CATEGORIES]
-    if large:
-        raise ValueError(f"columns {large} have more than {MAX_CATEGORIES} values: not categories")
-    return StringIndexer(
-        inputCols=names,
-        outputCols=[f"{c}_index" for c in names],
-        stringOrderType="alphabetAsc",
-        handleInvalid="keep",
-    ).fit(train)
-
-
-def encode_categories(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rough = train.agg(*[F.approx_count_distinct(c).alias(c) for c in names]).first() if names else {}
+    wide = [
+        c for c in names
+        if rough[c] > most // 2 and train.select(c).distinct().limit(most + 1).count() > most
+    ]
+    listed = [c for c in names if c not in wide]
+    stages: list = []
+    if listed:
+        indexer = StringIndexer(
+            inputCols=listed,
+            outputCols=[f"{c}_index" for c in listed],
+            stringOrderType="alphabetAsc",
+            handleInvalid="keep",
+        )
+        stages.append(indexer.fit(train))
+    if wide:
+        cells = ", ".join(f"CAST(pmod(xxhash64(`{c}`), {most}) AS DOUBLE) AS `{c}_index`" for c in wide)
+        stages.append(SQLTransformer(statement=f"SELECT *, {cells} FROM __THIS__"))
+    widest = max([len(v) for v in stages[0].labelsArray], default=0) + 1 if listed else 0
+    return Categories(stages, [f"{c}_index" for c in names], widest)
+
+
+def encode_categories(
+    train: DataFrame, test: DataFrame, most: int = MAX_CATEGORIES
+) -> tuple[DataFrame, DataFrame]:
     """Number the categories of both frames by the values of ``train``."""
-    model = fit_categories(train)
+    model = fit_categories(train, most)
     return model.transform(train), model.transform(test)
 
 
 def _fit(train: DataFrame, classifier) -> PipelineModel:
     categories = fit_categories(train)
     features = VectorAssembler(
-        inputCols=numeric_columns(train) + categories.getOutputCols(),
+        inputCols=numeric_columns(train) + categories.outputs,
         outputCol="features",
         handleInvalid="keep",
     )
     if classifier.hasParam("maxBins"):
-        widest = max([len(v) for v in categories.labelsArray], default=0) + 1
-        classifier.setMaxBins(max(32, widest))
-    return Pipeline(stages=[categories, features, classifier]).fit(train)
+        classifier.setMaxBins(max(32, categories.widest))
+    return Pipeline(stages=[*categories.stages, features, classifier]).fit(train)
 
 
 def train_model(train: DataFrame, params: dict | None = None, seed: int = SEED) -> PipelineModel:
@@ -174,10 +200,9 @@ def cross_validate(
     folded = train.withColumn("fold", F.pmod(uniform_hash(row_key(train), seed), F.lit(folds)).cast("int"))
     classifier = GBTClassifier(labelCol=LABEL, seed=seed, **(base or {}))
     categories = fit_categories(train)
-    widest = max([len(v) for v in categories.labelsArray], default=0) + 1
-    classifier.setMaxBins(max(32, widest))
+    classifier.setMaxBins(max(32, categories.widest))
     features = VectorAssembler(
-        inputCols=numeric_columns(train) + categories.getOutputCols(),
+        inputCols=numeric_columns(train) + categories.outputs,
         outputCol="features",
         handleInvalid="keep",
     )
@@ -186,7 +211,7 @@ def cross_validate(
         builder = builder.addGrid(classifier.getParam(name), values)
     settings = builder.build()
     model = CrossValidator(
-        estimator=Pipeline(stages=[categories, features, classifier]),
+        estimator=Pipeline(stages=[*categories.stages, features, classifier]),
         estimatorParamMaps=settings,
         evaluator=BinaryClassificationEvaluator(labelCol=LABEL, numBins=0),  # every score, not bins
         numFolds=folds,

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodgecast import jobs as J
 from lodgecast.functions.scoring import high_risk_count, round_half_even
 from lodgecast.operators import analysis as A
 from lodgecast.operators import clean as C
@@ -544,10 +545,104 @@ def evaluate(spark, folder):
     return E.evaluate(stored(_predictions(spark, folder)))
 
 
-def train_model(spark, folder):
-    """Hold-out metrics of a freshly fitted model."""
+def train_model(spark, folder, rounds: int = QUICK["maxIter"]):
+    """Hold-out metrics of a freshly fitted model, and the trees it has."""
     train, test = _split(spark, folder)
-    return M.evaluate_model(M.train_model(train, QUICK), test)
+    model = M.train_model(train, {**QUICK, "maxIter": rounds})
+    trees = model.stages[-1].getNumTrees
+    return M.evaluate_model(model, test).withColumn("trees", F.lit(trees))
+
+
+def training_job(spark, folder):
+    """What a training run leaves behind: tables, report, statistics and a model that scores
+    after loading as it did before."""
+    database, path = _run_database(spark), scratch_path(spark, "model")
+    bookings = stored(_bookings(spark, folder), "bookings")
+    run = J.run_training(O.labelled_bookings(bookings), path, database, "run-1", QUICK)
+    loaded, categories, name = artifacts.load_model(spark, path)
+    new = stored(C.preprocess_bookings(O.new_bookings(bookings), False).frame)
+    before = M.predict_proba(run.model, new).select("booking_id", F.col(P4).alias("_was"))
+    changed = M.predict_proba(loaded, new).join(before, "booking_id").filter(F.col("_was") != F.col(P4))
+    report = artifacts.load_report(spark, path)
+    runs = spark.table(f"{database}.model_runs")
+    in_range = [F.col(m).between(0, 1) for m in ("accuracy", "f1", "roc_auc")]
+    facts = [
+        ("model_runs", runs.filter(in_range[0] & in_range[1] & in_range[2]).count()),
+        ("train_rows", report["split"]["train_rows"]),
+        ("test_rows", report["split"]["test_rows"]),
+        ("categories", len(categories)),
+        ("report_parts", len(report)),
+        ("named", int(name == M.MODEL_NAME)),
+        ("statistics", len(artifacts.load_stats(spark, f"{path}/statistics").columns)),
+        ("changed_scores", changed.count()),
+    ]
+    metrics = spark.table(f"{database}.monitoring_metrics").filter(
+        "run_type = 'train' AND metric_name NOT LIKE 'eval%'"
+    )
+    kept = small_frame(spark, [(n, float(v)) for n, v in facts], "fact string, value double")
+    return kept.unionByName(metrics.select(F.col("metric_name").alias("fact"), F.col("metric_value").alias("value")))
+
+
+def batch_job(spark, folder):
+    """What a scoring run leaves behind, in files and tables."""
+    database, path, output = _run_database(spark), scratch_path(spark, "model"), scratch_path(spark, "out")
+    bookings = stored(_bookings(spark, folder), "bookings")
+    J.run_training(O.labelled_bookings(bookings), path, database, "run-1", QUICK)
+    J.run_batch(O.new_bookings(bookings), path, output, database, "run-1")
+    scores = spark.read.parquet(f"{output}/scores")
+    counted = scores.agg(
+        F.count(F.lit(1)).alias("scores"),
+        F.count_distinct("rank").alias("ranks"),
+        F.max("rank").alias("last_rank"),
+        F.sum("is_high_risk").alias("flagged"),
+        F.count_if(F.col(P4).between(0, 1)).alias("probabilities"),
+        F.count_if((F.col("rank") == 1) & (F.col("is_high_risk") == 1)).alias("first_is_flagged"),
+    ).first()
+    table = spark.table(f"{database}.monitoring_metrics")
+    facts = [
+        *counted.asDict().items(),
+        ("high_risk_file", spark.read.parquet(f"{output}/high_risk").count()),
+        ("predictions", spark.table(f"{database}.predictions").filter("run_id = 'run-1'").count()),
+        ("train_metrics", table.filter("run_type = 'train'").count()),
+        ("batch_metrics", table.filter("run_type = 'batch_predict'").count()),
+    ]
+    return small_frame(spark, [(n, float(v)) for n, v in facts], "fact string, value double")
+
+
+def model_contracts(spark, folder):
+    """Facts about fitted models that do not depend on the solver."""
+    train, test = _split(spark, folder)
+    compared = compare_models(spark, folder)
+    searched = cross_validate(spark, folder)
+    scored = stored(M.predict_proba(M.train_baseline_lr(train), test))
+    judged = M.flag_by_threshold(scored.select("booking_id", P4), 0.5)
+    facts = [
+        ("baseline_rows", scored.count()),
+        ("baseline_in_range", scored.filter(F.col(P4).between(0, 1)).count()),
+        ("baseline_classes", scored.filter((F.col(P4) > 0.5) == (F.col("prediction") == 1)).count()),
+        ("rule_rows", judged.count()),
+        ("rule_names", judged.filter((F.col("risk_segment") == "high_risk") != (F.col("is_high_risk") == 1)).count()),
+        ("models", compared.count()),
+        ("best_models", compared.filter("is_best").count()),
+        ("metrics_in_range", compared.filter("roc_auc BETWEEN 0 AND 1 AND accuracy BETWEEN 0 AND 1").count()),
+        ("settings", searched.count()),
+        ("best_settings", searched.filter("is_best").count()),
+    ]
+    return small_frame(spark, [(n, float(v)) for n, v in facts], "fact string, value double")
+
+
+def ensure_run_tables(spark, folder):
+    """Columns of the run tables, created twice, and the metrics' rows of a run."""
+    database = _run_database(spark)
+    tables.ensure_run_tables(spark, database)
+    append = batch_metrics(spark, folder)
+    tables.append_monitoring(append, f"{database}.monitoring_metrics", "batch_predict", "scorecard", "run-1")
+    rows = [
+        (name, f.name, f.dataType.simpleString(), spark.table(f"{database}.{name}").count())
+        for name in tables.TABLES
+        for f in spark.table(f"{database}.{name}").schema
+    ]
+    return small_frame(spark, rows, "table_name string, column_name string, kind string, rows bigint")
 
 
 def predict_proba(spark, folder):
@@ -797,7 +892,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for query in (
         bookings_view, rename_to_wire, read_bookings_csv, read_booking_requests,
         read_booking_requests_rejected, score_equal_payloads, append_monitoring_types,
-        parse_reservation_date_shapes, stream_rejected,
+        parse_reservation_date_shapes, stream_rejected, ensure_run_tables, training_job, batch_job,
+        model_contracts,
         write_processed, write_scores, write_high_risk, append_predictions, append_monitoring,
         append_model_run, scores_as_json,
         validate_rule_counts, validate_bookings, validate_rejected, validate_requests,

@@ -17,6 +17,7 @@ from lodgecast.queries.bookings_sql import (
     mode_of,
     with_tables,
 )
+from lodgecast.sinks.tables import TABLES
 
 _RATIOS = ["price_per_night", "weekend_share", "previous_cancel_ratio"]
 _WIRE = {
@@ -123,6 +124,10 @@ def _long(table: str, names: list[str], extra: str = "") -> str:
     )
 
 
+def _facts(**values: str) -> str:
+    return _union([f"SELECT '{n}' AS fact, CAST({v} AS DOUBLE) AS value" for n, v in values.items()])
+
+
 def _union(parts: list[str]) -> str:
     return "\nUNION ALL\n".join(parts)
 
@@ -666,4 +671,51 @@ ORACLES: dict[str, str] = {
     "CASE WHEN o_orderkey % 16 < 13 THEN year(o_orderdate) WHEN o_orderkey % 3 = 0 THEN 2068 "
     "WHEN o_orderkey % 3 = 1 THEN 1969 ELSE 1999 END, month(o_orderdate), least(day(o_orderdate), 28)) "
     "END AS reservation_date FROM orders",
+    "ensure_run_tables": "SELECT * FROM (VALUES "
+    + ", ".join(
+        f"('{name}', '{column}', '{kind}', {10 if name == 'monitoring_metrics' else 0})"
+        for name, columns in TABLES.items()
+        for column, kind in (c.split() for c in columns.split(", "))
+    )
+    + ") AS t (table_name, column_name, kind, rows)",
+    "training_job": with_tables(
+        TRAIN,
+        _split([("test", "0.2")]),
+        f"""counts AS ({_summary('labelled', 'train_filled', 'train_dated', 'train_clean', 17, True)})""",
+    )
+    + _facts(
+        model_runs="1",
+        train_rows="(SELECT count(*) FROM parted WHERE split = 'train')",
+        test_rows="(SELECT count(*) FROM parted WHERE split = 'test')",
+        categories="3",
+        report_parts="6",
+        named="1",
+        statistics=str(len(NUMBERS) + len(STRINGS) + 1),
+        changed_scores="0",
+        records_before_preprocessing="(SELECT records_before FROM counts)",
+        records_after_preprocessing="(SELECT records_after FROM counts)",
+        duplicates_count="(SELECT duplicates_count FROM counts)",
+        invalid_dates_count="(SELECT invalid_dates_count FROM counts)",
+    ),
+    "batch_job": with_tables(NEW)
+    + _facts(
+        **{n: "(SELECT count(*) FROM new_clean)" for n in ("scores", "ranks", "last_rank", "probabilities", "predictions")},
+        **{n: "(SELECT ceil(count(*) * CAST(0.3 AS DOUBLE)) FROM new_clean)" for n in ("flagged", "high_risk_file")},
+        first_is_flagged="1",
+        train_metrics="9",
+        batch_metrics="10",
+    ),
+    "model_contracts": with_tables(TRAIN, _split([("test", "0.2")]))
+    + _facts(
+        **{
+            n: "(SELECT count(*) FROM parted WHERE split = 'test')"
+            for n in ("baseline_rows", "baseline_in_range", "baseline_classes", "rule_rows")
+        },
+        rule_names="0",
+        models="3",
+        best_models="1",
+        metrics_in_range="3",
+        settings="2",
+        best_settings="1",
+    ),
 }

@@ -120,11 +120,16 @@ def test_unseen_categories_are_scored(raw, run):
     assert M.score_single_rule(odd, run.model).filter("probability_of_cancellation IS NULL").count() == 0
 
 
-def test_too_many_categories_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(M, "MAX_CATEGORIES", 5)
-    df = spark.range(0, 100).select(F.col("id").cast("string").alias("room_type"))
-    with pytest.raises(ValueError):
-        M.fit_categories(df)
+def test_wide_columns_are_numbered_by_hash(spark):
+    df = spark.range(0, 100).select(
+        F.col("id").cast("string").alias("room_type"),
+        (F.col("id") % 3).cast("string").alias("type_of_meal"),
+        (F.col("id") % 2).alias("booking_status"),
+    )
+    train, test = M.encode_categories(df, df.limit(10), most=20)
+    found = train.select("room_type_index", "type_of_meal_index").collect()
+    assert all(0 <= r[0] < 20 and r[1] in (0, 1, 2) for r in found) and len({r[0] for r in found}) > 10
+    assert test.count() == 10
 
 
 def test_outliers_and_guard(raw):

@@ -55,8 +55,8 @@ def groups_by_hand(docs):
 def test_jaccard_join(spark, monkeypatch, block_sets):
     docs = edge_docs(spark, [*edge_rows(), *related_rows()])
     if block_sets != 256:
-        whole = jj.links
-        monkeypatch.setattr(jj, "links", lambda d, p, l: whole(d, p, l, block_sets))
+        whole = jj.set_labels
+        monkeypatch.setattr(jj, "set_labels", lambda d, p, l: whole(d, p, l, block_sets))
     found = sorted((tuple(r) for r in jj.near_duplicate_report(docs).collect()), key=repr)
     by_hand = groups_by_hand(documents(docs))
     assert found == by_hand

@@ -69,7 +69,7 @@ def run_batch(
     write_scores(scores, f"{output}/scores", fmt)
     write_high_risk(scores, f"{output}/high_risk", fmt)
     append_predictions(scores, f"{database}.predictions", name, run_id)
-    metrics = batch_metrics(result.cleaned.summary, scores)
+    metrics = batch_metrics(result.cleaned.counts, scores)
     append_monitoring(metrics, f"{database}.monitoring_metrics", "batch_predict", name, run_id)
     return ScoringRun(scores, result.cleaned)
 

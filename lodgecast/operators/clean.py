@@ -127,7 +127,9 @@ def _copies(df: DataFrame) -> DataFrame:
     if ID in df.columns:
         first = F.min(F.struct(POSITION, ID)).getField(ID) if POSITION in df.columns else F.min(ID)
         kept.append(first.alias(ID))
-    return df.groupBy(*content).agg(*kept, F.count(F.lit(1)).alias("copies"))
+    # A minimum of texts is aggregated by sorting; the hash in front settles nearly all of it.
+    hashed = F.xxhash64(*content).alias("_hash")
+    return df.groupBy(hashed, *content).agg(*kept, F.count(F.lit(1)).alias("copies")).drop("_hash")
 
 
 def count_duplicates(df: DataFrame) -> DataFrame:
@@ -168,11 +170,16 @@ def booking_features(df: DataFrame) -> DataFrame:
 
 @dataclass
 class Cleaned:
-    """Result of :func:`preprocess_bookings`; both frames are lazy."""
+    """Result of :func:`preprocess_bookings`; the frames are lazy.
+
+    ``counts`` has the summary's records before and after and its invalid dates. When scoring it
+    is one pass over the rows, while the summary also looks for duplicates.
+    """
 
     frame: DataFrame
     rejected: DataFrame
     summary: DataFrame
+    counts: DataFrame
 
 
 def preprocess_bookings(
@@ -202,7 +209,19 @@ def preprocess_bookings(
     rejected = dated.filter(F.col("reservation_date").isNull()).drop("reservation_date")
     before = [c for c in filled.columns if c != POSITION]
     after = [c for c in frame.columns if c != POSITION]
-    return Cleaned(frame, rejected, preprocess_summary(groups, before, after, is_training))
+    summary = preprocess_summary(groups, before, after, is_training)
+    counts = summary if is_training else plain_counts(filled)
+    return Cleaned(frame, rejected, summary, counts)
+
+
+def plain_counts(df: DataFrame) -> DataFrame:
+    """One row: records, records with a readable date, and the others, in one pass."""
+    unread = parse_date(DATE).isNull()
+    return df.agg(
+        F.count(F.lit(1)).alias("records_before"),
+        F.count_if(~unread).alias("records_after"),
+        F.count_if(unread).alias("invalid_dates_count"),
+    )
 
 
 def preprocess_summary(

@@ -27,7 +27,8 @@ def earlier_totals(
     have no earlier rows. ``lookup`` (one row per ``key``) is joined at the day level, where a
     hot key has few rows, instead of on the rows themselves; rows it lacks are dropped.
     """
-    dated = df.withColumns(
+    known = F.col(key).isNotNull() & F.col(moment).isNotNull()
+    dated = df.filter(known).withColumns(
         {"_day": F.to_date(moment), **{f"_one_{n}": value for n, value in totals.items()}}
     )
     days = dated.groupBy(key, "_day").agg(*[F.sum(f"_one_{n}").alias(f"_sum_{n}") for n in totals])
@@ -47,13 +48,12 @@ def earlier_totals(
     )
     kept = [*df.columns, *([c for c in lookup.columns if c != key] if lookup is not None else [])]
     none = F.lit(0)
-    known = F.col(key).isNotNull() & F.col("_day").isNotNull()
-    return placed.join(days, [key, "_day"], "left" if lookup is None else "inner").select(
-        *kept,
-        *[
-            F.when(known, F.coalesce(f"_days_{n}", none) + F.coalesce(f"_rows_{n}", none))
-            .otherwise(none)
-            .alias(n)
-            for n in totals
-        ],
+    counted = placed.join(days, [key, "_day"], "left" if lookup is None else "inner").select(
+        *kept, *[(F.coalesce(f"_days_{n}", none) + F.coalesce(f"_rows_{n}", none)).alias(n) for n in totals]
     )
+    if lookup is not None:
+        return counted
+    # Rows without key or moment have no place in any order and stay out of the windows.
+    kinds = dict(counted.dtypes)
+    unplaced = df.filter(~known).select(*df.columns, *[none.cast(kinds[n]).alias(n) for n in totals])
+    return counted.unionByName(unplaced)

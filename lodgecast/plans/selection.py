@@ -143,8 +143,7 @@ def _read_off_one_type(df: DataFrame, targets: list[_Target]) -> dict[tuple[str,
           for i, t in enumerate(spans)]
     )
     histogram = (
-        df.select(F.explode(cells).alias("cell"))
-        .filter(F.col("cell").isNotNull())
+        df.select(F.explode(F.array_compact(cells)).alias("cell"))  # most cells of a row are null
         .select("cell.*")
         .groupBy("span", "value")
         .agg(F.count(F.lit(1)).alias("rows"))

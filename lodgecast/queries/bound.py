@@ -82,7 +82,11 @@ def _train_flags(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _predictions(spark: SparkSession, folder: str) -> DataFrame:
-    return _train_scored(spark, folder).select(
+    return _judged(_train_scored(spark, folder))
+
+
+def _judged(scored: DataFrame) -> DataFrame:
+    return scored.select(
         F.col(LABEL).alias("label"),
         (F.col(P4) > 0.5).cast("int").alias("prediction"),
         F.col(P4).alias("probability"),
@@ -710,14 +714,14 @@ def cross_validate(spark, folder):
 
 def training_metrics(spark, folder):
     cleaned = _train_clean(spark, folder)
-    evaluation = E.evaluate(stored(_predictions(spark, folder)))
+    evaluation = E.evaluate(stored(_judged(A.score_scorecard(cleaned.frame))))
     return G.training_metrics(cleaned.summary, evaluation)
 
 
 def batch_metrics(spark, folder):
     cleaned = _new_clean(spark, folder)
     scored = A.score_scorecard(cleaned.frame)
-    metrics = G.batch_metrics(cleaned.summary, R.build_scoring_table(scored))
+    metrics = G.batch_metrics(cleaned.counts, stored(R.build_scoring_table(scored)))
     return _rounded(metrics, ["metric_value"])
 
 

@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodgecast.functions.dates import parse_date
-from lodgecast.operators.clean import booking_features, impute, parse_reservation_date
+from lodgecast.operators.clean import (
+    booking_features,
+    impute,
+    parse_reservation_date,
+    plain_counts,
+)
 from lodgecast.operators.monitor import batch_metrics
 from lodgecast.operators.rank import flag_by_threshold, score_requests
 from lodgecast.operators.validate import drop_invalid_dates, validate_bookings, validate_requests
@@ -45,15 +50,6 @@ def _features(bookings: DataFrame) -> DataFrame:
     return booking_features(drop_invalid_dates(parse_reservation_date(bookings)))
 
 
-def _counts(bookings: DataFrame) -> DataFrame:
-    unread = parse_date(DATE).isNull()
-    return bookings.agg(
-        F.count(F.lit(1)).alias("records_before"),
-        F.count_if(~unread).alias("records_after"),
-        F.count_if(unread).alias("invalid_dates_count"),
-    )
-
-
 def _write_rejected(
     documents: DataFrame, invalid: DataFrame, valid: DataFrame, rejected: str | None, batch_id: int
 ) -> None:
@@ -128,7 +124,7 @@ def stream_score_requests(
             if metrics_table is not None:
                 name = stream_name or session.sparkContext.getLocalProperty("sql.streaming.queryId")
                 append_monitoring(
-                    batch_metrics(_counts(valid), scores),
+                    batch_metrics(plain_counts(valid), scores),
                     metrics_table,
                     "stream_predict",
                     model_name,

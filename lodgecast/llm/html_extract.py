@@ -83,7 +83,7 @@ def _training_pages(page_id: int, page: str) -> Iterator[tuple[crf.Sequence, lis
     """The page itself, if it marks its article, and drawings of its paragraphs."""
     blocks = leaf_blocks(page)
     marked = [any(m.split()[0] in ("article", "main") for m in b.path) for b in blocks]
-    chosen = [b.text for b, m in zip(blocks, marked) if m and len(b.text) > 20]
+    chosen = [b.text for b, m in zip(blocks, marked) if m]
     chosen = chosen or [b.text for b in blocks if len(b.text) > 80]
     if not chosen:
         return

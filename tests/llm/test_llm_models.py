@@ -68,11 +68,11 @@ def test_plain_page(weights):
 
 
 def test_extraction_of_awkward_rows(spark, weights):
-    rows = [(1, "u", None, 1), (None, None, "", 2), (3, "u", "<p>", 3), (3, "u", "<article><p>a b</p></article>", 4)]
+    rows = [(1, "u", None, 1), (None, None, "", 2), (3, "u", "<p>", 3), (3, "u", "<article><p>A text of an article.</p></article>", 4)]
     pages = spark.createDataFrame(rows * 2, "page_id long, url string, html string, text int")
     found = extract_main_text(pages, weights).collect()
     assert len(found) == 8
-    assert sorted(r.text for r in found) == [""] * 6 + ["a b"] * 2
+    assert sorted(r.text for r in found) == [""] * 6 + ["A text of an article."] * 2
     assert all(r.n_chars == len(r.text) for r in found)
     assert extract_main_text(pages.filter(F.lit(False))).count() == 0
     assert {r.text for r in extract_main_text(pages.filter("page_id = 1")).collect()} == {""}

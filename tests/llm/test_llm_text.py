@@ -96,15 +96,18 @@ def test_quality_verdicts(spark):
 
 
 def test_fences_follow_the_group(spark):
-    """Documents far from the bulk of their language go; a source of junk cannot save its own."""
+    """Documents far from the bulk of their language go; a source of junk cannot save its own.
+
+    The bulk is three quarters, so the junk may be a smaller share of the language.
+    """
     plain = " ".join(f"w{i}" for i in range(60))
-    rows = [(i, plain, "en", "clean") for i in range(3 * MIN_GROUP)]
+    rows = [(i, plain, "en", "clean") for i in range(5 * MIN_GROUP)]
     rows += [(10_000 + i, plain + " ####" * 20, "en", "junk") for i in range(MIN_GROUP + 5)]
     rows += [(20_000 + i, plain + " ####" * 20, "xx", "code") for i in range(MIN_GROUP + 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     kept = judge(stored(measure_rules(docs))).filter("_llm_kept").groupBy("source").count()
     counts = {r["source"]: r["count"] for r in kept.collect()}
-    assert counts == {"clean": 3 * MIN_GROUP, "code": MIN_GROUP + 5}
+    assert counts == {"clean": 5 * MIN_GROUP, "code": MIN_GROUP + 5}
 
 
 def test_licences(spark):

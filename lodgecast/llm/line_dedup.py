@@ -60,6 +60,8 @@ def drop_shared_lines(
         .filter(F.col("_llm_shared") & F.col("_llm_first").isNotNull())
         .drop("_llm_shared")
     )
+    # Written, so that the join below is between two scans and AQE can split a hot key's rows.
+    common = stored(common, "shared-lines")
     later = F.col("doc_id").isNull() | (F.col("doc_id") > F.col("_llm_first"))
     dropped = (
         lines.join(common, ["_llm_h1", "_llm_h2"])

@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodgecast.llm.common import whole_text
+from lodgecast.llm.fixed_size import key_bitmap, marked_keys
 from lodgecast.llm.fm_index import FmIndex
+from lodgecast.plans.storage import stored
 
 WINDOW, ANCHOR = 13, 4
 SHARD_BYTES = 4 << 20  # of text per shard, about
@@ -274,42 +276,59 @@ def drop_repeated_windows(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Da
     texts have no window and keep their words. Repeated rows are repeated. An empty table gives
     an empty table. ``docs`` is a scan or a stored frame.
     """
-    stretches = repeated_stretches(docs, shard_bytes)
+    stretches = stored(repeated_stretches(docs, shard_bytes), "stretches")
+    place = F.xxhash64("doc", "copy").alias("place")
+    bits = docs.sparkSession.sparkContext.broadcast(key_bitmap(stretches.select(place)))
     by_row = stretches.groupBy("doc", "copy").agg(F.collect_list(F.struct("first", "end")).alias("gone"))
     keyed = docs.select(
         "doc_id",
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"),
         F.crc32(whole_text()).alias("copy"),
         whole_text().alias("text"),
-    )
+    ).select("doc_id", "doc", "copy", place, "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
+    result = f"doc_id {kind}, n_words long, n_removed long, kept string"
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Texts that the bitmap clears keep all words and stay where they are; the others are joined.
+    def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marked = marked_keys(bits.value, batch.column(3).to_numpy())
+            left = batch.filter(pa.array(~marked))
+            yield _cut(left.column(0), left.column(4), [None] * left.num_rows)
+
+    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total, removed, kept = [], [], []
-            for text, gone in zip(batch.column(1).cast(pa.binary()), batch.column(2)):
-                words = text.as_py().split()
-                total.append(len(words))
-                if gone.is_valid:
-                    marks = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(marks, gone.values.field("first").to_numpy(), 1)
-                    np.subtract.at(marks, gone.values.field("end").to_numpy(), 1)
-                    left = np.cumsum(marks[:-1]) == 0
-                    words = [words[i] for i in np.flatnonzero(left).tolist()]
-                removed.append(total[-1] - len(words))
-                kept.append(b" ".join(words))
+            chosen = batch.filter(pa.array(marked_keys(bits.value, batch.column(3).to_numpy())))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(total, pa.int64()),
-                    pa.array(removed, pa.int64()),
-                    pa.array(kept, pa.binary()).cast(pa.string()),
-                ],
-                ["doc_id", "n_words", "n_removed", "kept"],
+                [chosen.column(0), chosen.column(1), chosen.column(2), chosen.column(4)],
+                ["doc_id", "doc", "copy", "text"],
             )
 
-    joined = keyed.join(by_row, ["doc", "copy"], "left").select("doc_id", "text", "gone")
-    return joined.mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _cut(batch.column(0), batch.column(1), [g if g.is_valid else None for g in batch.column(2)])
+
+    untouched = keyed.mapInArrow(clear, result)
+    texts = keyed.mapInArrow(touched, f"doc_id {kind}, doc long, copy long, text string")
+    joined = texts.join(by_row, ["doc", "copy"], "left").select("doc_id", "text", "gone")
+    return untouched.unionByName(joined.mapInArrow(cut, result))
+
+
+def _cut(ids: pa.Array, texts: pa.Array, gone: list) -> pa.RecordBatch:
+    """Rows of (id, words, removed words, kept text) without the words of each row's stretches."""
+    total, removed, kept = [], [], []
+    for text, stretches in zip(texts.cast(pa.binary()), gone):
+        words = text.as_py().split()
+        total.append(len(words))
+        if stretches is not None:
+            marks = np.zeros(len(words) + 1, np.int64)
+            np.add.at(marks, stretches.values.field("first").to_numpy(), 1)
+            np.subtract.at(marks, stretches.values.field("end").to_numpy(), 1)
+            words = [words[i] for i in np.flatnonzero(np.cumsum(marks[:-1]) == 0).tolist()]
+        removed.append(total[-1] - len(words))
+        kept.append(b" ".join(words))
+    columns = [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+    return pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", "n_words", "n_removed", "kept"])
 
 
 def substring_report(docs: DataFrame) -> DataFrame:

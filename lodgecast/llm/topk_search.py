@@ -26,8 +26,8 @@ from lodgecast.plans.storage import stored
 
 SCALE = 1024
 STEP = 32  # width of a quantised impact in units of the scaled components
-BLOCK_ROWS, QUERY_ROWS = 4_096, 1_024  # vectors of an index block, queries of a query block
-SHARES = (0.2, 0.35, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)  # of the postings, where a proof is tried
+BLOCK_ROWS, QUERY_ROWS = 8_192, 1_024  # vectors of an index block, queries of a query block
+SHARES = (0.6, 0.85, 1.0)  # of the postings, where a proof is tried
 RESCORED = 1 / 32  # a proof is good enough once this share of a block is left to rescore
 
 
@@ -80,6 +80,7 @@ class _Block:
 
     ids: np.ndarray
     matrix: np.ndarray
+    quantised: np.ndarray
     order: np.ndarray
     dims: np.ndarray  # of each segment
     levels: np.ndarray
@@ -90,61 +91,79 @@ class _Block:
     def load(row: pd.Series) -> _Block:
         ids = np.frombuffer(row["ids"], np.int64)
         matrix = np.frombuffer(row["matrix"], np.int64).reshape(len(ids), -1)
-        order = np.frombuffer(row["order"], np.int32).reshape(-1, len(ids))
+        order = np.frombuffer(row["order"], np.int32).reshape(-1, len(ids)).astype(np.intp)
+        quantised = matrix // STEP
+        if np.abs(quantised).max(initial=0) < 2**15:
+            quantised = quantised.astype(np.int16)
         dims, levels, starts, ends = [], [], [], []
         for d in range(matrix.shape[1]):
-            level = matrix[order[d], d] // STEP  # descending
+            level = quantised[order[d], d]  # descending
             first = np.flatnonzero(np.r_[True, level[1:] != level[:-1]])
             dims.append(np.full(len(first), d))
-            levels.append(level[first])
+            levels.append(level[first].astype(np.int64))
             starts.append(first)
             ends.append(np.r_[first[1:], len(level)])
-        return _Block(ids, matrix, order, *map(np.concatenate, (dims, levels, starts, ends)))
+        parts = map(np.concatenate, (dims, levels, starts, ends))
+        return _Block(ids, matrix, quantised, order, *parts)
 
 
 def search_block(block: _Block, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and exact scores of the block's best ``k`` for one query, its own id left out."""
-    weight = query[block.dims]
-    low, high = weight * block.levels * STEP, weight * (block.levels * STEP + STEP - 1)
-    most, least = np.maximum(low, high), np.minimum(low, high)
-    turn = np.argsort(-most, kind="stable")
-    postings = np.cumsum((block.ends - block.starts)[turn])
-    n, width = block.matrix.shape
     others = block.ids != query_id
     if others.sum() <= k:
         possible = np.flatnonzero(others)
     else:
-        slack = np.abs(query) * float(STEP - 1)
-        floor = np.full(width, np.inf)
-        np.minimum.at(floor, block.dims, least)
-        unseen = np.ones((n, width), np.float32)
-        added = np.zeros(n)
-        done = 0
-        for share in SHARES:
-            upto = int(np.searchsorted(postings, share * postings[-1])) + 1
-            chosen = turn[done : min(upto, len(turn))]
-            done += len(chosen)
-            if len(chosen):
-                ids = [block.order[block.dims[s], block.starts[s] : block.ends[s]] for s in chosen]
-                counts = [len(x) for x in ids]
-                where = np.concatenate(ids)
-                added += np.bincount(where, np.repeat(most[chosen], counts), n)
-                unseen[where, np.repeat(block.dims[chosen], counts)] = 0
-            frontier = np.full(width, -np.inf)
-            np.maximum.at(frontier, block.dims[turn[done:]], most[turn[done:]])
-            frontier[np.isneginf(frontier)] = 0  # nothing to come: no vector is unseen there
-            ahead = unseen.astype(float) @ np.stack([frontier, slack, floor], 1)
-            upper = added + ahead[:, 0]
-            lower = added - (slack.sum() - ahead[:, 1]) + ahead[:, 2]
-            bar = np.partition(lower[others], -k)[-k]
-            possible = np.flatnonzero(others & (upper >= bar - 0.5))
-            if len(possible) <= max(2 * k, RESCORED * n):
-                break
+        possible = _possible(block, query, others, k)
     scores = block.matrix[possible] @ query
     best = np.lexsort((block.ids[possible], -scores))[:k]
     return block.ids[possible][best], scores[best]
 
 
+def _possible(block: _Block, query: np.ndarray, others: np.ndarray, k: int) -> np.ndarray:
+    """Places of vectors that the processed segments do not prove out of the best ``k``."""
+    weight = query[block.dims]
+    low, high = weight * block.levels * STEP, weight * (block.levels * STEP + STEP - 1)
+    most, least = np.maximum(low, high), np.minimum(low, high)
+    turn = np.argsort(-most, kind="stable")
+    turn = turn[weight[turn] != 0]  # a component of 0 adds nothing to any score
+    postings = np.cumsum((block.ends - block.starts)[turn])
+    n, width = block.matrix.shape
+    slack = np.abs(query) * float(STEP - 1)
+    lowest = np.full(width, np.inf)
+    np.minimum.at(lowest, block.dims, least)
+    kind = block.quantised.dtype
+    sign = np.where(query < 0, -1, 1).astype(kind)
+    falling = block.quantised * sign  # levels, such that segments come in falling order
+    added, done = np.zeros(n), 0
+    possible = np.flatnonzero(others)
+    if not len(turn):
+        return possible
+    for share in SHARES:
+        upto = len(turn) if share == 1.0 else int(np.searchsorted(postings, share * postings[-1]))
+        chosen, done = turn[done:upto], max(done, upto)
+        if len(chosen):
+            lists = [block.order[block.dims[s], block.starts[s] : block.ends[s]] for s in chosen]
+            impacts = np.repeat(most[chosen].astype(float), [len(x) for x in lists])
+            added += np.bincount(np.concatenate(lists), impacts, n)
+        # The next segment of each dimension bounds what vectors not met there can still add.
+        ahead, first = np.unique(block.dims[turn[done:]], return_index=True)
+        bounds = np.zeros((width, 2), np.float32)
+        limit = np.full(width, np.iinfo(kind).min, kind)  # nothing is unseen in a finished one
+        if len(ahead):
+            nearest = turn[done:][first]
+            limit[ahead] = block.levels[nearest] * sign[ahead]
+            bounds[ahead, 0] = most[nearest]
+            bounds[ahead, 1] = (slack + lowest)[ahead]
+        more = (falling <= limit).astype(np.float32) @ bounds
+        margin = 1.0 + 1e-5 * float(np.abs(bounds).sum())  # for the sums in single precision
+        upper, lower = added + more[:, 0], added - slack.sum() + more[:, 1]
+        bar = np.partition(lower[others], -k)[-k]
+        possible = np.flatnonzero(others & (upper >= bar - margin))
+        if len(possible) <= max(2 * k, RESCORED * n):
+            break
+    return possible
+
+
 def exact_top_k(
     embeddings: DataFrame,
     is_query: Column,

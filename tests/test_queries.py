@@ -15,7 +15,8 @@ CHOSEN = [
     "parse_reservation_date", "preprocess_bookings", "preprocess_summary_scoring",
     "build_scoring_table", "score_requests", "split_three_way", "evaluate", "batch_metrics",
     "segment_cancel_rate", "feature_drift", "client_aggregates", "append_predictions",
-    "stream_score_requests",
+    "stream_score_requests", "score_equal_payloads", "stream_rejected",
+    "parse_reservation_date_shapes", "training_job",
 ]
 NAMES = list(entry_point.queries()) if os.environ.get("ALL_QUERIES") else CHOSEN
 

@@ -12,6 +12,7 @@ from lodgecast.functions.scoring import high_risk_count, round_half_even
 from lodgecast.operators import rank as R
 from lodgecast.operators.evaluate import METRICS, evaluate
 from lodgecast.operators.monitor import batch_metrics, metrics_to_long, training_metrics
+from lodgecast.plans.selection import text_at
 
 P = R.PROBABILITY
 
@@ -159,3 +160,35 @@ def test_area_equals_the_ml_evaluator(spark):
         rawPredictionCol="probability", labelCol="label", numBins=0
     )
     assert roc_auc(df).first()[0] == pytest.approx(evaluator.evaluate(df), abs=1e-9)
+
+
+@pytest.mark.parametrize("share", [0.01, 0.3, 0.5, 1.0])
+def test_flags_without_ranking_are_those_of_the_ranking(spark, share):
+    """Many ties, missing ids, and ids that only differ late."""
+    cells = [(None if i % 37 == 0 else f"INN{i * 7919 % 1000:05d}", (i % 7) / 10) for i in range(700)]
+    df = spark.createDataFrame(cells, f"booking_id string, {R.PROBABILITY} double")
+    columns = ["booking_id", R.PROBABILITY, "is_high_risk", "risk_segment"]
+    ranked = R.build_scoring_table(df, share)
+    assert rows(R.flag_riskiest(df, share), *columns) == rows(ranked, *columns)
+    assert rows(R.high_risk_table(df, share), "rank", *columns[1:3]) == rows(
+        R.filter_high_risk(ranked), "rank", *columns[1:3]
+    )
+    totals = R.batch_result_counts(ranked).first()
+    assert R.result_totals(df, share).first() == totals
+    assert rows(R.riskiest(df, 5, share), "rank", "risk_percentile") == rows(
+        R.top_risk_preview(ranked, 5), "rank", "risk_percentile"
+    )
+
+
+def test_flags_of_equal_ids_and_of_nothing(spark):
+    df = spark.createDataFrame([("a", 0.5)] * 4, f"booking_id string, {R.PROBABILITY} double")
+    assert R.flag_riskiest(df, 0.5).filter("is_high_risk = 1").count() == 2
+    assert R.flag_riskiest(df.limit(0), 0.5).count() == 0
+    assert R.result_totals(df.limit(0)).first() == (0, 0)
+
+
+def test_text_at_every_place(spark):
+    texts = [None, "", "a", "a", "ab", "abc", "abcd", "b", "é", "zz", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    ordered = sorted(texts, key=lambda t: (t is not None, t or ""))
+    assert [text_at(df, "t", i, limit=1) for i in range(len(texts))] == ordered

@@ -4,10 +4,10 @@ A source whose target is r times its size takes every document floor(r) times an
 once more. Which ones is a balanced sample: inclusion probabilities (the fraction of r) move
 along directions that leave the totals of documents and of words unchanged, until all but a few
 are 0 or 1. Documents are dealt to cells of bounded size by hash, each cell runs that flight on
-its own, and the few documents it leaves open (fewer than there are balancing totals and one)
-meet the leftovers of other cells in the next round. In a source's last cell the flight leaves
-``LANDING`` documents of all sizes aside; the landing picks the ends for them, and for those still
-open, that miss the totals least.
+its own, and the few documents it leaves open meet the leftovers of other cells in the next
+round. These are as many as there are balancing totals, and ``LANDING`` documents of all sizes
+that a cell leaves aside. In a source's last cell the landing picks the ends for them that miss
+the totals least.
 
 Only ids and sizes are shuffled, cells have a bounded number of rows however large a source is,
 and the rounds number log(documents) to the base of a cell's size.
@@ -126,9 +126,9 @@ def landing(sizes: list[int], chances: list[float]) -> list[float]:
     return landed
 
 
-def fly_and_land(sizes: list[int], chances: list[float], draws: list[float]) -> list[float]:
-    """The last cell of a source, sizes descending: a few documents of all sizes wait for the
-    landing, so that it has the means to meet the totals."""
+def fly(sizes: list[int], chances: list[float], draws: list[float], last: bool) -> list[float]:
+    """One cell, sizes descending: a few documents of all sizes stay open in every round, so that
+    the landing of the ``last`` cell has the means to meet the totals."""
     n = len(sizes)
     waiting = set(range(n) if n <= LANDING else np.linspace(0, n - 1, LANDING).astype(int).tolist())
     flying = [i for i in range(n) if i not in waiting]
@@ -136,7 +136,7 @@ def fly_and_land(sizes: list[int], chances: list[float], draws: list[float]) ->
     ends = flight(*([v[i] for i in flying] for v in (sizes, chances, draws)))
     for i, end in zip(flying, ends):
         moved[i] = end
-    return landing(sizes, moved)
+    return landing(sizes, moved) if last else moved
 
 
 def _fly(cell: pd.DataFrame) -> pd.DataFrame:
@@ -146,8 +146,7 @@ def _fly(cell: pd.DataFrame) -> pd.DataFrame:
     ).reset_index(drop=True)
     sizes, chances = cell["size"].tolist(), cell["_llm_chance"].tolist()
     draws = [((d * 0x9E3779B97F4A7C15) % 2**64) / 2**64 for d in cell["_llm_draw"].tolist()]
-    move = fly_and_land if cell["_llm_cells"].iloc[0] == 1 else flight
-    cell["_llm_chance"] = move(sizes, chances, draws)
+    cell["_llm_chance"] = fly(sizes, chances, draws, cell["_llm_cells"].iloc[0] == 1)
     return cell
 
 

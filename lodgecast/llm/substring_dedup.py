@@ -34,8 +34,8 @@ from lodgecast.plans.storage import stored
 
 WINDOW, ANCHOR = 13, 4
 SHARD_BYTES = 4 << 20  # of text per shard, about
-BATCH_BYTES = 12 << 20  # of text whose segments are packed together
-CACHED_WORDS = 600_000
+BATCH_BYTES = 8 << 20  # of text whose segments are packed together
+CACHED_WORDS = 400_000
 _NO_ID = 2**63 - 1  # stands for a null id: after every other
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 

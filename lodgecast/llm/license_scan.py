@@ -7,6 +7,7 @@ documents (licence files) and whole lines (licence notices inside other document
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from lodgecast.llm.common import whole_text
 from lodgecast.llm.license_texts import KNOWN
 from lodgecast.plans.joins import lookup_join
-from lodgecast.plans.storage import small_frame
+from lodgecast.plans.storage import small_frame, stored
 
 # Spellings that count as the same, each with the one used.
 SPELLINGS = (
@@ -49,8 +50,13 @@ def canonical_lines(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
-    """``_llm_digest, _llm_license`` of known licence texts; the smallest name wins a tie."""
-    texts = small_frame(spark, known, "license string, text string")
+    """``_llm_digest, _llm_license`` of known licence texts; the smallest name wins a tie.
+
+    The texts travel as one literal: a column for each would make the plan slow to build.
+    """
+    rows = json.dumps([{"license": name, "text": text} for name, text in known])
+    kind = "array<struct<license:string,text:string>>"
+    texts = small_frame(spark, [(rows,)], "rows string").select(F.inline(F.from_json("rows", kind)))
     joined = F.array_join(canonical_lines(F.col("text")), " ")
     return (
         texts.select("license", joined.alias("_llm_text"))
@@ -69,7 +75,7 @@ def scan_licenses(docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN) ->
     answered like any other. An empty table gives an empty table. The known texts are few: their
     digests are counted before they are broadcast.
     """
-    digests = known_digests(docs.sparkSession, known)
+    digests = stored(known_digests(docs.sparkSession, known), "known-licenses")
     text = whole_text()
     lined = docs.select(
         "doc_id", F.xxhash64(text).alias("_llm_copy"), canonical_lines(text).alias("_llm_lines")

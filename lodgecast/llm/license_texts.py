@@ -1,4 +1,11 @@
-"""Known licences as (name, text): fixed values, published licence texts and common notices."""
+"""Known licences as (name, text): fixed values, published licence texts and common notices.
+
+Long texts are the files of ``licenses``, named like their licence.
+"""
+
+from __future__ import annotations
+
+from importlib.resources import files
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this
 software and associated documentation files (the "Software"), to deal in the Software without
@@ -76,7 +83,7 @@ the original software.
 
 3. This notice may not be removed or altered from any source distribution."""
 
-KNOWN = (
+_SHORT = (
     ("MIT", MIT),
     ("MIT", "MIT License\n\n" + MIT),
     ("MIT", "The MIT License (MIT)\n\n" + MIT),
@@ -89,6 +96,92 @@ KNOWN = (
     ("BSD-3-Clause", "BSD 3-Clause License\n\n" + BSD_3),
     ("Zlib", ZLIB),
     ("Zlib", "zlib License\n\n" + ZLIB),
+)
+
+FILES = (
+    "Apache-2.0", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-1.0", "GFDL-1.2", "GFDL-1.3",
+    "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "OFL-1.1",
+    "Unlicense", "WTFPL",
+)
+
+# What follows the terms in a published text, and is often left out of copies.
+_APPENDIX = (
+    "   APPENDIX: How to apply", "        Appendix: How to Apply", "            How to Apply These Terms",
+    "           How to Apply These Terms", "ADDENDUM: How to use",
+)
+_RULE = "=" * 71  # between the parts of a Creative Commons text
+
+
+def _variants(text: str) -> list[str]:
+    """A published text as it is copied: whole, without its appendix, without the frame around it."""
+    found = [text, text.replace("   Copyright [yyyy] [name of copyright owner]\n", "")]
+    found += [text.partition(a)[0] for a in _APPENDIX if f"\n{a}" in text]
+    found += [x.rpartition("END OF TERMS AND CONDITIONS")[0] for x in found if "END OF TERMS AND CONDITIONS" in x]
+    if _RULE in text:
+        title, _, terms, _ = text.split(_RULE)
+        found += [terms, title + terms]
+    return list(dict.fromkeys(found))
+
+
+def _published() -> list[tuple[str, str]]:
+    folder = files(__package__).joinpath("licenses")
+    texts = [(name, folder.joinpath(f"{name}.txt").read_text("utf-8")) for name in FILES]
+    return [(name, x) for name, text in texts for x in _variants(text)]
+
+
+# Each licence with its SPDX identifiers and the names that notices call it by.
+_GNU = {"GPL": "General Public License", "LGPL": "Lesser General Public License", "AGPL": "Affero General Public License"}
+_CC = {
+    "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial",
+    "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+NAMES: dict[str, tuple[list[str], list[str]]] = {
+    "MIT": (["MIT"], ["the MIT License", "MIT License", "MIT", "the MIT License (MIT)"]),
+    "ISC": (["ISC"], ["the ISC License", "ISC"]),
+    "0BSD": (["0BSD"], ["the BSD Zero Clause License", "the 0BSD License", "0BSD"]),
+    "BSD-2-Clause": (["BSD-2-Clause"], ["the BSD 2-Clause License", "the 2-Clause BSD License", "the Simplified BSD License", "BSD-2-Clause"]),
+    "BSD-3-Clause": (["BSD-3-Clause"], ["the BSD 3-Clause License", "the 3-Clause BSD License", "the New BSD License", "BSD-3-Clause"]),
+    "Zlib": (["Zlib"], ["the zlib License", "zlib"]),
+    "Apache-2.0": (["Apache-2.0"], ["the Apache License, Version 2.0", "the Apache License 2.0", "the Apache 2.0 License", "Apache License 2.0", "Apache 2.0"]),
+    "MPL-1.1": (["MPL-1.1"], ["the Mozilla Public License 1.1", "the Mozilla Public License, version 1.1", "MPL 1.1"]),
+    "MPL-2.0": (["MPL-2.0"], ["the Mozilla Public License 2.0", "the Mozilla Public License, version 2.0", "the Mozilla Public License, v. 2.0", "MPL 2.0"]),
+    "EPL-1.0": (["EPL-1.0"], ["the Eclipse Public License 1.0", "the Eclipse Public License v1.0", "the Eclipse Public License, version 1.0", "EPL 1.0"]),
+    "EPL-2.0": (["EPL-2.0"], ["the Eclipse Public License 2.0", "the Eclipse Public License v2.0", "the Eclipse Public License, version 2.0", "EPL 2.0"]),
+    "BSL-1.0": (["BSL-1.0"], ["the Boost Software License, Version 1.0", "the Boost Software License 1.0", "BSL 1.0"]),
+    "OFL-1.1": (["OFL-1.1"], ["the SIL Open Font License, Version 1.1", "the SIL Open Font License 1.1", "OFL 1.1"]),
+    "GFDL-1.2": (["GFDL-1.2", "GFDL-1.2-only"], ["the GNU Free Documentation License, version 1.2", "GFDL 1.2"]),
+    "GFDL-1.3": (["GFDL-1.3", "GFDL-1.3-only"], ["the GNU Free Documentation License, version 1.3", "GFDL 1.3"]),
+    "Unlicense": (["Unlicense"], ["the Unlicense", "Unlicense"]),
+    "WTFPL": (["WTFPL"], ["the WTFPL", "WTFPL"]),
+    "CC0-1.0": (["CC0-1.0"], ["CC0 1.0", "CC0 1.0 Universal", "the Creative Commons CC0 1.0 Universal License"]),
+}
+for _family, _versions in (("GPL", "1 2 3"), ("LGPL", "2 2.1 3"), ("AGPL", "3")):
+    for _v in _versions.split():
+        _id = f"{_family}-{_v if '.' in _v else _v + '.0'}"
+        _title = "Library General Public License" if _id == "LGPL-2.0" else _GNU[_family]
+        _plain = [f"the GNU {_title}, version {_v}", f"the GNU {_title} v{_v}", f"the GNU {_title} v{_v}.0", f"the GNU {_family}, version {_v}", f"the GNU {_family}v{_v}", f"{_family} {_v}", f"{_family}v{_v}"]
+        NAMES[_id] = [_id, f"{_id}-only"], _plain
+        _later = [f"{n} or {_x}" for n in _plain[:2] for _x in ("later", "any later version", "(at your option) any later version")]
+        NAMES[f"{_id}-or-later"] = [f"{_id}-or-later"], _later
+for _part, _title in _CC.items():
+    for _v, _kind in (("3.0", "Unported"), ("4.0", "International")):
+        NAMES[f"CC-{_part}-{_v}"] = [f"CC-{_part}-{_v}"], [
+            f"CC {_part} {_v}", f"a Creative Commons {_title} {_v} {_kind} License", f"the Creative Commons {_title} {_v} {_kind} License"
+        ]
+
+_VERBS = [f"{who}{how} under" for who in ("", "This work is ", "This project is ", "This software is ") for how in ("licensed", "released")]
+_VERBS += ["distributed under", "this software is distributed under"]
+
+
+def notices(names: dict[str, tuple[list[str], list[str]]] = NAMES) -> list[tuple[str, str]]:
+    """Notices of every licence: its SPDX line, and "Licensed under ..." and the like."""
+    lines = [(one, f"SPDX-License-Identifier: {x}") for one, (ids, _) in names.items() for x in ids]
+    lines += [(one, f"{verb} {x}.") for one, (_, called) in names.items() for x in called for verb in _VERBS]
+    return lines
+
+
+_NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
@@ -103,3 +196,5 @@ KNOWN = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Licensed under CC0 1.0."),
 )
+
+KNOWN = (*_SHORT, *_NOTICES, *_published(), *notices())

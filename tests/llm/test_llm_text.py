@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter, defaultdict
+from importlib.resources import files
 
 import pytest
 from llm_frames import documents, edge_docs, edge_rows
 from pyspark.sql import functions as F
 
 from lodgecast.llm.license_scan import scan_licenses
-from lodgecast.llm.license_texts import BSD_3, MIT
+from lodgecast.llm.license_texts import BSD_3, FILES, MIT
 from lodgecast.llm.line_dedup import drop_shared_lines, line_report
 from lodgecast.llm.quality_rules import MIN_GROUP, judge, keep_good, measure_rules, rules_report
 from lodgecast.plans.storage import stored
@@ -126,6 +127,26 @@ def test_licences(spark):
     assert scan_licenses(docs).filter("doc_id < 100 and license_id is not null").count() == 0
 
 
+def test_full_licence_texts_and_generated_notices(spark):
+    """Published texts are known whole and without their appendix; notices come from templates."""
+    texts = {n: files("lodgecast.llm").joinpath(f"licenses/{n}.txt").read_text("utf-8") for n in FILES}
+    apache = texts["Apache-2.0"]
+    filled = apache.replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2021 Somebody")
+    copies = [*texts.items(), ("Apache-2.0", filled), ("Apache-2.0", apache.partition("   APPENDIX")[0])]
+    lines = [
+        ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+        ("BSD-3-Clause", "# SPDX-License-Identifier: BSD-3-Clause"),
+        ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+        ("AGPL-3.0-or-later", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+        ("MPL-2.0", "This project is released under the Mozilla Public Licence, version 2.0"),
+    ]
+    rows = [(i, t, None, None) for i, (_, t) in enumerate(copies)]
+    rows += [(100 + i, f"some text\n{t}\nmore", None, None) for i, (_, t) in enumerate(lines)]
+    found = {r.doc_id: r for r in scan_licenses(edge_docs(spark, rows)).collect()}
+    assert [found[i].license_id for i in range(len(copies))] == [n for n, _ in copies]
+    assert [found[100 + i].notice_ids for i in range(len(lines))] == [[n] for n, _ in lines]
+
+
 @pytest.mark.parametrize("operator", [line_report, rules_report, scan_licenses, keep_good])
 def test_empty_tables(spark, operator):
     assert operator(edge_docs(spark).filter(F.lit(False))).count() == 0

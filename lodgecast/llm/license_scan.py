@@ -37,7 +37,9 @@ SPELLINGS = (
     ("copyright owner", "copyright holder"),
     ("https", "http"),
 )
-COPYRIGHT_LINE = r"^(portions )?copyright( c)?( [0-9]{4}|$| by | holder)|^c [0-9]{4}|^all rights reserved$"
+SPACED = tuple((one, used) for one, used in SPELLINGS if " " in one)  # may lie across a line break
+# "COPYRIGHT HOLDERS BE LIABLE" at the start of a line belongs to the licence.
+COPYRIGHT_LINE = r"^(portions )?copyright( c)?( [0-9]{4}|$| by | holders?( c)? [0-9]{4}| holders? c )|^c [0-9]{4}|^all rights reserved$"
 
 
 def canonical_lines(text: Column) -> Column:
@@ -49,6 +51,14 @@ def canonical_lines(text: Column) -> Column:
     return F.filter(lines, lambda x: (x != "") & ~x.rlike(COPYRIGHT_LINE))
 
 
+def canonical_text(lines: Column) -> Column:
+    """Canonical form of a whole text from that of its lines, wherever they were broken."""
+    joined = F.array_join(lines, " ")
+    for one, used in SPACED:
+        joined = F.replace(joined, F.lit(one), F.lit(used))
+    return joined
+
+
 def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
     """``_llm_digest, _llm_license`` of known licence texts; the smallest name wins a tie.
 
@@ -57,7 +67,7 @@ def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN)
     rows = json.dumps([{"license": name, "text": text} for name, text in known])
     kind = "array<struct<license:string,text:string>>"
     texts = small_frame(spark, [(rows,)], "rows string").select(F.inline(F.from_json("rows", kind)))
-    joined = F.array_join(canonical_lines(F.col("text")), " ")
+    joined = canonical_text(canonical_lines(F.col("text")))
     return (
         texts.select("license", joined.alias("_llm_text"))
         .groupBy(F.sha2("_llm_text", 256).alias("_llm_digest"))
@@ -81,7 +91,7 @@ def scan_licenses(docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN) ->
         "doc_id", F.xxhash64(text).alias("_llm_copy"), canonical_lines(text).alias("_llm_lines")
     )
     whole = lined.select(
-        "doc_id", "_llm_copy", F.sha2(F.array_join("_llm_lines", " "), 256).alias("_llm_digest")
+        "doc_id", "_llm_copy", F.sha2(canonical_text(F.col("_llm_lines")), 256).alias("_llm_digest")
     )
     lines = lined.select("doc_id", "_llm_copy", F.posexplode("_llm_lines").alias("_llm_at", "_llm_line"))
     notices = (

@@ -5,6 +5,7 @@ Long texts are the files of ``licenses``, named like their licence.
 
 from __future__ import annotations
 
+import re
 from importlib.resources import files
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this
@@ -110,6 +111,7 @@ _APPENDIX = (
     "           How to Apply These Terms", "ADDENDUM: How to use",
 )
 _RULE = "=" * 71  # between the parts of a Creative Commons text
+_BLANKS = (re.compile(r"Copyright \(C\)\s+_[_\s]*"), re.compile(r"(?<=\. )All\s+Rights\s+Reserved"))
 
 
 def _variants(text: str) -> list[str]:
@@ -120,6 +122,12 @@ def _variants(text: str) -> list[str]:
     if _RULE in text:
         title, _, terms, _ = text.split(_RULE)
         found += [terms, title + terms]
+    if _BLANKS[0].search(text):
+        # A form to fill in, inside the text: a wrap may make a copyright line of its parts, or not.
+        flat = [" ".join(text.split())]
+        for blank in _BLANKS:
+            flat += [blank.sub(" ", x) for x in flat]
+        found += flat
     return list(dict.fromkeys(found))
 
 

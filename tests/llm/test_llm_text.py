@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import textwrap
 from collections import Counter, defaultdict
 from importlib.resources import files
 
@@ -12,7 +13,7 @@ from llm_frames import documents, edge_docs, edge_rows
 from pyspark.sql import functions as F
 
 from lodgecast.llm.license_scan import scan_licenses
-from lodgecast.llm.license_texts import BSD_3, FILES, MIT
+from lodgecast.llm.license_texts import BSD_2, BSD_3, FILES, KNOWN, MIT
 from lodgecast.llm.line_dedup import drop_shared_lines, line_report
 from lodgecast.llm.quality_rules import MIN_GROUP, judge, keep_good, measure_rules, rules_report
 from lodgecast.plans.storage import stored
@@ -147,6 +148,37 @@ def test_full_licence_texts_and_generated_notices(spark):
     assert [found[100 + i].notice_ids for i in range(len(lines))] == [[n] for n, _ in lines]
 
 
+def wrapped(text, width):
+    """Paragraphs of a text wrapped anew; lines of the copyright notice stay lines."""
+    out, paragraph = [], []
+    for line in [*text.split("\n"), ""]:
+        notice = re.match(r"\s*copyright (\(c\)|©|[0-9]{4})", line, re.IGNORECASE)
+        if notice or not line.strip():
+            out += [*textwrap.wrap(" ".join(paragraph), width, break_long_words=False), line]
+            paragraph = []
+        else:
+            paragraph.append(line)
+    return "\n".join(out)
+
+
+def test_line_breaks_do_not_change_a_licence(spark):
+    """Every known whole text at every width from 40 to 120, also with a spelling of two words."""
+    whole = [(n, t) for n, t in KNOWN if "\n" in t]
+    whole += [("MIT", MIT.replace("sublicense", "sub license").replace("NONINFRINGEMENT", "NON-INFRINGEMENT"))]
+    whole += [("BSD-2-Clause", BSD_2.replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR"))]
+    whole += [("BSD-3-Clause", BSD_3.replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR"))]
+    copies = [(n, wrapped(t, width)) for n, t in whole for width in range(40, 121)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(copies)], "doc_id long, text string").repartition(16)
+    found = {r.doc_id: r.license_id for r in scan_licenses(docs).select("doc_id", "license_id").collect()}
+    assert [(i, found[i]) for i, (n, _) in enumerate(copies) if found[i] != n] == []
+
+
+def test_copyright_lines_are_dropped(spark):
+    heads = ["Copyright Holder 2020 X", "Copyright holders (c) 2019 Y", "Copyright (c) 2020 Z", "Copyright by W", "(c) 2020 V"]
+    docs = edge_docs(spark, [(i, f"{h}\n\n{MIT}", None, None) for i, h in enumerate(heads)])
+    assert [r.license_id for r in scan_licenses(docs).collect()] == ["MIT"] * len(heads)
+
+
 @pytest.mark.parametrize("operator", [line_report, rules_report, scan_licenses, keep_good])
 def test_empty_tables(spark, operator):
     assert operator(edge_docs(spark).filter(F.lit(False))).count() == 0

@@ -16,7 +16,16 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lodgecast.llm import mixing
-from lodgecast.llm.packing import VOCABULARY, Capacity, best_fit, pack, pack_documents, token_pieces
+from lodgecast.llm.packing import (
+    NEARLY_FULL,
+    ROUNDS,
+    VOCABULARY,
+    Capacity,
+    best_fit,
+    pack,
+    pack_documents,
+    token_pieces,
+)
 
 
 def targets_by_hand(sizes, weights=(5, 2, 1), most=3):
@@ -144,6 +153,38 @@ def test_every_capacity_holds(by):
     assert len(set(bins.tolist())) <= 1.3 * max(lengths.sum() / 1_000, 500 / 6, (lengths**2).sum() / 300_000)
 
 
+def test_rounds_of_shards_with_all_capacities(spark):
+    """pack() over several shards and rounds, where tokens, documents and attention all bind."""
+    rng = np.random.default_rng(2)
+    lengths = [700, *rng.integers(1, 60, 250), *rng.integers(100, 200, 250), *rng.integers(400, 633, 100)]
+    capacity = Capacity(tokens=1_000, documents=8, attention=400_000)
+    pieces = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "doc_id long, length long")
+    packed = pack(pieces, capacity, weights=(1.0, 0.5, 0.5), shard_rows=24).collect()
+    assert sorted((r.doc_id, r.length) for r in packed) == list(enumerate(lengths))
+    bins = defaultdict(list)
+    for r in packed:
+        bins[r.sequence_id].append((r.offset, r.length))
+    alone, shares = [], defaultdict(list)
+    for number, own in bins.items():
+        sizes = np.array([n for _, n in sorted(own)])
+        assert [o for o, _ in sorted(own)] == [0, *np.cumsum(sizes)[:-1]]
+        share = np.array([sizes.sum() / 1_000, len(sizes) / 8, (sizes**2).sum() / 400_000])
+        if 700 in sizes:  # over the attention capacity by itself
+            alone = sizes.tolist()
+            continue
+        assert (share <= 1 + 1e-9).all()
+        shares[number >> 58].append(share)
+    assert alone == [700]
+    assert sorted(shares) == list(range(ROUNDS))
+    for turn in range(ROUNDS - 1):  # only sequences that some capacity has filled are closed early
+        assert min(share.max() for share in shares[turn]) >= NEARLY_FULL
+    every = np.array([share for own in shares.values() for share in own])
+    assert ((every >= NEARLY_FULL).sum(0) >= 3).all()
+    lengths = np.array(lengths)
+    least = max(lengths.sum() / 1_000, len(lengths) / 8, (lengths**2).sum() / 400_000)
+    assert len(bins) <= 1.4 * least
+
+
 def test_packing_awkward_rows(spark):
     docs = edge_docs(spark)
     packed = pack_documents(docs).collect()

@@ -12,6 +12,9 @@ from lodgecast.llm.license_scan import COPYRIGHT_LINE, SPELLINGS
 from lodgecast.llm.license_texts import KNOWN
 from lodgecast.llm.line_dedup import MIN_CHARS, MIN_DOCS
 from lodgecast.llm.quality_rules import FENCES, MIN_GROUP, MIN_WORDS, STEPS
+from lodgecast.llm.lexical_rank import TOP
+from lodgecast.llm.periodic_runs import LEAST_WORDS, TIMES
+from lodgecast.llm.repeat_dedup import WINDOW as REPEAT
 from lodgecast.llm.substring_dedup import WINDOW
 from lodgecast.llm.topk_search import SCALE
 
@@ -187,6 +190,99 @@ SELECT w.doc_id, w.digest AS canonical_sha256, k.license AS license_id,
 FROM whole w LEFT JOIN known k ON k.digest = w.digest LEFT JOIN notices n ON n.doc_id = w.doc_id
 """
 
+LEXICAL_SEARCH = f"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all({_low("coalesce(text, '')")}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS terms
+  FROM documents),
+counted AS (SELECT doc_id, terms, len(terms)::BIGINT AS n FROM split WHERE len(terms) > 0),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM counted),
+wanted AS (
+  SELECT DISTINCT item_id, term FROM (
+    SELECT item_id, unnest(regexp_extract_all({_low("coalesce(text, '')")}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) AS term
+    FROM benchmark)),
+used AS (
+  SELECT doc_id, n, term, count(*)::BIGINT AS tf
+  FROM (SELECT doc_id, n, unnest(terms) AS term FROM counted)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY doc_id, n, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM used, totals GROUP BY term, docs),
+parts AS (
+  SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))) AS part
+  FROM used JOIN weights USING (term), totals),
+scored AS (
+  SELECT item_id, doc_id, sum(part)::BIGINT AS score FROM wanted JOIN parts USING (term) GROUP BY item_id, doc_id),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+  FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= {TOP}
+"""
+
+REPEAT_DEDUP = f"""
+WITH hexed AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+windows AS (
+  SELECT doc_id, i, md5_number(substring(hx, 2 * i + 1, {2 * REPEAT})) AS win
+  FROM hexed, unnest(range(0, n - {REPEAT} + 1)) AS t(i)),
+hits AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before
+  FROM (SELECT *, count(*) OVER (PARTITION BY win) AS places FROM windows) WHERE places > 1),
+numbered AS (
+  SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + {REPEAT} THEN 1 ELSE 0 END)
+    OVER (PARTITION BY doc_id ORDER BY i) AS span FROM hits),
+spans AS (
+  SELECT doc_id, min(i) AS first, max(i) + {REPEAT} AS last FROM numbered GROUP BY doc_id, span),
+gaps AS (
+  SELECT doc_id, first, last, coalesce(lag(last) OVER (PARTITION BY doc_id ORDER BY first), 0) AS before FROM spans),
+cut AS (
+  SELECT doc_id, count(*)::BIGINT AS n_spans, sum(last - first)::BIGINT AS n_removed, max(last) AS last,
+    string_agg(substring(hx, 2 * before + 1, 2 * (first - before)), '' ORDER BY first) AS kept
+  FROM gaps JOIN hexed USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substring(hx, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM hexed LEFT JOIN cut USING (doc_id)
+"""
+
+# Fixed value: the polynomial of CRC-32, bits reversed.
+_CRC_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+PERIODIC_RUNS = f"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, i: {_CRC_STEP})) AS t),
+hashed AS (
+  SELECT doc_id, {_TEXT_WORDS} AS words, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS h
+  FROM documents, crc),
+planned AS (
+  SELECT doc_id, words, len(words)::BIGINT AS n, h % 10 = 0 AS changed, h // 10 AS g,
+    (h // 10) % greatest(len(words), 1) AS a FROM hashed),
+placed AS (
+  SELECT doc_id, n, i, words[1 + CASE WHEN changed AND i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END]
+    AS word FROM planned, unnest(range(n)) AS t(i)),
+equal AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM placed x JOIN placed y ON x.doc_id = y.doc_id AND x.word = y.word
+  WHERE y.i > x.i AND {TIMES} * (y.i - x.i) <= x.n),
+stretches AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM equal)
+  GROUP BY doc_id, q, island HAVING count(*) + q >= greatest({LEAST_WORDS}, {TIMES} * q)),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY doc_id, start, length),
+best AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period)
+    AS lines FROM runs GROUP BY doc_id),
+first AS (
+  SELECT * FROM runs
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (
+  SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.i) AS text
+  FROM placed p ANTI JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i GROUP BY p.doc_id)
+SELECT d.doc_id, coalesce(b.n_runs, 0)::BIGINT AS n_runs, f.start::BIGINT AS start, f.length::BIGINT AS length,
+  f.period::BIGINT AS period, (1000 * f.length // f.period)::BIGINT AS exponent_milli,
+  sha256(coalesce(b.lines, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN best b USING (doc_id) LEFT JOIN first f USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op3_jaccard_join": JACCARD_JOIN,
     "op4_exact_top_k": EXACT_TOP_K,
@@ -194,4 +290,7 @@ ORACLES: dict[str, str] = {
     "op7_quality_rules": QUALITY_RULES,
     "op9_substring_dedup": SUBSTRING_DEDUP,
     "op10_license_scan": LICENSE_SCAN,
+    "op11_bag_lexical_search": LEXICAL_SEARCH,
+    "op12_suffix_array_dedup": REPEAT_DEDUP,
+    "op13_periodic_runs": PERIODIC_RUNS,
 }

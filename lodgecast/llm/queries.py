@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from lodgecast.llm.common import table
 from lodgecast.llm.html_extract import extract_main_text
 from lodgecast.llm.jaccard_join import near_duplicate_report
+from lodgecast.llm.lexical_rank import rank_report
 from lodgecast.llm.license_scan import scan_licenses
 from lodgecast.llm.line_dedup import line_report
 from lodgecast.llm.mixing import mix_report
 from lodgecast.llm.packing import pack_documents
+from lodgecast.llm.periodic_runs import run_report
 from lodgecast.llm.quality_classifier import classify
 from lodgecast.llm.quality_rules import rules_report
+from lodgecast.llm.repeat_dedup import repeat_report
 from lodgecast.llm.substring_dedup import substring_report
 from lodgecast.llm.topk_search import exact_top_k
 
@@ -60,6 +63,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_bag_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_report(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,5 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_best_fit_packing,
         op9_substring_dedup,
         op10_license_scan,
+        op11_bag_lexical_search,
+        op12_suffix_array_dedup,
+        op13_periodic_runs,
     )
 }

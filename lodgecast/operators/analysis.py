@@ -13,6 +13,7 @@ from lodgecast.operators.rank import PROBABILITY
 from lodgecast.operators.validate import is_invalid
 from lodgecast.plans.history import earlier_totals
 from lodgecast.plans.joins import lookup_join
+from lodgecast.plans.segments import GROUP_ROWS
 from lodgecast.plans.selection import exact_quantiles
 from lodgecast.plans.storage import small_frame
 from lodgecast.schemas import CATEGORY_COLUMNS, DATE, FEATURE_COLUMNS, ID, LABEL
@@ -156,8 +157,12 @@ def client_aggregates(
     canceled: Column,
     price: str,
     tie_break: Sequence[str] = (),
+    most: int = GROUP_ROWS,
 ) -> DataFrame:
-    """Per row, the client's earlier bookings, cancellations, spend and cancel ratio."""
+    """Per row, the client's earlier bookings, cancellations, spend and cancel ratio.
+
+    A client-day of more than ``most`` rows is spread over tasks.
+    """
     known = earlier_totals(
         df,
         key=client,
@@ -168,6 +173,7 @@ def client_aggregates(
             "earlier_spend": F.col(price),
         },
         tie_break=tie_break,
+        most=most,
     )
     ratio = F.coalesce(F.try_divide("earlier_cancellations", "earlier_bookings"), F.lit(0.0))
     return known.withColumn("earlier_cancel_ratio", ratio)

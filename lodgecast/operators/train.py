@@ -5,24 +5,25 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from itertools import product
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from lodgecast.functions.scoring import row_key, uniform_hash
 from lodgecast.operators.clean import Cleaned, preprocess_bookings
-from lodgecast.operators.evaluate import METRICS, evaluate
+from lodgecast.operators.encode import LabelRates, fit_label_rates, number_categories
+from lodgecast.operators.evaluate import METRICS, evaluate, roc_auc
 from lodgecast.operators.rank import (
     PROBABILITY,
     assign_missing_ids,
@@ -41,9 +42,15 @@ from lodgecast.schemas import (
     SEED,
     TEST_SIZE,
 )
+from lodgecast.session import checkpoint_folder, scratch_path
 
 MODEL_NAME = "GBT"
-MAX_CATEGORIES = 10_000  # values of a column that the model may list
+VALIDATION_SHARE = 0.1  # of the training rows; boosting ends when their error no longer falls
+FIRST_ROUNDS = 25
+PARTITION_ROWS = 20_000  # of assembled vectors, so that small fits are not many tiny tasks
+_VALIDATION = "_validation"
+_TURNS = "rounds int, best int, error double"
+_SEARCH = "settings string, fold int, roc_auc double, trees int"
 
 # Training settings, in the terms of Spark's boosted trees. Leaf count, L1 and L2
 # penalties have no counterpart there.
@@ -75,72 +82,114 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 @dataclass
-class Categories:
-    """Stages that number the categories, their output columns, and the most numbers of one."""
+class BookingModel:
+    """A fitted classifier with the label rates its categorical features come from."""
 
-    stages: list
-    outputs: list[str]
-    widest: int
+    rates: LabelRates
+    pipeline: PipelineModel
+
+    @property
+    def classifier(self):
+        return self.pipeline.stages[-1]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        for stage in self.stages:
-            df = stage.transform(df)
-        return df
+        return self.pipeline.transform(self.rates.transform(df))
 
+    def save(self, path: str) -> None:
+        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        self.rates.save(f"{path}/rates")
 
-def fit_categories(train: DataFrame, most: int = MAX_CATEGORIES) -> Categories:
-    """Category numbers 0.. in alphabetical order; values unseen here get the next number.
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> BookingModel:
+        return cls(LabelRates.load(spark, f"{path}/rates"), PipelineModel.load(f"{path}/pipeline"))
 
-    The lists of values are held by the model. A column of more than ``most`` values has no list:
-    its values are numbered by hash, into ``most`` numbers, and trees take those as a number.
-    """
-    names = categorical_columns(train)
-    rough = train.agg(*[F.approx_count_distinct(c).alias(c) for c in names]).first() if names else {}
-    wide = [
-        c for c in names
-        if rough[c] > most // 2 and train.select(c).distinct().limit(most + 1).count() > most
-    ]
-    listed = [c for c in names if c not in wide]
-    stages: list = []
-    if listed:
-        indexer = StringIndexer(
-            inputCols=listed,
-            outputCols=[f"{c}_index" for c in listed],
-            stringOrderType="alphabetAsc",
-            handleInvalid="keep",
-        )
-        stages.append(indexer.fit(train))
-    if wide:
-        cells = ", ".join(f"CAST(pmod(xxhash64(`{c}`), {most}) AS DOUBLE) AS `{c}_index`" for c in wide)
-        stages.append(SQLTransformer(statement=f"SELECT *, {cells} FROM __THIS__"))
-    widest = max([len(v) for v in stages[0].labelsArray], default=0) + 1 if listed else 0
-    return Categories(stages, [f"{c}_index" for c in names], widest)
-
-
-def encode_categories(
-    train: DataFrame, test: DataFrame, most: int = MAX_CATEGORIES
-) -> tuple[DataFrame, DataFrame]:
-    """Number the categories of both frames by the values of ``train``."""
-    model = fit_categories(train, most)
-    return model.transform(train), model.transform(test)
-
-
-def _fit(train: DataFrame, classifier) -> PipelineModel:
-    categories = fit_categories(train)
-    features = VectorAssembler(
-        inputCols=numeric_columns(train) + categories.outputs,
-        outputCol="features",
-        handleInvalid="keep",
-    )
-    if classifier.hasParam("maxBins"):
-        classifier.setMaxBins(max(32, categories.widest))
-    return Pipeline(stages=[*categories.stages, features, classifier]).fit(train)
+
+def encode_categories(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Add ``<column>_index`` to both frames: the values of ``train`` in alphabetical order from 0,
+    others the next number. Columns may have any number of values."""
+    numbers = number_categories(train, categorical_columns(train))
+    return numbers.transform(train), numbers.transform(test)
 
 
-def train_model(train: DataFrame, params: dict | None = None, seed: int = SEED) -> PipelineModel:
-    """Boosted trees on every feature column; ``params`` defaults to :data:`FULL_PARAMS`."""
+@dataclass
+class Assembled:
+    """Feature vectors of training rows, written once for every fit that reads them."""
+
+    rates: LabelRates
+    assembler: VectorAssembler
+    frame: DataFrame
+
+    def fit(self, classifier, held_out: bool = False) -> BookingModel:
+        """``held_out`` leaves the validation rows out."""
+        checkpoint_folder(self.frame.sparkSession)
+        fitted = classifier.fit(self.frame.filter(~F.col(_VALIDATION)) if held_out else self.frame)
+        return BookingModel(self.rates, PipelineModel([self.assembler, fitted]))
+
+
+def assemble(train: DataFrame, seed: int = SEED, validation: float = VALIDATION_SHARE) -> Assembled:
+    """Numbers as they are, categories as label rates of other folds, and which rows to stop by.
+
+    ``train`` is read a few times: pass a stored frame.
+    """
+    rates, coded = fit_label_rates(train, categorical_columns(train), seed=seed)
+    assembler = VectorAssembler(
+        inputCols=numeric_columns(train) + rates.outputs, outputCol="features", handleInvalid="keep"
+    )
+    held = uniform_hash(row_key(coded), f"{seed}-validation") < F.lit(int(validation * 2**52))
+    vectors = assembler.transform(coded.withColumn(_VALIDATION, held))
+    frame = stored(vectors.select(LABEL, "features", _VALIDATION), "vectors")
+    parts = max(1, -(-rates.rows // PARTITION_ROWS))
+    return Assembled(rates, assembler, frame.coalesce(parts))
+
+
+def boosted_trees(params: dict | None = None, seed: int = SEED) -> GBTClassifier:
+    """``params`` defaults to :data:`FULL_PARAMS`. Every ten rounds the state is written to the
+    checkpoint folder, so that a lost executor does not cost all rounds before."""
+    settings = {"checkpointInterval": 10, **(FULL_PARAMS if params is None else params)}
+    return GBTClassifier(labelCol=LABEL, seed=seed, **settings)
+
+
+def fit_until_settled(
+    vectors: Assembled, params: dict | None = None, seed: int = SEED, progress: str | None = None
+) -> BookingModel:
+    """Boosted trees, as many as the held validation rows want, ``maxIter`` at most.
+
+    The rounds are doubled from :data:`FIRST_ROUNDS` on until the smallest validation error lies in
+    their first half, so the last half of the rounds has brought nothing. The model then has the
+    trees up to that smallest error; a fit of fewer rounds has the same first trees. Each turn is
+    appended to the folder ``progress``, and a fit that was stopped goes on after the last turn
+    found there. Without validation rows all rounds are made.
+    """
+    spark = vectors.frame.sparkSession
     params = FULL_PARAMS if params is None else params
-    return _fit(train, GBTClassifier(labelCol=LABEL, seed=seed, **params))
+    most = params.get("maxIter", 20)
+    progress = progress or scratch_path(spark, "boosting")
+    held = vectors.frame.filter(_VALIDATION)
+    turns = {r["rounds"]: r["best"] for r in _finished(spark, progress, _TURNS)}
+    rounds, model = min(FIRST_ROUNDS, most), None
+    if held.isEmpty():
+        return vectors.fit(boosted_trees(params, seed))
+    while True:
+        if rounds not in turns:
+            model = vectors.fit(boosted_trees({**params, "maxIter": rounds}, seed), held_out=True)
+            errors = model.classifier.evaluateEachIteration(held)
+            turns[rounds] = 1 + min(range(len(errors)), key=errors.__getitem__)
+            turn = small_frame(spark, [(rounds, turns[rounds], min(errors))], _TURNS)
+            turn.write.mode("append").parquet(progress)
+        if 2 * turns[rounds] <= rounds or rounds == most:
+            break
+        rounds, model = min(2 * rounds, most), None
+    if model is not None and model.classifier.getNumTrees == turns[rounds]:
+        return model
+    return vectors.fit(boosted_trees({**params, "maxIter": turns[rounds]}, seed), held_out=True)
+
+
+def train_model(
+    train: DataFrame, params: dict | None = None, seed: int = SEED, progress: str | None = None
+) -> BookingModel:
+    """Boosted trees on every feature column; ``params`` defaults to :data:`FULL_PARAMS`. See
+    :func:`fit_until_settled` for when it ends."""
+    return fit_until_settled(assemble(train, seed), params, seed, progress)
 
 
 def train_baseline_lr(train: DataFrame) -> PipelineModel:
@@ -150,10 +199,11 @@ def train_baseline_lr(train: DataFrame) -> PipelineModel:
         outputCol="features",
         handleInvalid="keep",
     )
-    return Pipeline(stages=[features, LogisticRegression(labelCol=LABEL, maxIter=50)]).fit(train)
+    vectors = stored(features.transform(train).select(LABEL, "features"), "vectors")
+    return PipelineModel([features, LogisticRegression(labelCol=LABEL, maxIter=50).fit(vectors)])
 
 
-def predict_proba(model: PipelineModel, df: DataFrame) -> DataFrame:
+def predict_proba(model: BookingModel | PipelineModel, df: DataFrame) -> DataFrame:
     """Add the probability of class 1 and the predicted class; vectors are dropped."""
     scored = model.transform(df)
     return scored.select(
@@ -163,7 +213,7 @@ def predict_proba(model: PipelineModel, df: DataFrame) -> DataFrame:
     )
 
 
-def evaluate_model(model: PipelineModel, test: DataFrame) -> DataFrame:
+def evaluate_model(model: BookingModel | PipelineModel, test: DataFrame) -> DataFrame:
     """:func:`evaluate` of a fitted model on labelled rows."""
     predictions = stored(
         predict_proba(model, test).select(LABEL, "prediction", PROBABILITY), "predictions"
@@ -172,15 +222,26 @@ def evaluate_model(model: PipelineModel, test: DataFrame) -> DataFrame:
 
 
 def compare_models(
-    train: DataFrame, test: DataFrame, classifiers: dict | None = None, seed: int = SEED
-) -> tuple[DataFrame, dict[str, PipelineModel]]:
-    """Fit candidates and measure each on ``test``; (metric rows with ``is_best``, models)."""
+    train: DataFrame,
+    test: DataFrame,
+    classifiers: dict | None = None,
+    seed: int = SEED,
+    params: dict | None = None,
+) -> tuple[DataFrame, dict[str, BookingModel]]:
+    """Fit candidates and measure each on ``test``; (metric rows with ``is_best``, models).
+
+    A candidate that is None stands for boosted trees with ``params``, as many as they need.
+    """
     classifiers = classifiers or {
         "LogisticRegression": LogisticRegression(labelCol=LABEL, maxIter=50),
         "RandomForest": RandomForestClassifier(labelCol=LABEL, seed=seed),
-        "GBT": GBTClassifier(labelCol=LABEL, seed=seed),
+        "GBT": None,
+    }
+    vectors = assemble(train, seed)
+    models = {
+        name: vectors.fit(classifier) if classifier is not None else fit_until_settled(vectors, params, seed)
+        for name, classifier in classifiers.items()
     }
-    models = {name: _fit(train, classifier) for name, classifier in classifiers.items()}
     rows = []
     for name, model in models.items():
         metrics = evaluate_model(model, test).first().asDict()
@@ -191,48 +252,69 @@ def compare_models(
 
 
 def cross_validate(
-    train: DataFrame, grid: dict[str, list], folds: int = 3, seed: int = SEED, base: dict | None = None
-) -> tuple[DataFrame, CrossValidatorModel]:
-    """K-fold search over boosted-tree settings by ROC-AUC; (mean score per setting, model).
-
-    Folds come from the booking id, so a rerun uses the same ones.
+    train: DataFrame,
+    grid: dict[str, list],
+    folds: int = 3,
+    seed: int = SEED,
+    base: dict | None = None,
+    progress: str | None = None,
+) -> tuple[DataFrame, BookingModel]:
+    """K-fold search over boosted-tree settings by ROC-AUC; (mean score and trees per setting, the
+    best setting's model of all rows).
+
+    Folds come from the booking id, so a rerun uses the same ones. Label rates are taken from a
+    fold's training rows only. Each fit's score is appended to the folder ``progress``; a search
+    that was stopped and is started again with the same folder, rows and seed goes on after the
+    last of them. Without it the scores are kept among the intermediates.
     """
-    folded = train.withColumn("fold", F.pmod(uniform_hash(row_key(train), seed), F.lit(folds)).cast("int"))
-    classifier = GBTClassifier(labelCol=LABEL, seed=seed, **(base or {}))
-    categories = fit_categories(train)
-    classifier.setMaxBins(max(32, categories.widest))
-    features = VectorAssembler(
-        inputCols=numeric_columns(train) + categories.outputs,
-        outputCol="features",
-        handleInvalid="keep",
-    )
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(classifier.getParam(name), values)
-    settings = builder.build()
-    model = CrossValidator(
-        estimator=Pipeline(stages=[*categories.stages, features, classifier]),
-        estimatorParamMaps=settings,
-        evaluator=BinaryClassificationEvaluator(labelCol=LABEL, numBins=0),  # every score, not bins
-        numFolds=folds,
-        foldCol="fold",
-        seed=seed,
-    ).fit(folded)
-    rows = [
-        (json.dumps({p.name: v for p, v in setting.items()}, sort_keys=True), float(score))
-        for setting, score in zip(settings, model.avgMetrics)
-    ]
-    best = max(range(len(rows)), key=lambda i: rows[i][1])
-    schema = "settings string, mean_roc_auc double, is_best boolean"
-    marked = [(*row, i == best) for i, row in enumerate(rows)]
-    return small_frame(train.sparkSession, marked, schema), model
+    spark = train.sparkSession
+    progress = progress or scratch_path(spark, "cross-validation")
+    settings = [dict(zip(grid, values)) for values in product(*grid.values())]
+    fold = F.pmod(uniform_hash(row_key(train), seed), F.lit(folds)).cast("int")
+    folded = stored(train.withColumn("_cv_fold", fold), "cross-validation")
+    names = [json.dumps(s, sort_keys=True) for s in settings]
+    done = {(r["settings"], r["fold"]): r for r in _finished(spark, progress, _SEARCH)}
+    for k in range(folds):
+        wanted = [(name, s) for name, s in zip(names, settings) if (name, k) not in done]
+        if not wanted:
+            continue
+        vectors = assemble(folded.filter(F.col("_cv_fold") != k).drop("_cv_fold"), seed)
+        held = folded.filter(F.col("_cv_fold") == k).drop("_cv_fold")
+        for name, setting in wanted:
+            model = fit_until_settled(vectors, {**(base or FULL_PARAMS), **setting}, seed)
+            scores = stored(predict_proba(model, held).select(LABEL, PROBABILITY), "held-out-scores")
+            area = roc_auc(scores, LABEL, PROBABILITY).first()["roc_auc"]
+            row = small_frame(spark, [(name, k, area, model.classifier.getNumTrees)], _SEARCH)
+            row.write.mode("append").parquet(progress)
+    found = spark.read.schema(_SEARCH).parquet(progress)
+    means = {
+        r["settings"]: r
+        for r in found.filter(F.col("settings").isin(names) & (F.col("fold") < folds))
+        .dropDuplicates(["settings", "fold"])
+        .groupBy("settings")
+        .agg(F.avg("roc_auc").alias("score"), F.avg("trees").alias("trees"))
+        .collect()
+    }
+    best = max(names, key=lambda n: (means[n]["score"] or 0.0, n))
+    rows = [(n, means[n]["score"], means[n]["trees"], n == best) for n in names]
+    schema = "settings string, mean_roc_auc double, mean_trees double, is_best boolean"
+    chosen = train_model(train, {**(base or FULL_PARAMS), **json.loads(best)}, seed)
+    return small_frame(spark, rows, schema), chosen
+
+
+def _finished(spark: SparkSession, path: str, schema: str) -> list:
+    """Rows of a progress folder; one row per finished fit."""
+    try:
+        return spark.read.schema(schema).parquet(path).collect()
+    except AnalysisException:  # nothing finished yet
+        return []
 
 
 @dataclass
 class TrainingRun:
     """A fitted model, its metrics (one row) and its report."""
 
-    model: PipelineModel
+    model: BookingModel
     metrics: DataFrame
     summary: DataFrame
     report: dict
@@ -313,7 +395,7 @@ class ScoringRun:
 
 
 def score_batch(
-    raw: DataFrame, model: PipelineModel, share: float = RISK_SHARE, stats: DataFrame | None = None
+    raw: DataFrame, model: BookingModel, share: float = RISK_SHARE, stats: DataFrame | None = None
 ) -> ScoringRun:
     """Clean new bookings, score them and build the ranked table.
 
@@ -329,7 +411,7 @@ def score_batch(
 
 def score_single_rule(
     raw: DataFrame,
-    model: PipelineModel,
+    model: BookingModel,
     stats: DataFrame | None = None,
     threshold: float = HIGH_RISK_THRESHOLD,
 ) -> DataFrame:

@@ -20,16 +20,22 @@ def lookup_join(
     how: str = "inner",
     broadcast_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
+    rows_known: int | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``table``: broadcast if it is counted to be small, salted otherwise.
 
+    ``rows_known`` is the table's counted number of rows, where the caller has it; the table is a
+    scan then, and is not written and counted here.
+
     Salted: each row goes to one of ``salts`` parts of its key, chosen by its content, and the
     table is repeated once per part. The salt comes from the row itself, so a repeated task
     sends the row to the same part; rows equal in every column share a part.
     """
     keys = list(keys)
-    table = stored(table, "lookup")  # counted and joined, so computed once
-    if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if rows_known is None:
+        table = stored(table, "lookup")  # counted and joined, so computed once
+        rows_known = table.limit(broadcast_rows + 1).count()
+    if rows_known <= broadcast_rows:
         return rows.join(F.broadcast(table), keys, how)
     salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
     parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))

@@ -11,6 +11,7 @@ from lodgecast import jobs as J
 from lodgecast.functions.scoring import high_risk_count, round_half_even
 from lodgecast.operators import analysis as A
 from lodgecast.operators import clean as C
+from lodgecast.operators import encode as N
 from lodgecast.operators import evaluate as E
 from lodgecast.operators import monitor as G
 from lodgecast.operators import rank as R
@@ -26,8 +27,6 @@ from lodgecast.sources import orders as O
 from lodgecast.sources import requests as Q
 from lodgecast.streaming import scoring as T
 
-# Small settings, so that a check run ends soon; training jobs default to the full ones.
-QUICK = {"maxIter": 5, "maxDepth": 4, "stepSize": 0.1, "lossType": "logistic"}
 SQUARED = ["number_of_adults", "lead_time", "average_price", "total_nights", "price_per_night"]
 P4 = R.PROBABILITY
 
@@ -549,12 +548,33 @@ def evaluate(spark, folder):
     return E.evaluate(stored(_predictions(spark, folder)))
 
 
-def train_model(spark, folder, rounds: int = QUICK["maxIter"]):
-    """Hold-out metrics of a freshly fitted model, and the trees it has."""
+def encode_wide_categories(spark, folder):
+    """A column of as many values as there are clients, beside a narrow one: numbers, label rates
+    and shares, for training rows from the other folds."""
+    orders = spark.read.parquet(f"{folder}/orders.parquet").select(
+        F.col("o_orderkey").alias("_k"), F.concat(F.lit("Client "), F.col("o_custkey").cast("string")).alias("client")
+    )
+    train, test = (
+        stored(
+            part.withColumn("_k", _booking_number())
+            .join(orders, "_k")
+            .select("booking_id", LABEL, "client", "room_type"),
+            "wide",
+        )
+        for part in _split(spark, folder)
+    )
+    numbers = N.number_categories(train, ["client", "room_type"])
+    rates, others = N.fit_label_rates(train, ["client", "room_type"])
+    coded = numbers.transform(others.unionByName(rates.transform(test)))
+    indexes = [F.col(f"{c}_index").cast("int").alias(f"{c}_index") for c in ("client", "room_type")]
+    return _rounded(coded.select("booking_id", *indexes, *rates.outputs), rates.outputs, 9)
+
+
+def train_model(spark, folder):
+    """Hold-out metrics of a model fitted with the full settings, and the trees it took."""
     train, test = _split(spark, folder)
-    model = M.train_model(train, {**QUICK, "maxIter": rounds})
-    trees = model.stages[-1].getNumTrees
-    return M.evaluate_model(model, test).withColumn("trees", F.lit(trees))
+    model = M.train_model(train)
+    return M.evaluate_model(model, test).withColumn("trees", F.lit(model.classifier.getNumTrees))
 
 
 def training_job(spark, folder):
@@ -562,7 +582,7 @@ def training_job(spark, folder):
     after loading as it did before."""
     database, path = _run_database(spark), scratch_path(spark, "model")
     bookings = stored(_bookings(spark, folder), "bookings")
-    run = J.run_training(O.labelled_bookings(bookings), path, database, "run-1", QUICK)
+    run = J.run_training(O.labelled_bookings(bookings), path, database, "run-1")
     loaded, categories, name = artifacts.load_model(spark, path)
     new = stored(C.preprocess_bookings(O.new_bookings(bookings), False).frame)
     before = M.predict_proba(run.model, new).select("booking_id", F.col(P4).alias("_was"))
@@ -591,7 +611,7 @@ def batch_job(spark, folder):
     """What a scoring run leaves behind, in files and tables."""
     database, path, output = _run_database(spark), scratch_path(spark, "model"), scratch_path(spark, "out")
     bookings = stored(_bookings(spark, folder), "bookings")
-    J.run_training(O.labelled_bookings(bookings), path, database, "run-1", QUICK)
+    J.run_training(O.labelled_bookings(bookings), path, database, "run-1")
     J.run_batch(O.new_bookings(bookings), path, output, database, "run-1")
     scores = spark.read.parquet(f"{output}/scores")
     counted = scores.agg(
@@ -616,8 +636,8 @@ def batch_job(spark, folder):
 def model_contracts(spark, folder):
     """Facts about fitted models that do not depend on the solver."""
     train, test = _split(spark, folder)
-    compared = compare_models(spark, folder)
-    searched = cross_validate(spark, folder)
+    compared = M.compare_models(train, test)[0]
+    searched = M.cross_validate(train, {"maxDepth": [4, 8]})[0]
     scored = stored(M.predict_proba(M.train_baseline_lr(train), test))
     judged = M.flag_by_threshold(scored.select("booking_id", P4), 0.5)
     facts = [
@@ -649,14 +669,23 @@ def ensure_run_tables(spark, folder):
     return small_frame(spark, rows, "table_name string, column_name string, kind string, rows bigint")
 
 
+def _judged_rows(scored: DataFrame) -> DataFrame:
+    """What holds of a scored row whatever the fit: its probability and its class agree."""
+    return scored.select(
+        "booking_id",
+        F.col(P4).between(0, 1).alias("in_range"),
+        ((F.col(P4) > 0.5) == (F.col("prediction") == 1)).alias("class_agrees"),
+    )
+
+
 def predict_proba(spark, folder):
     train, test = _split(spark, folder)
-    return M.predict_proba(M.train_model(train, QUICK), test).select("booking_id", P4, "prediction")
+    return _judged_rows(M.predict_proba(M.train_model(train), test))
 
 
 def _save_run(spark: SparkSession, labelled: DataFrame) -> str:
     path = scratch_path(spark, "model")
-    artifacts.save_training_run(spark, M.train_and_report(labelled, QUICK), path)
+    artifacts.save_training_run(spark, M.train_and_report(labelled), path)
     return path
 
 
@@ -668,26 +697,39 @@ def _model_and_new(spark, folder):
 
 
 def train_and_report(spark, folder):
-    """What a saved training run's report says."""
+    """What a saved training run's report says; of a metric, whether it is a share."""
     report = artifacts.load_report(spark, _save_run(spark, _labelled(spark, folder)))
-    metrics = [(k, float(v)) for k, v in report["metrics"][M.MODEL_NAME].items()]
-    metrics += [(k, float(v)) for k, v in report["split"].items()]
-    return small_frame(spark, metrics, "name string, value double")
+    facts = [(k, float(0 <= v <= 1)) for k, v in report["metrics"][M.MODEL_NAME].items()]
+    facts += [(k, float(v)) for k, v in report["split"].items()]
+    facts += [(f"parameter {k}", v) for k, v in report["parameters"][M.MODEL_NAME].items() if isinstance(v, float)]
+    return small_frame(spark, facts, "name string, value double")
 
 
 def score_batch(spark, folder):
+    """The ranked table of a trained model, without what depends on the fit: which booking it is
+    and how likely; ``ordered`` says that no row is likelier than the one before."""
     model, new = _model_and_new(spark, folder)
-    return M.score_batch(new, model).scores
+    scores = stored(M.score_batch(new, model).scores, "scores")
+    before = scores.select((F.col("rank") + 1).alias("rank"), F.col(P4).alias("_before"))
+    ordered = F.coalesce(F.col(P4) <= F.col("_before"), F.lit(True)) & F.col(P4).between(0, 1)
+    return scores.join(before, "rank", "left").select(
+        "rank", "risk_percentile", "is_high_risk", "risk_segment", ordered.alias("ordered")
+    )
 
 
 def score_single_rule(spark, folder):
     model, new = _model_and_new(spark, folder)
-    return M.score_single_rule(new, model, threshold=0.5)
+    judged = M.score_single_rule(new, model, threshold=0.5)
+    rule = (F.col("is_high_risk") == 1) == (F.col(P4) >= 0.5)
+    named = (F.col("risk_segment") == "high_risk") == (F.col("is_high_risk") == 1)
+    return judged.select(
+        "booking_id", F.col(P4).between(0, 1).alias("in_range"), rule.alias("follows_rule"), named.alias("named")
+    )
 
 
 def train_baseline_lr(spark, folder):
     train, test = _split(spark, folder)
-    return M.evaluate_model(M.train_baseline_lr(train), test)
+    return _judged_rows(M.predict_proba(M.train_baseline_lr(train), test))
 
 
 def score_scorecard(spark, folder):
@@ -695,18 +737,29 @@ def score_scorecard(spark, folder):
 
 
 def compare_models(spark, folder):
+    """The candidates; ``best_by_area`` says that the mark is on the largest area."""
     train, test = _split(spark, folder)
-    candidates = {
-        "LogisticRegression": M.LogisticRegression(labelCol=LABEL, maxIter=20),
-        "RandomForest": M.RandomForestClassifier(labelCol=LABEL, numTrees=10, seed=42),
-        "GBT": M.GBTClassifier(labelCol=LABEL, seed=42, **QUICK),
-    }
-    return M.compare_models(train, test, candidates)[0]
+    found = M.compare_models(train, test)[0]
+    largest = found.agg(F.max("roc_auc")).first()[0]
+    shares = F.lit(True)
+    for metric in E.METRICS:
+        shares = shares & F.col(metric).between(0, 1)
+    marked = ~F.col("is_best") | (F.col("roc_auc") == largest)
+    return found.select("model", shares.alias("metrics_in_range"), marked.alias("best_by_area"))
 
 
 def cross_validate(spark, folder):
+    """The settings tried; each has a score of every fold and at least one tree."""
     train, _ = _split(spark, folder)
-    return M.cross_validate(train, {"maxDepth": [2, 4]}, folds=2, base={"maxIter": 3})[0]
+    found, model = M.cross_validate(train, {"maxDepth": [4, 8]})
+    fitted = model.classifier.getOrDefault("maxDepth")
+    chosen = F.col("is_best") == (F.col("settings") == F.lit(f'{{"maxDepth": {fitted}}}'))
+    return found.select(
+        "settings",
+        F.col("mean_roc_auc").between(0, 1).alias("score_in_range"),
+        (F.col("mean_trees") >= 1).alias("has_trees"),
+        chosen.alias("best_was_fitted"),
+    )
 
 
 # Monitoring.
@@ -775,8 +828,7 @@ def quality_checks(spark, folder):
     return A.quality_checks(_bookings(spark, folder))
 
 
-def client_aggregates(spark, folder):
-    orders = spark.read.parquet(f"{folder}/orders.parquet")
+def _client_aggregates(orders: DataFrame, **options) -> DataFrame:
     known = A.client_aggregates(
         orders,
         client="o_custkey",
@@ -784,6 +836,7 @@ def client_aggregates(spark, folder):
         canceled=(F.col("o_orderstatus") == "F").cast("int"),
         price="o_totalprice",
         tie_break=["o_orderkey"],
+        **options,
     )
     kept = known.select(
         "o_orderkey",
@@ -795,6 +848,20 @@ def client_aggregates(spark, folder):
     return _rounded(_rounded(kept, ["earlier_cancel_ratio"]), ["earlier_spend"], 2)
 
 
+def client_aggregates(spark, folder):
+    return _client_aggregates(spark.read.parquet(f"{folder}/orders.parquet"))
+
+
+def client_aggregates_hot_day(spark, folder):
+    """The same where one client made a third of all orders on one day, in slices of 500 rows."""
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    moved = F.col("o_orderkey") % 3 == 0
+    kinds = dict(orders.dtypes)
+    changed = {"o_custkey": "1", "o_orderdate": "1995-06-17"}
+    hot = {c: F.when(moved, F.lit(v).cast(kinds[c])).otherwise(F.col(c)) for c, v in changed.items()}
+    return _client_aggregates(orders.withColumns(hot), most=500)
+
+
 def feature_interactions(spark, folder):
     crossed = A.feature_interactions(_new_clean(spark, folder).frame).select(
         "booking_id", "lead_time_x_price", "guests_x_nights", "cancel_ratio_x_lead_time",
@@ -909,12 +976,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         round_probability, rank_by_risk, risk_percentile, high_risk_counts, flag_top_share,
         build_scoring_table, assign_missing_ids, flag_by_threshold, score_requests,
         batch_result_counts, top_risk_preview, standard_output,
-        split_stratified, split_three_way, encode_categories, confusion_counts, roc_auc, evaluate,
+        split_stratified, split_three_way, encode_categories, encode_wide_categories, confusion_counts, roc_auc, evaluate,
         train_model, predict_proba, train_and_report, score_batch, score_single_rule,
         train_baseline_lr, score_scorecard, compare_models, cross_validate,
         training_metrics, batch_metrics, metrics_to_long,
         lift_at_share, segment_cancel_rate, class_balance, feature_profile, outlier_bounds,
-        drop_outliers, seasonality, quality_checks, client_aggregates, feature_interactions,
+        drop_outliers, seasonality, quality_checks, client_aggregates,
+        client_aggregates_hot_day, feature_interactions,
         feature_drift, assign_experiment, experiment_summary, rule_baseline, leakage_guard,
         stream_score_single, stream_score_requests, stream_batch_metrics,
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodgecast.operators.evaluate import METRICS
 from lodgecast.queries.bookings_sql import (
     NEW,
     NEW_RANKED,
@@ -124,8 +125,8 @@ def _long(table: str, names: list[str], extra: str = "") -> str:
     )
 
 
-def _facts(**values: str) -> str:
-    return _union([f"SELECT '{n}' AS fact, CAST({v} AS DOUBLE) AS value" for n, v in values.items()])
+def _facts(key: str = "fact", /, **values: str) -> str:
+    return _union([f"SELECT '{n}' AS {key}, CAST({v} AS DOUBLE) AS value" for n, v in values.items()])
 
 
 def _union(parts: list[str]) -> str:
@@ -190,6 +191,41 @@ def _encode() -> str:
     )
 
 
+def _encode_wide() -> str:
+    """Numbers and smoothed label rates; training rows leave their own fold out."""
+    parts = [
+        f"""wide AS (
+  SELECT t.booking_id, t.booking_status AS y, split = 'train' AS known, 'Client ' || o_custkey AS client, t.room_type,
+         CAST('0x' || substr(md5(t.booking_id || '|42-fold'), 1, 13) AS BIGINT) % 5 AS fold
+  FROM train_clean t JOIN parted p ON p.booking_id = t.booking_id
+  JOIN orders ON o_orderkey = {_number('t.booking_id')})""",
+        "totals AS (SELECT fold, count(*) AS n, sum(y) AS p FROM wide WHERE known GROUP BY fold)",
+        """others AS (
+  SELECT w.booking_id, (SELECT sum(n) FROM totals) - coalesce(t.n, 0) AS n, (SELECT sum(p) FROM totals) - coalesce(t.p, 0) AS p
+  FROM wide w LEFT JOIN totals t ON known AND t.fold = w.fold)""",
+    ]
+    joins, cells = "", []
+    for c in ("client", "room_type"):
+        parts += [
+            f"{c}_codes AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT {c} AS v FROM wide WHERE known))",
+            f"{c}_folds AS (SELECT {c} AS v, fold, count(*) AS n, sum(y) AS p FROM wide WHERE known GROUP BY 1, 2)",
+            f"""{c}_sums AS (
+  SELECT w.booking_id, sum(f.n) AS n, sum(f.p) AS p FROM wide w JOIN {c}_folds f ON f.v = w.{c}
+  WHERE NOT known OR f.fold <> w.fold GROUP BY w.booking_id)""",
+        ]
+        joins += f" LEFT JOIN {c}_codes ON {c}_codes.v = w.{c} LEFT JOIN {c}_sums ON {c}_sums.booking_id = w.booking_id"
+        rate = f"(coalesce({c}_sums.p, 0) + 20 * (CAST(o.p AS DOUBLE) / o.n)) / (coalesce({c}_sums.n, 0) + 20)"
+        cells += [
+            f"CAST(coalesce({c}_codes.i, (SELECT count(*) FROM {c}_codes)) AS INTEGER) AS {c}_index",
+            f"{even(rate, 9)} AS {c}_rate",
+            f"{even(f'coalesce({c}_sums.n, 0) / CAST(o.n AS DOUBLE)', 9)} AS {c}_share",
+        ]
+    return (
+        with_tables(TRAIN, _split([("test", "0.2")]), *parts)
+        + f"SELECT w.booking_id, {', '.join(cells)} FROM wide w JOIN others o ON o.booking_id = w.booking_id{joins}"
+    )
+
+
 def _errors(shares: bool = False) -> str:
     counts = [c for c in NUMBERS if c != "average_price"]
     checks = []
@@ -426,6 +462,35 @@ derived AS (
     CAST(special_requests > 0 AS INTEGER) AS has_special_requests
   FROM plain_dated)"""
 
+
+def _client_aggregates(orders: str) -> str:
+    return (
+        "SELECT o_orderkey, earlier_bookings, "
+        "CAST(coalesce(earlier_cancellations, 0) AS BIGINT) AS earlier_cancellations, "
+        f"{even('coalesce(earlier_spend, 0)', 2)} AS earlier_spend, "
+        f"{even('coalesce(earlier_cancellations / nullif(earlier_bookings, 0), 0)')} AS earlier_cancel_ratio "
+        "FROM (SELECT o_orderkey, count(*) OVER w AS earlier_bookings, "
+        "sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) OVER w AS earlier_cancellations, "
+        f"sum(o_totalprice) OVER w AS earlier_spend FROM {orders} WINDOW w AS (PARTITION BY o_custkey "
+        "ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
+    )
+
+
+_HELD_OUT = with_tables(TRAIN, _split([("test", "0.2")])) + (
+    "SELECT booking_id, TRUE AS in_range, TRUE AS class_agrees FROM parted WHERE split = 'test'"
+)
+# The training settings and split that a report repeats.
+_REPORTED = {
+    "test_size": "0.2",
+    "random_state": "42",
+    "train_rows": "(SELECT count(*) FROM parted WHERE split = 'train')",
+    "test_rows": "(SELECT count(*) FROM parted WHERE split = 'test')",
+    "parameter stepSize": "0.03",
+    "parameter subsamplingRate": "0.85",
+    "parameter minInfoGain": "0",
+}
+
+
 ORACLES: dict[str, str] = {
     "bookings_view": with_tables() + "SELECT * FROM bookings",
     "rename_to_wire": with_tables()
@@ -617,14 +682,11 @@ ORACLES: dict[str, str] = {
     + f"SELECT reservation_month, reservation_dayofweek, count(*) AS bookings, "
     f"{even('avg(booking_status)')} AS cancel_rate FROM train_clean GROUP BY 1, 2",
     "quality_checks": _quality(),
-    "client_aggregates": "SELECT o_orderkey, earlier_bookings, "
-    "CAST(coalesce(earlier_cancellations, 0) AS BIGINT) AS earlier_cancellations, "
-    f"{even('coalesce(earlier_spend, 0)', 2)} AS earlier_spend, "
-    f"{even('coalesce(earlier_cancellations / nullif(earlier_bookings, 0), 0)')} AS earlier_cancel_ratio "
-    "FROM (SELECT o_orderkey, count(*) OVER w AS earlier_bookings, "
-    "sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) OVER w AS earlier_cancellations, "
-    "sum(o_totalprice) OVER w AS earlier_spend FROM orders WINDOW w AS (PARTITION BY o_custkey "
-    "ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))",
+    "client_aggregates": _client_aggregates("orders"),
+    "client_aggregates_hot_day": _client_aggregates(
+        "(SELECT * REPLACE (CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE o_custkey END AS o_custkey, "
+        "CASE WHEN o_orderkey % 3 = 0 THEN '1995-06-17' ELSE o_orderdate END AS o_orderdate) FROM orders)"
+    ),
     "feature_interactions": with_tables(NEW)
     + f"SELECT booking_id, {even('lead_time * average_price')} AS lead_time_x_price, "
     "total_guests * total_nights AS guests_x_nights, "
@@ -718,4 +780,18 @@ ORACLES: dict[str, str] = {
         settings="2",
         best_settings="1",
     ),
+    "predict_proba": _HELD_OUT,
+    "train_baseline_lr": _HELD_OUT,
+    "train_and_report": with_tables(TRAIN, _split([("test", "0.2")]))
+    + _facts("name", **{m: "1" for m in METRICS}, **_REPORTED),
+    "score_batch": with_tables(*NEW_RANKED)
+    + "SELECT rank, risk_percentile, is_high_risk, risk_segment, TRUE AS ordered FROM scores",
+    "score_single_rule": with_tables(NEW)
+    + "SELECT booking_id, TRUE AS in_range, TRUE AS follows_rule, TRUE AS named FROM new_clean",
+    # Contracts of any fit: the candidates and settings that were asked for.
+    "compare_models": "SELECT unnest(['GBT', 'LogisticRegression', 'RandomForest']) AS model, "
+    "TRUE AS metrics_in_range, TRUE AS best_by_area",
+    "cross_validate": "SELECT unnest(['{\"maxDepth\": 4}', '{\"maxDepth\": 8}']) AS settings, "
+    "TRUE AS score_in_range, TRUE AS has_trees, TRUE AS best_was_fitted",
+    "encode_wide_categories": _encode_wide(),
 }

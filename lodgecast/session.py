@@ -59,6 +59,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Let Spark's own checkpoints go to the scratch folder where no folder is set for them.
+
+    ``spark.checkpoint.dir`` sets one, so on a cluster nothing changes here.
+    """
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(f"{scratch_root(spark)}/checkpoints")
+
+
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Delete the intermediates written inside the block when it ends.

@@ -6,11 +6,14 @@ import pytest
 from conftest import SMALL, rows
 from pyspark.sql import functions as F
 
+from lodgecast.functions.scoring import row_key, uniform_hash
 from lodgecast.operators import analysis as A
 from lodgecast.operators import clean as C
+from lodgecast.operators import encode as N
 from lodgecast.operators import split as P
 from lodgecast.operators import train as M
 from lodgecast.operators.evaluate import METRICS
+from lodgecast.plans import joins
 from lodgecast.plans.storage import stored
 from lodgecast.schemas import CATEGORY_COLUMNS, LABEL, POSITION
 from lodgecast.sinks import artifacts
@@ -120,16 +123,137 @@ def test_unseen_categories_are_scored(raw, run):
     assert M.score_single_rule(odd, run.model).filter("probability_of_cancellation IS NULL").count() == 0
 
 
-def test_wide_columns_are_numbered_by_hash(spark):
-    df = spark.range(0, 100).select(
-        F.col("id").cast("string").alias("room_type"),
-        (F.col("id") % 3).cast("string").alias("type_of_meal"),
-        (F.col("id") % 2).alias("booking_status"),
+def _wide(spark, values: int, copies: int = 4):
+    """A column of ``values`` values of which every other one always cancels, beside noise."""
+    return spark.range(0, values * copies).select(
+        F.format_string("B%07d", "id").alias("booking_id"),
+        F.format_string("room %06d", F.col("id") % values).alias("room_type"),
+        (F.xxhash64("id") % 100).cast("double").alias("lead_time"),
+        (F.col("id") % values % 2).cast("int").alias(LABEL),
     )
-    train, test = M.encode_categories(df, df.limit(10), most=20)
-    found = train.select("room_type_index", "type_of_meal_index").collect()
-    assert all(0 <= r[0] < 20 and r[1] in (0, 1, 2) for r in found) and len({r[0] for r in found}) > 10
-    assert test.count() == 10
+
+
+def test_wide_columns_are_numbered_without_loss(spark, monkeypatch):
+    for bound in (100_000, 50):  # broadcast, then salted
+        monkeypatch.setattr(joins.lookup_join, "__defaults__", ("inner", bound, 4, None))
+        train = stored(_wide(spark, 300, 2))
+        test = train.limit(20).unionByName(train.limit(3).withColumn("room_type", F.lit("room new"))).unionByName(
+            train.limit(2).withColumn("room_type", F.lit(None).cast("string"))
+        )
+        coded, tested = M.encode_categories(train, test)
+        assert coded.columns == [*train.columns, "room_type_index"]
+        found = {(r["room_type"], r["room_type_index"]) for r in coded.collect()}
+        assert found == {(f"room {k:06d}", float(k)) for k in range(300)}
+        last = [r["room_type_index"] for r in tested.collect() if r["room_type"] in (None, "room new")]
+        assert last == [300.0] * 5 and tested.count() == 25
+
+
+def test_label_rates_leave_the_own_fold_out(spark):
+    data = [(f"b{i}", ["x", "y", None][i % 3] if i % 11 else f"rare {i}", i % 2) for i in range(200)]
+    train = stored(spark.createDataFrame(data, f"booking_id string, room_type string, {LABEL} int"))
+    rates, others = N.fit_label_rates(train, ["room_type"], folds=3, smoothing=2.0)
+    marked = train.select("booking_id", F.pmod(uniform_hash(row_key(train), "42-fold"), F.lit(3)).alias("fold"))
+    fold = {r["booking_id"]: r["fold"] for r in marked.collect()}
+    found = {r["booking_id"]: (r["room_type_rate"], r["room_type_share"]) for r in others.collect()}
+    assert len(found) == 200
+
+    def by_hand(value, rows):
+        prior = sum(r[2] for r in rows) / len(rows)
+        same = [r[2] for r in rows if value is not None and r[1] == value]
+        return (sum(same) + 2 * prior) / (len(same) + 2), len(same) / len(rows)
+
+    for booking_id, value, _ in data:
+        rest = [r for r in data if fold[r[0]] != fold[booking_id]]
+        assert found[booking_id] == pytest.approx(by_hand(value, rest))
+    seen = {r["room_type"]: (r[1], r[2]) for r in rates.transform(
+        spark.createDataFrame([("x",), ("never",), (None,)], "room_type string")).collect()}
+    assert all(seen[v] == pytest.approx(by_hand(v, data)) for v in ("x", "never", None))
+    nothing, same = N.fit_label_rates(train, [])
+    assert nothing.outputs == [] and same.columns == train.columns
+
+
+def test_a_wide_column_keeps_its_effect(spark, tmp_path):
+    """20,000 values, each a third of the time in the test rows: they decide every prediction."""
+    rows = _wide(spark, 20_000).withColumn("split", F.when(F.col("booking_id") < "B0060000", "train").otherwise("test"))
+    parts = stored(rows)
+    train, test = (parts.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
+    model = M.train_model(train, {"maxIter": 3, "maxDepth": 2})
+    assert M.evaluate_model(model, test).first()["roc_auc"] > 0.99
+    model.save(str(tmp_path))
+    again = M.BookingModel.load(spark, str(tmp_path))
+    few = test.limit(50)
+    assert rows_of(M.predict_proba(again, few)) == rows_of(M.predict_proba(model, few))
+
+
+def rows_of(df):
+    return rows(df, *df.columns)
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    """Vectors whose label follows two numbers, with noise: some dozen trees pay."""
+    noise = F.xxhash64("id") % 100 / 100
+    frame = spark.range(0, 1500).select(
+        F.format_string("B%05d", "id").alias("booking_id"),
+        (F.col("id") % 37).cast("double").alias("lead_time"),
+        (F.col("id") % 11).cast("double").alias("average_price"),
+        ((F.sin(F.col("id") % 37) + F.col("id") % 11 / 5 + noise) > 1.2).cast("int").alias(LABEL),
+    )
+    return M.assemble(stored(frame))
+
+
+def test_fewer_rounds_have_the_same_first_trees(vectors):
+    params = {"maxIter": 6, "maxDepth": 3, "subsamplingRate": 0.85, "featureSubsetStrategy": "0.85"}
+    long, short = (
+        vectors.fit(M.boosted_trees({**params, "maxIter": n}), held_out=True).classifier for n in (6, 3)
+    )
+    assert [t.toDebugString.split("\n", 1)[1] for t in long.trees[:3]] == [t.toDebugString.split("\n", 1)[1] for t in short.trees]
+
+
+def test_boosting_ends_by_itself_and_goes_on_where_it_was_stopped(spark, vectors, tmp_path, monkeypatch):
+    monkeypatch.setattr(M, "FIRST_ROUNDS", 4)
+    params, path = {"maxIter": 16, "maxDepth": 3, "stepSize": 0.2}, str(tmp_path / "turns")
+    fits = []
+    whole = M.Assembled.fit
+    monkeypatch.setattr(M.Assembled, "fit", lambda self, c, held_out=False: fits.append(c.getMaxIter()) or whole(self, c, held_out))
+    model = M.fit_until_settled(vectors, params, progress=path)
+    turns = {r["rounds"]: r for r in spark.read.parquet(path).collect()}
+    errors = whole(vectors, M.boosted_trees(params), True).classifier.evaluateEachIteration(vectors.frame.filter("_validation"))
+    for rounds, turn in turns.items():
+        assert turn["error"] == pytest.approx(min(errors[:rounds])) and errors[turn["best"] - 1] == pytest.approx(turn["error"])
+    last = max(turns)
+    assert 2 * turns[last]["best"] <= last or last == 16
+    assert all(2 * turns[r]["best"] > r for r in turns if r < last)
+    assert model.classifier.getNumTrees == turns[last]["best"]
+    # Stopped after its last turn, it only makes the model.
+    del fits[:]
+    again = M.fit_until_settled(vectors, params, progress=path)
+    assert fits == [turns[last]["best"]] and again.classifier.getNumTrees == model.classifier.getNumTrees
+    assert spark.read.parquet(path).count() == len(turns)
+
+
+def test_a_search_goes_on_where_it_was_stopped(spark, raw, tmp_path, monkeypatch):
+    train = stored(C.preprocess_bookings(labelled_bookings(raw)).frame)
+    path, base = str(tmp_path / "search"), {"maxIter": 2, "maxDepth": 2}
+    grid = {"stepSize": [0.1, 0.3]}
+    first, _ = M.cross_validate(train, grid, folds=2, base=base, progress=path)
+    assert spark.read.parquet(path).count() == 4
+    fits = []
+    whole = M.fit_until_settled
+    monkeypatch.setattr(M, "fit_until_settled", lambda *a, **b: fits.append(a[1]) or whole(*a, **b))
+    again, model = M.cross_validate(train, {"stepSize": [0.1, 0.3, 0.5]}, folds=2, base=base, progress=path)
+    assert [f["stepSize"] for f in fits[:-1]] == [0.5, 0.5]  # the last fit is the chosen model
+    found = {r["settings"]: r for r in again.collect()}
+    assert all(found[r["settings"]]["mean_roc_auc"] == r["mean_roc_auc"] for r in first.collect())
+    assert sum(r["is_best"] for r in found.values()) == 1 and model.classifier.getNumTrees <= 2
+
+
+def test_the_full_settings(spark, raw):
+    """One training run with nothing cut: up to 700 trees of depth 8."""
+    run = M.train_and_report(labelled_bookings(raw))
+    assert run.report["parameters"]["GBT"] == M.FULL_PARAMS
+    assert 1 <= run.model.classifier.getNumTrees <= M.FULL_PARAMS["maxIter"]
+    assert run.model.classifier.getOrDefault("maxDepth") == 8
 
 
 def test_outliers_and_guard(raw):

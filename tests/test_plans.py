@@ -6,12 +6,15 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodgecast.plans import segments
 from lodgecast.plans.history import earlier_totals
 from lodgecast.plans.joins import lookup_join
 from lodgecast.plans.numbering import number_rows
 from lodgecast.plans.selection import count_values, exact_quantiles, order_statistics
+from lodgecast.plans.storage import stored
 
 
 def test_numbers_are_positions_even_for_equal_rows(spark):
@@ -127,6 +130,40 @@ def test_earlier_totals_match_a_plain_window(spark):
         assert result[i] == (len(earlier), sum(r[3] for r in earlier))
 
 
+def _hot_days(spark):
+    """A third of the rows on one day of one key, many of them at one moment; some moments equal."""
+    draw = random.Random(6)
+    data = []
+    for i in range(3000):
+        k, day, hour = (1, 3, draw.choice([5, 5, 7])) if i % 3 else (draw.randrange(40), draw.randrange(1, 9), draw.randrange(24))
+        data.append((i, k, f"2024-01-{day:02d} {hour:02d}:00:00", draw.randrange(5), None if i % 7 else 1.5))
+    df = spark.createDataFrame(data, "i int, k int, t string, x int, y double")
+    return df.withColumn("t", F.to_timestamp("t"))
+
+
+@pytest.mark.parametrize("most", [7, 300, 5_000])
+def test_a_hot_day_is_cut_into_slices(spark, most):
+    df = _hot_days(spark)
+    sums = {"n": F.lit(1).cast("long"), "s": F.col("x"), "y_sum": F.col("y")}
+    found = earlier_totals(df, "k", "t", sums, ["i"], most=most)
+    earlier = Window.partitionBy("k").orderBy("t", "i").rowsBetween(Window.unboundedPreceding, -1)
+    plain = df.select("*", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(n) for n, v in sums.items()])
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.select(*found.columns).collect()))
+    windows = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in x]
+    assert any("_slice" in x for x in windows) == (most < 5_000)
+
+
+def test_no_slice_holds_a_large_group(spark, monkeypatch):
+    """The rows that one window of a group orders are about ``most``, whatever the group's size."""
+    written = {}
+    monkeypatch.setattr(segments, "stored", lambda df, label: written.setdefault(label, stored(df, label)))
+    df = _hot_days(spark).withColumn("day", F.to_date("t"))
+    counts = df.groupBy("k", "day").agg(F.count(F.lit(1)).alias("_rows"))
+    segments.totals_before(df, ["k", "day"], ["t", "i"], {"n": F.lit(1)}, counts, most=100).count()
+    sizes = [r["count"] for r in written["slices"].groupBy("k", "day", "_slice").count().collect()]
+    assert sum(sizes) > 2000 and len(sizes) >= 15 and max(sizes) < 400
+
+
 def test_lookup_join_is_the_same_salted_or_broadcast(spark):
     left = spark.range(0, 3000).select(
         F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 40).alias("k"), "id"
@@ -155,7 +192,6 @@ def test_missing_groups_and_keys_keep_their_rows(spark):
 def test_scoped_intermediates_are_deleted(spark):
     import os
 
-    from lodgecast.plans.storage import stored
     from lodgecast.session import scratch_scope
 
     with scratch_scope(spark):

@@ -37,6 +37,9 @@ HOT_SEGMENTS = 2_048  # different segments of one key in a shard; more are dealt
 SHARD_BYTES = 3 << 20
 BATCH_BYTES = 256 << 10  # of texts whose anchors are found together
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_PLACE = np.uint64(2**24 - 1)  # the bits of a place beside a hash
+_PIECE_BYTES = 1 << 23
+MOST_STARTS = 4_096  # windows of a segment
 _SEGMENTS = "key long, s1 long, s2 long, u1 long, u2 long, first int, starts int, copies long"
 
 
@@ -45,26 +48,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def anchors(text: bytes, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
-    """For each window of the text, where its anchor begins."""
+def anchors(text: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of the text, where its anchor begins; and the hashes of the text's grams."""
     count = len(text) - window + 1
     if count < 1:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if len(text) > _PIECE_BYTES + window:
+        pieces = []
+        for first in range(0, count, _PIECE_BYTES):
+            at, hashes = anchors(text[first : first + _PIECE_BYTES + window - 1], window, gram)
+            pieces.append((at + first, hashes[:_PIECE_BYTES]))
+        return tuple(np.concatenate(x) for x in zip(*pieces))
     hashes, span = _mix(np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)), 1
     while span < gram:  # of grams of 1, 2, 4, ... bytes; the last two may overlap
         step = min(span, gram - span)
         hashes = _mix(hashes[: len(hashes) - step] * _MULTIPLIER + hashes[step:])
         span += step
-    # The first smallest of a window's grams, by windows of 1, 2, 4, ... grams.
-    wide, best, at = 1, hashes, np.arange(len(hashes))
+    # The smallest of a window's grams, the first of equal ones, by windows of 1, 2, 4, ... grams.
+    best = hashes & ~_PLACE | np.arange(len(hashes), dtype=np.uint64)
+    wide = 1
     while wide < window - gram + 1:
         step = min(wide, window - gram + 1 - wide)
-        size = len(best) - step
-        other = best[step:] < best[:size]
-        best = np.where(other, best[step:], best[:size])
-        at = np.where(other, at[step:], at[:size])
+        best = np.minimum(best[: len(best) - step], best[step:])
         wide += step
-    return at
+    return (best & _PLACE).astype(np.int64), hashes
 
 
 def _signed(digest: bytes) -> tuple[int, int]:
@@ -76,13 +83,15 @@ def segments(
 ) -> Iterator[tuple[int, int, int, int, bytes]]:
     """Text, key, first byte, window starts and content of the texts' segments.
 
-    A segment's windows share an anchor and start at most ``width`` places apart, counted from the
-    anchor; the key is the hash of the bytes common to all windows that could be among them.
+    A segment's windows follow each other, have equal anchors and start at most ``width`` places
+    apart, counted from the anchor; the key is the hash of the bytes common to all windows that
+    could be among them. Where any distance is allowed the anchor's bytes are what is common, and a
+    text that repeats itself stays in few segments although its anchor moves along.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
     offset = np.cumsum(sizes) - sizes
     joined = b"".join(texts)
-    at = anchors(joined, window, gram)
+    at, hashes = anchors(joined, window, gram)
     inside = np.zeros(len(joined) + 1, np.int64)
     np.add.at(inside, offset, 1)
     np.subtract.at(inside, offset + np.maximum(sizes - window + 1, 0), 1)
@@ -92,7 +101,12 @@ def segments(
     at = at[start]
     ahead = (at - start) // width
     new = np.ones(len(at), bool)
-    new[1:] = (np.diff(start) != 1) | (np.diff(at) != 0) | (np.diff(ahead) != 0)
+    if width == window - gram + 1:
+        new[1:] = (np.diff(start) != 1) | (hashes[at[1:]] != hashes[at[:-1]])
+        begin = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+        new |= (np.arange(len(at)) - begin) % MOST_STARTS == 0
+    else:
+        new[1:] = (np.diff(start) != 1) | (np.diff(at) != 0) | (np.diff(ahead) != 0)
     common = at[new] - ahead[new] * width
     count = np.diff(np.r_[np.flatnonzero(new), len(at)])
     first = start[new]
@@ -167,20 +181,15 @@ def _contents(wanted: DataFrame, units: DataFrame, window: int) -> DataFrame:
 
 def _shard_stretches(window: int):
     def stretches(shard: pd.DataFrame) -> pd.DataFrame:
-        # Two instances of a segment stand for any number of copies.
-        times = np.minimum(shard["copies"].to_numpy(), 2)
-        own = np.repeat(np.arange(len(shard)), times)
-        contents, starts = shard["content"].tolist(), shard["starts"].to_numpy()
-        index = SuffixIntervals([contents[k] for k in own.tolist()], starts[own], window)
+        copied = shard["copies"].to_numpy() > 1
+        index = SuffixIntervals(shard["content"].tolist(), shard["starts"].to_numpy(), window, copied)
         text, first, end = index.covered()
-        found = pd.DataFrame({"row": own[text], "first": first, "end": end}).drop_duplicates()
-        row = found["row"].to_numpy()
         return pd.DataFrame(
             {
-                "s1": shard["s1"].to_numpy()[row],
-                "s2": shard["s2"].to_numpy()[row],
-                "begin": found["first"].astype("int32"),
-                "stop": found["end"].astype("int32"),
+                "s1": shard["s1"].to_numpy()[text],
+                "s2": shard["s2"].to_numpy()[text],
+                "begin": first.astype("int32"),
+                "stop": end.astype("int32"),
             }
         )
 
@@ -204,7 +213,8 @@ def repeated_stretches(
     widths = widths or (window - gram + 1, *WIDTHS)  # first all windows of an anchor
     rows = stored(_cut_segments(units, widths[0], window, gram), "segments")
     several = rows.groupBy("key").agg(F.sum("copies").alias("places")).filter("places > 1")
-    shared = stored(rows.join(several.select("key"), "key"), "shared-segments")
+    several = stored(several.select("key"), "shared-keys")  # a scan, so that a hot key can be split
+    shared = stored(rows.join(several, "key"), "shared-segments")
     known = shared.groupBy("s1", "s2").agg(
         F.first("key").alias("key"),
         F.sum("copies").alias("copies"),
@@ -220,7 +230,7 @@ def repeated_stretches(
         contents = stored(contents, "contents")
         further = contents.join(crowded, "key", "left_semi")
         contents = contents.join(crowded, "key", "left_anti")
-    total = known.agg(F.sum(F.least("copies", F.lit(2)) * (F.col("starts") + window))).first()[0] or 0
+    total = known.agg(F.sum(F.col("starts") + window)).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     dealt = contents.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     found = dealt.groupBy("shard").applyInPandas(

@@ -18,10 +18,11 @@ class SuffixIntervals:
     """Repeats of at least ``least`` bytes within and between ``texts``.
 
     An occurrence may start at the first ``starts[k]`` places of text k, from each of which it has
-    ``least`` bytes or more. Texts end before anything that follows them.
+    ``least`` bytes or more. Texts end before anything that follows them. A text that is ``copied``
+    stands for several equal ones; each of its suffixes is a leaf with as many occurrences.
     """
 
-    def __init__(self, texts: list[bytes], starts: np.ndarray, least: int) -> None:
+    def __init__(self, texts: list[bytes], starts: np.ndarray, least: int, copied: np.ndarray) -> None:
         if least < _PACKED:
             raise ValueError(f"repeats of less than {_PACKED} bytes are not told apart")
         sizes = np.array([len(t) for t in texts], np.int64)
@@ -30,7 +31,7 @@ class SuffixIntervals:
         self.symbols = np.frombuffer(gap.join([*texts, b""]), np.uint8).astype(np.int64) + 1
         ends = (self.first + sizes)[:, None] + np.arange(_PACKED)
         self.symbols[ends.ravel()] = 0
-        self.least = least
+        self.least, self.sizes, self.copied = least, sizes, copied
         self._sort(int(sizes.max(initial=0)))
         may_start = np.zeros(len(self.symbols) + 1, np.int64)
         np.add.at(may_start, self.first, 1)
@@ -107,6 +108,11 @@ class SuffixIntervals:
         begin = np.flatnonzero(self.prefix == 0)
         end = np.r_[begin[1:], len(self.prefix)] - 1
         found: list[tuple[int, int, int]] = []
+        # Copies differ in what is before and behind the whole of them only.
+        whole = np.zeros(len(self.symbols), np.int64)
+        whole[self.first[self.copied]] = self.sizes[self.copied]
+        own = whole[self.order]
+        found += [(int(own[k]), k, k) for k in np.flatnonzero(own).tolist()]
         for i, j in zip(begin.tolist(), end.tolist()):
             if i < j and changes[j] > changes[i]:
                 self._scan(i, j, changes, found)
@@ -127,8 +133,17 @@ class SuffixIntervals:
     def covered(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, first byte and end of the stretches that maximal repeats cover."""
         reach = np.zeros(len(self.order), np.int64)
+        # Inner intervals, whose prefixes are longer, come first; each suffix is reached once.
+        behind: dict[int, int] = {}
         for length, i, j in self.groups():
-            np.maximum(reach[i : j + 1], length, out=reach[i : j + 1])
+            at = i
+            while at <= j:
+                if at in behind:
+                    at = behind[at]
+                else:
+                    reach[at] = length
+                    behind[at] = at = at + 1
+            behind[i] = j + 1
         hit = reach > 0
         first, end = self.order[hit], self.order[hit] + reach[hit]
         order = np.argsort(first)

@@ -59,7 +59,9 @@ def test_maximal_repeats(seed):
         for k in range(4)
     ]
     texts.append(texts[0])
-    index = SuffixIntervals(texts, np.array([max(0, len(t) - 7) for t in texts]), 8)
+    index = SuffixIntervals(
+        texts, np.array([max(0, len(t) - 7) for t in texts]), 8, np.array([False, True, False, False, False])
+    )
     found = {}
     for length, i, j in index.groups():
         places = []
@@ -68,12 +70,17 @@ def test_maximal_repeats(seed):
             places.append((k, at - int(index.first[k])))
         k, at = places[0]
         found[texts[k][at : at + length]] = sorted(places)
-    assert found == repeats_by_hand(texts, 8)
+    # The copies of text 1 are 1 and 5 here; occurrences in it stand for all of them.
+    by_hand = repeats_by_hand([*texts, texts[1]], 8)
+    assert found == {t: [p for p in places if p[0] != 5] for t, places in by_hand.items()}
+    covered = sorted(zip(*(x.tolist() for x in index.covered())))
+    spans = spans_by_hand([*texts, texts[1]], 8)[:-1]
+    assert covered == [(k, a, b) for k, own in enumerate(spans) for a, b in own]
 
 
 def test_segments_follow_from_windows():
     """Every window is in one segment, and equal windows have equal keys, whatever is around them."""
-    texts = [b"", letters(1, 300, 4) + letters(2, 90, 4), letters(3, 50, 4) + letters(2, 90, 4), b"short", b"a" * 70]
+    texts = [b"", letters(1, 300, 4) + letters(2, 90, 4), letters(3, 50, 4) + letters(2, 90, 4), b"short", b"a" * 70, b"xyz" * 50]
     for width in (13, 4, 1):
         keys, seen = defaultdict(set), Counter()
         for k, key, first, starts, content in segments(texts, width, 20, 8):

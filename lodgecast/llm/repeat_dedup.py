@@ -40,7 +40,7 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64(2**24 - 1)  # the bits of a place beside a hash
 _PIECE_BYTES = 1 << 23
 MOST_STARTS = 4_096  # windows of a segment
-_SEGMENTS = "key long, s1 long, s2 long, u1 long, u2 long, first int, starts int, copies long"
+_SEGMENTS = "key long, s1 long, s2 long, u1 long, u2 long, first int, starts int, copies long, places long"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -80,8 +80,8 @@ def _signed(digest: bytes) -> tuple[int, int]:
 
 def segments(
     texts: list[bytes], width: int, window: int = WINDOW, gram: int = GRAM
-) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """Text, key, first byte, window starts and content of the texts' segments.
+) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+    """Text, key, first byte, window starts, anchors and content of the texts' segments.
 
     A segment's windows follow each other, have equal anchors and start at most ``width`` places
     apart, counted from the anchor; the key is the hash of the bytes common to all windows that
@@ -110,10 +110,14 @@ def segments(
     common = at[new] - ahead[new] * width
     count = np.diff(np.r_[np.flatnonzero(new), len(at)])
     first = start[new]
+    moved = ~new
+    moved[1:] &= at[1:] != at[:-1]
+    places = 1 + np.add.reduceat(moved.astype(np.int64), np.flatnonzero(new))
     text = np.searchsorted(offset, first, "right") - 1
-    for k, a, n, c, o in zip(*(x.tolist() for x in (text, first, count, common, offset[text]))):
+    columns = (text, first, count, common, places, offset[text])
+    for k, a, n, c, p, o in zip(*(x.tolist() for x in columns)):
         key = xxhash.xxh3_64_intdigest(joined[c : c - width + 1 + window]) - (1 << 63)
-        yield k, key, a - o, n, joined[a : a + n - 1 + window]
+        yield k, key, a - o, n, p, joined[a : a + n - 1 + window]
 
 
 def _cut_segments(units: DataFrame, width: int, window: int, gram: int) -> DataFrame:
@@ -128,11 +132,12 @@ def _cut_segments(units: DataFrame, width: int, window: int, gram: int) -> DataF
                 units = list(zip(*(part.column(k).to_pylist() for k in range(3))))
                 rows = []
                 texts = part.column(3).cast(pa.binary()).to_pylist()
-                for k, key, first, starts, content in segments(texts, width, window, gram):
+                for k, key, first, starts, places, content in segments(texts, width, window, gram):
                     u1, u2, copies = units[k]
-                    rows.append((key, *_signed(xxhash.xxh3_128_digest(content)), u1, u2, first, starts, copies))
+                    content_hash = _signed(xxhash.xxh3_128_digest(content))
+                    rows.append((key, *content_hash, u1, u2, first, starts, copies, copies * places))
                 if rows:
-                    kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64()]
+                    kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64()] * 2
                     columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
                     yield pa.RecordBatch.from_arrays(columns, _names(_SEGMENTS))
 
@@ -212,7 +217,7 @@ def repeated_stretches(
     """
     widths = widths or (window - gram + 1, *WIDTHS)  # first all windows of an anchor
     rows = stored(_cut_segments(units, widths[0], window, gram), "segments")
-    several = rows.groupBy("key").agg(F.sum("copies").alias("places")).filter("places > 1")
+    several = rows.groupBy("key").agg(F.sum("places").alias("places")).filter("places > 1")
     several = stored(several.select("key"), "shared-keys")  # a scan, so that a hot key can be split
     shared = stored(rows.join(several, "key"), "shared-segments")
     known = shared.groupBy("s1", "s2").agg(

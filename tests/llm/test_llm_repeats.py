@@ -83,8 +83,9 @@ def test_segments_follow_from_windows():
     texts = [b"", letters(1, 300, 4) + letters(2, 90, 4), letters(3, 50, 4) + letters(2, 90, 4), b"short", b"a" * 70, b"xyz" * 50]
     for width in (13, 4, 1):
         keys, seen = defaultdict(set), Counter()
-        for k, key, first, starts, content in segments(texts, width, 20, 8):
+        for k, key, first, starts, places, content in segments(texts, width, 20, 8):
             assert content == texts[k][first : first + starts + 19]
+            assert places == 1 or width == 13 and starts >= places
             for i in range(first, first + starts):
                 seen[k, i] += 1
                 keys[texts[k][i : i + 20]].add(key)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodgecast.functions.dates import parse_date
+from lodgecast.functions.dates import with_date
 from lodgecast.functions.features import feature_columns
 from lodgecast.operators.validate import drop_invalid_dates
 from lodgecast.plans.selection import CANDIDATES, exact_quantiles
@@ -155,12 +155,12 @@ def encode_label(df: DataFrame) -> DataFrame:
 
 def parse_reservation_date(df: DataFrame) -> DataFrame:
     """Add ``reservation_date`` from the date string."""
-    return df.withColumn("reservation_date", parse_date(DATE))
+    return with_date(df, DATE)
 
 
 def count_invalid_dates(df: DataFrame) -> DataFrame:
     """Rows whose (filled) date string cannot be read."""
-    return df.agg(F.count_if(parse_date(DATE).isNull()).alias("invalid_dates_count"))
+    return with_date(df, DATE, "_date").agg(F.count_if(F.col("_date").isNull()).alias("invalid_dates_count"))
 
 
 def booking_features(df: DataFrame) -> DataFrame:
@@ -216,8 +216,8 @@ def preprocess_bookings(
 
 def plain_counts(df: DataFrame) -> DataFrame:
     """One row: records, records with a readable date, and the others, in one pass."""
-    unread = parse_date(DATE).isNull()
-    return df.agg(
+    unread = F.col("_date").isNull()
+    return with_date(df, DATE, "_date").agg(
         F.count(F.lit(1)).alias("records_before"),
         F.count_if(~unread).alias("records_after"),
         F.count_if(unread).alias("invalid_dates_count"),
@@ -228,7 +228,7 @@ def preprocess_summary(
     groups: DataFrame, before: Sequence[str], after: Sequence[str], is_training: bool
 ) -> DataFrame:
     """One row of shapes and counts, from one pass over the duplicate groups."""
-    marked = groups.withColumn("_bad", parse_date(DATE).isNull())
+    marked = with_date(groups, DATE, "_date").withColumn("_bad", F.col("_date").isNull())
     weight = F.lit(1).cast("long") if is_training else F.col("copies")
 
     def total(value: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodgecast.functions.dates import parse_date
+from lodgecast.functions.dates import with_date
 from lodgecast.operators.clean import (
     booking_features,
     impute,
@@ -56,7 +56,8 @@ def _write_rejected(
     """Everything a batch did not score, with the reasons."""
     if rejected is None:
         return
-    undated = valid.filter(parse_date(DATE).isNull()).withColumn("errors", F.array(F.lit(UNREAD_DATE)))
+    undated = with_date(valid, DATE, "_date").filter("_date IS NULL")
+    undated = undated.withColumn("errors", F.array(F.lit(UNREAD_DATE)))
     names = documents.columns
     rows = documents.unionByName(invalid.select(*names)).unionByName(undated.select(*names))
     rows.write.mode("overwrite").parquet(f"{rejected}/batch_id={batch_id}")

@@ -14,7 +14,8 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, 4)
+    # A plan whose generated code does not compile fails here, where Spark would go on more slowly.
+    session = local_session(8, 4, **{"spark.sql.codegen.fallback": "false"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     clear_scratch(session)

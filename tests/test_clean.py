@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime
+import re
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from lodgecast.functions.dates import with_date
 from lodgecast.operators import clean as C
 from lodgecast.operators.validate import (
+    drop_invalid_dates,
     rule_counts,
     select_features,
     validate_bookings,
@@ -202,3 +205,33 @@ def test_dates(spark):
     found = C.parse_reservation_date(df).orderBy("i").collect()
     read = [str(r["reservation_date"]) if r["reservation_date"] else None for r in found]
     assert read == [d for _, d in DATES]
+
+
+@pytest.mark.parametrize(
+    "text, day",
+    [
+        ("29-Feb-72", (1972, 2, 29)), ("2/29/1900", None), ("june 5, 2020", (2020, 6, 5)),
+        ("MAY 5 2020", (2020, 5, 5)), ("Sept 5 2020", None), ("5-June-2020", None), ("5 June 2020", (2020, 6, 5)),
+        ("13/12/2020", (2020, 12, 13)), ("12/13/2020", (2020, 12, 13)), ("13/13/2020", None), ("1.2.68", None),
+        ("1-2-68", (2068, 1, 2)), ("1/2/69", (1969, 1, 2)), ("2020-1/2", None), ("2020/01/02T10:00", (2020, 1, 2)),
+        ("20200230", None), ("20200229 24:00", None), (" 2020.2.9 ", (2020, 2, 9)), ("", None), (None, None),
+        ("4/0/2020", None), ("0/4/2020", None), ("5 2020 June", None),
+    ],
+)
+def test_date_shapes(spark, text, day):
+    found = with_date(spark.createDataFrame([(text,)], "d string"), "d", "found").first()["found"]
+    assert found == (day and datetime.date(*day))
+
+
+def test_the_date_chain_is_small_enough_to_compile(spark, bookings, tmp_path):
+    """The longest chain of the library in one stage: no method is too large for the JIT (8,000
+    bytes), and the date is read in one place. See also conftest."""
+    bookings({}).write.parquet(str(tmp_path / "b"))
+    read = spark.read.parquet(str(tmp_path / "b"))
+    dated = C.booking_features(drop_invalid_dates(C.parse_reservation_date(read)))
+    query = dated._jdf.queryExecution()
+    assert query.optimizedPlan().toString().count("^\\d{8}$") == 1
+    debug = getattr(spark.sparkContext._jvm.org.apache.spark.sql.execution.debug, "package$")
+    code = getattr(debug, "MODULE$").codegenString(query.executedPlan())
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert len(sizes) == 1 and sizes[0] < 8_000

@@ -15,6 +15,7 @@ from lodgecast.plans.history import earlier_totals
 from lodgecast.plans.joins import lookup_join
 from lodgecast.plans.segments import GROUP_ROWS
 from lodgecast.plans.selection import exact_quantiles
+from lodgecast.plans.sketches import quantiles_of, shares_up_to
 from lodgecast.plans.storage import small_frame
 from lodgecast.schemas import CATEGORY_COLUMNS, DATE, FEATURE_COLUMNS, ID, LABEL
 
@@ -255,6 +256,48 @@ def feature_drift(
     )
 
 
+def sketched_drift(reference: DataFrame, current: DataFrame, buckets: int = 10) -> DataFrame:
+    """``feature, buckets, psi`` from kept sketches alone: neither frame's rows are read.
+
+    Both hold one row per feature (see ``plans.sketches``), of which the reference's quantiles are
+    collected. The buckets are those of
+    :func:`feature_drift`: up to each of the reference's quantiles, above them, and missing. A
+    bucket's share is off by twice ``rank_error`` at most, so the index differs from the exact one
+    by a little. Features without rows on one side count as missing there. Pass kept or stored
+    sketches: they are drawn with chance, and ``reference`` is read twice.
+    """
+    cuts = quantiles_of([i / buckets for i in range(1, buckets)])
+    edges = {r["feature"]: sorted(set(r["cuts"] or [])) for r in reference.select("feature", cuts.alias("cuts")).collect()}
+    old = reference.select(
+        "feature", F.col("sketch").alias("_old"), F.col("rows").alias("_old_rows"), F.col("missing").alias("_old_missing")
+    )
+    new = current.select(
+        "feature", F.col("sketch").alias("_new"), F.col("rows").alias("_new_rows"), F.col("missing").alias("_new_missing")
+    )
+
+    def bucket_shares(side: str) -> Column:
+        """Shares of the buckets in order, the missing ones last."""
+        rows, missing = F.coalesce(f"{side}_rows", F.lit(0)), F.coalesce(f"{side}_missing", F.lit(0))
+        upto = F.array().cast("array<double>")
+        for feature, values in edges.items():
+            upto = F.when(F.col("feature") == feature, shares_up_to(values, side, f"{side}_rows")).otherwise(upto)
+        ends = F.concat(upto, F.array(F.lit(1.0)))
+        begins = F.concat(F.array(F.lit(0.0)), upto)
+        known = F.coalesce(F.try_divide(rows, rows + missing), F.lit(0.0))
+        inside = F.zip_with(ends, begins, lambda b, a: (b - a) * known)
+        return F.concat(inside, F.array(F.coalesce(F.try_divide(missing, rows + missing), F.lit(0.0))))
+
+    # A handful of rows: one per feature, then one per feature and bucket.
+    both = old.join(new, "feature", "left").select(
+        "feature", F.explode(F.arrays_zip(bucket_shares("_old").alias("old"), bucket_shares("_new").alias("new"))).alias("b")
+    )
+    found = both.select("feature", "b.old", "b.new").filter("old > 0 OR new > 0")
+    expected, actual = (F.greatest(c, F.lit(PSI_FLOOR)) for c in (F.col("old"), F.col("new")))
+    return found.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("buckets"), F.sum((actual - expected) * F.log(actual / expected)).alias("psi")
+    )
+
+
 def assign_experiment(
     df: DataFrame, groups: Sequence[str] = ("control", "treatment"), salt: str = "pilot"
 ) -> DataFrame:

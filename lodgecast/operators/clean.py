@@ -16,6 +16,7 @@ from lodgecast.functions.dates import with_date
 from lodgecast.functions.features import feature_columns
 from lodgecast.operators.validate import drop_invalid_dates
 from lodgecast.plans.selection import CANDIDATES, exact_quantiles
+from lodgecast.plans.sketches import merge_sketches, quantiles_of
 from lodgecast.plans.storage import small_frame, stored
 from lodgecast.schemas import (
     DATE,
@@ -72,17 +73,27 @@ def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
     return {c: found.get(c) for c in columns}
 
 
+def _kept_medians(sketches: DataFrame) -> dict[str, float | None]:
+    """Median of each booking column that has sketches, over all of them together."""
+    merged = merge_sketches(sketches).select("feature", quantiles_of([0.5]).alias("q"))
+    found = {r["feature"]: r["q"] and r["q"][0] for r in merged.collect()}  # one row per feature
+    return {n: found[n] for n in NUMERIC_COLUMNS if n in found}
+
+
 def _batch_values(df: DataFrame, approx: bool = False) -> dict:
     numeric, strings = _present(df, NUMERIC_COLUMNS), _present(df, STRING_COLUMNS)
     return {**medians(with_double_numbers(df), numeric, approx), **modes(df, strings)}
 
 
-def imputation_stats(df: DataFrame, approx: bool = False) -> DataFrame:
+def imputation_stats(
+    df: DataFrame, approx: bool = False, sketches: DataFrame | None = None
+) -> DataFrame:
     """One row: the median of each numeric column and the mode of each string column.
 
-    ``df`` is read a few times; pass a file scan or a stored frame.
+    ``df`` is read a few times; pass a file scan or a stored frame. With ``sketches`` (kept ones
+    of any runs, see ``plans.sketches``) the medians come from those instead of from ``df``.
     """
-    values = _batch_values(df, approx)
+    values = _batch_values(df, approx) if sketches is None else {**_kept_medians(sketches), **modes(df, _present(df, STRING_COLUMNS))}
     schema = ", ".join(f"{n} {'double' if n in NUMERIC_COLUMNS else 'string'}" for n in values)
     return small_frame(df.sparkSession, [tuple(values.values())], schema)
 

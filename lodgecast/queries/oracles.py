@@ -476,6 +476,7 @@ def _client_aggregates(orders: str) -> str:
     )
 
 
+_SQUARED = ["number_of_adults", "lead_time", "average_price", "total_nights", "price_per_night"]
 _HELD_OUT = with_tables(TRAIN, _split([("test", "0.2")])) + (
     "SELECT booking_id, TRUE AS in_range, TRUE AS class_agrees FROM parted WHERE split = 'test'"
 )
@@ -794,4 +795,19 @@ ORACLES: dict[str, str] = {
     "cross_validate": "SELECT unnest(['{\"maxDepth\": 4}', '{\"maxDepth\": 8}']) AS settings, "
     "TRUE AS score_in_range, TRUE AS has_trees, TRUE AS best_was_fitted",
     "encode_wide_categories": _encode_wide(),
+    "sketched_drift": with_tables(TRAIN)
+    + _union(
+        [
+            f"SELECT '{c}' AS feature, count({c}) AS rows, count(*) - count({c}) AS missing, "
+            "TRUE AS ranks_within_bound, TRUE AS near_exact FROM train_clean"
+            for c in _SQUARED
+        ]
+    ),
+    "stream_feature_drift": with_tables(NEW)
+    + _union(
+        [
+            f"SELECT '{c}' AS feature, count({c}) AS rows, TRUE AS no_index_below_zero, TRUE AS all_kept FROM new_clean"
+            for c in _SQUARED
+        ]
+    ),
 }

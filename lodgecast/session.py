@@ -84,6 +84,23 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
             _delete(spark, path)
 
 
+@contextmanager
+def scratch_noted() -> Iterator[list[str]]:
+    """Yield a list that gets the paths of the intermediates written inside the block; they stay
+    until :func:`delete_scratch`."""
+    written: list[str] = []
+    token = _scope.set(written)
+    try:
+        yield written
+    finally:
+        _scope.reset(token)
+
+
+def delete_scratch(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        _delete(spark, path)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's written intermediates; call it when the job is done."""
     _delete(spark, scratch_root(spark))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodgecast.functions.dates import with_date
+from lodgecast.operators.analysis import sketched_drift
 from lodgecast.operators.clean import (
     booking_features,
     impute,
@@ -18,6 +19,7 @@ from lodgecast.operators.clean import (
 from lodgecast.operators.monitor import batch_metrics
 from lodgecast.operators.rank import flag_by_threshold, score_requests
 from lodgecast.operators.validate import drop_invalid_dates, validate_bookings, validate_requests
+from lodgecast.plans.sketches import keep_sketches, sketch_columns
 from lodgecast.plans.storage import stored
 from lodgecast.schemas import DATE, HIGH_RISK_THRESHOLD
 from lodgecast.session import scratch_scope
@@ -135,6 +137,32 @@ def stream_score_requests(
     return _start(requests, one_batch, checkpoint)
 
 
+def stream_feature_drift(
+    requests: DataFrame,
+    reference: DataFrame,
+    numeric: Sequence[str],
+    output: str,
+    checkpoint: str,
+    stats: DataFrame | None = None,
+) -> StreamingQuery:
+    """Drift of each batch's valid bookings against a kept reference.
+
+    ``reference`` has one sketch per feature (see ``plans.sketches``); its rows are not needed.
+    ``output/sketches`` keeps each batch's own sketches, which merge into those of any stretch of
+    the stream, and ``output/drift`` its index per feature. Each batch replaces its own partitions.
+    """
+
+    def one_batch(batch: DataFrame, batch_id: int) -> None:
+        with scratch_scope(batch.sparkSession):
+            bookings, _ = _bookings(batch, batch_id, stats)
+            sketches = stored(sketch_columns(_features(validate_bookings(bookings)[0]), numeric), "sketches")
+            keep_sketches(sketches, f"{output}/sketches", str(batch_id))
+            drift = sketched_drift(reference, sketches).join(sketches.select("feature", "rows"), "feature")
+            drift.write.mode("overwrite").parquet(f"{output}/drift/batch_id={batch_id}")
+
+    return _start(requests, one_batch, checkpoint)
+
+
 def _start(requests: DataFrame, one_batch: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     return (
         requests.writeStream.foreachBatch(one_batch)

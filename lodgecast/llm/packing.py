@@ -28,6 +28,7 @@ END_ID = 1
 SHARD_ROWS = 16_384  # pieces one task packs together
 ROUNDS = 3
 NEARLY_FULL = 0.99
+_JOINED = 2_000  # words encoded as one text
 CACHED_WORDS = 1_000_000  # per worker, some 200 MB; words beyond are encoded again, never dropped
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -47,8 +48,18 @@ class Capacity:
         )
 
 
+@dataclass
+class _Encoder:
+    """A tokenizer and the words it has encoded; ``mark`` is a character whose word is one id."""
+
+    tokenizer: object
+    known: dict[bytes, bytes]
+    mark: str
+    mark_id: int
+
+
 @lru_cache(maxsize=2)
-def _encoder(path: str | None):
+def _encoder(path: str | None) -> _Encoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's own core only
     from tokenizers import Tokenizer
 
@@ -56,7 +67,36 @@ def _encoder(path: str | None):
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
-    return Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    for mark in "|~^@#":
+        ids = tokenizer.encode(f"{mark} {mark}", add_special_tokens=False).ids
+        if len(ids) == 2 and ids[0] == ids[1] and mark in tokenizer.id_to_token(ids[0]):
+            return _Encoder(tokenizer, {}, mark, ids[0])
+    return _Encoder(tokenizer, {}, "", -1)
+
+
+def _encode_words(encoder: _Encoder, words: list[bytes]) -> list[bytes]:
+    """Ids of each word. Words are encoded many in one text, with a mark between them; those that
+    hold the mark themselves, and all if there is no mark, are encoded each on its own."""
+    texts = [w.decode("utf-8", "replace") for w in words]
+    mark, out = encoder.mark, [b""] * len(words)
+    alone = [k for k, t in enumerate(texts) if not mark or mark in t]
+    rest = [k for k, t in enumerate(texts) if mark and mark not in t]
+    groups = [rest[at : at + _JOINED] for at in range(0, len(rest), _JOINED)]
+    joined = [f" {mark} ".join([texts[k] for k in g]) for g in groups]
+    for group, c in zip(groups, encoder.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+        ids = np.array(c.ids, np.uint32)
+        cuts = 4 * np.flatnonzero(ids == encoder.mark_id)
+        if len(cuts) + 1 != len(group):  # the mark came out of some word after all
+            alone += group
+            continue
+        raw = ids.tobytes()
+        for k, a, b in zip(group, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]):
+            out[k] = raw[a:b]
+    coded = encoder.tokenizer.encode_batch_fast([texts[k] for k in alone], add_special_tokens=False)
+    for k, c in zip(alone, coded):
+        out[k] = array("I", c.ids).tobytes()
+    return out
 
 
 def _encode(texts: list[bytes | None], path: str | None) -> Iterator[bytes]:
@@ -66,23 +106,22 @@ def _encode(texts: list[bytes | None], path: str | None) -> Iterator[bytes]:
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
     words in order, and each distinct word needs to be encoded once.
     """
-    tokenizer, known = _encoder(path)
+    encoder = _encoder(path)
     split = [(text or b"").split() for text in texts]
-    needed = set().union(*split)
-    order = list(needed - known.keys())
-    if order:
-        coded = tokenizer.encode_batch_fast(
-            [w.decode("utf-8", "replace") for w in order], add_special_tokens=False
-        )
-        if len(known) + len(order) > CACHED_WORDS:
-            # Start again with what these texts need.
-            kept = {w: known[w] for w in needed & known.keys()}
-            known.clear()
-            known.update(kept)
-        known.update((w, array("I", c.ids).tobytes()) for w, c in zip(order, coded))
+    found = [list(map(encoder.known.get, ws)) for ws in split]
+    lacking = [k for k, parts in enumerate(found) if None in parts]
+    new: dict[bytes, bytes] = {}
+    if lacking:
+        words = list({w for k in lacking for w, p in zip(split[k], found[k]) if p is None})
+        new = dict(zip(words, _encode_words(encoder, words)))
+        if len(encoder.known) + len(new) > CACHED_WORDS:
+            encoder.known.clear()  # start again; these texts have what they need
+        encoder.known.update(new)
     end = array("I", [END_ID]).tobytes()
-    for ws in split:
-        yield b"".join([known[w] for w in ws]) + end
+    for ws, parts in zip(split, found):
+        if None in parts:
+            parts = [new[w] if p is None else p for w, p in zip(ws, parts)]
+        yield b"".join(parts) + end
 
 
 def token_pieces(docs: DataFrame, capacity: int = 4096, path: str | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lodgecast.llm import mixing
+from lodgecast.llm import mixing, packing
 from lodgecast.llm.packing import (
     NEARLY_FULL,
     ROUNDS,
@@ -105,26 +105,38 @@ def test_mixed_rows_repeat_whole_documents(spark):
 
 def test_tokens_are_those_of_whole_texts(spark):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(VOCABULARY))
-    rows = [(i, t, "en", "a") for i, t in enumerate(
-        ["it's á café nbsp em <|endoftext|>x ΑΣ Σ. İI", "\x1c\x1dx\x85y", "don't''s 123 ab12"]
-    )]
+    awkward = ["it's á café nbsp em <|endoftext|>x ΑΣ Σ. İI", "\x1c\x1dx\x85y", "don't''s 123 ab12"]
+    awkward += ["| a|b || ~ ~x ^ \u0301e e\u0301 | \u0301", "\u0378 |\u0301 x|\u0338 \ufffd", "|", " | | "]
+    rows = [(900 + i, t, "en", "a") for i, t in enumerate(awkward)]
     docs = edge_docs(spark).unionByName(edge_docs(spark, rows))
     pieces = defaultdict(list)
     for r in sorted(token_pieces(docs, capacity=64).collect(), key=lambda r: r.piece):
         pieces[r.doc_id].append(r)
     for doc_id, text in documents(docs):
-        if doc_id in (5, None) or doc_id in (1, 2) and text:  # ids that several texts share
+        if doc_id in (5, None):  # ids that several texts share
             continue
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
-        own = [p for p in pieces[doc_id]] if doc_id not in (0, 1, 2) else None
-        if own is None:
-            continue
-        assert [p.start for p in own] == list(range(0, len(ids), 64))
+        own = pieces[doc_id]
+        assert [p.start for p in own] == list(range(0, len(ids), 64)), (doc_id, text)
         for p in own:
             part = np.array(ids[p.start : p.start + 64], "<u4")
             assert (p.length, p.ids_crc32) == (len(part), zlib.crc32(part.tobytes()))
 
 
+def test_words_are_encoded_alike_together_and_alone(monkeypatch):
+    """With the mark, without one, and with a cache that is emptied again and again."""
+    texts = [" ".join([*prose(k, 300), "|", "a|b", "é", f"{k}"]).encode() for k in range(9)]
+    whole = list(packing._encode(texts, None))
+    encoder = packing._encoder(None)
+    assert encoder.mark and len(encoder.known) > 1000
+    for mark, most in ((encoder.mark, 50), ("", 50), ("z", 10**6)):  # "z" comes out of words
+        monkeypatch.setattr(packing, "CACHED_WORDS", most)
+        other = packing._Encoder(encoder.tokenizer, {}, mark, encoder.mark_id)
+        monkeypatch.setattr(packing, "_encoder", lambda path: other)
+        assert [next(packing._encode([t], None)) for t in texts] == whole
+        assert len(other.known) < most + 1_000
+
+
 def test_packing_is_whole_and_tight(spark, monkeypatch):
     docs = edge_docs(spark, [(i, " ".join(prose(i, 5 + i % 90)), "en", "a") for i in range(600)])
     pieces = token_pieces(docs)

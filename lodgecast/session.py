@@ -94,6 +94,9 @@ def scratch_noted() -> Iterator[list[str]]:
         yield written
     finally:
         _scope.reset(token)
+        outer = _scope.get()
+        if outer is not None:
+            outer.extend(written)
 
 
 def delete_scratch(spark: SparkSession, paths: list[str]) -> None:

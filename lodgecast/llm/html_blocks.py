@@ -28,14 +28,15 @@ CLOSES_SAME = {  # a start tag that ends an open element of these kinds, up to t
     "option": (frozenset({"option"}), frozenset({"select"})),
 }
 
+# Only a quote right after the equals sign opens a quoted value; in others it is a plain character.
+_VALUE = r"\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
-    r"|<(?P<end2>/?)(?P<tag2>[A-Za-z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)",  # a quote left open
+    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?:=\s*(?:" + _VALUE + r")|[^>])*)(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(" + _VALUE + ")")
 _NAMES = re.compile(r"[a-z]+")
 
 
@@ -134,10 +135,10 @@ def leaf_blocks(page: str) -> list[Block]:
             break
         reader.text(page[at : token.start()])
         at = token.end()
-        tag = (token["tag"] or token["tag2"] or "").lower()
+        tag = (token["tag"] or "").lower()
         if not tag:
             continue
-        if token["end"] or token["end2"]:
+        if token["end"]:
             if tag == "p" and not any(o.tag == "p" for o in reader.stack):
                 reader.flush()
             reader.close(tag)
@@ -146,6 +147,6 @@ def leaf_blocks(page: str) -> list[Block]:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else size
         else:
-            reader.open(tag, token["rest"] or token["rest2"] or "")
+            reader.open(tag, token["rest"] or "")
     reader.flush()
     return reader.blocks

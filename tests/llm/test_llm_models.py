@@ -22,6 +22,14 @@ def texts(page):
     return [b.text for b in leaf_blocks(page)]
 
 
+@pytest.mark.parametrize(
+    "start", ["<p data-x=O'Neil>", "<p size=5\">", "<p '>", "<p a=\"x>y\" b='<z>'>", "<p href=q?a=\"b>", "<p =\">", "<p title=\"open>"]
+)
+def test_quotes_in_tags_take_no_text(start):
+    page = f"{start}First one.</p><p>It's the second.</p><p>Third</p>"
+    assert texts(page) == ["First one.", "It's the second.", "Third"]
+
+
 def test_blocks_of_broken_pages():
     assert texts("") == texts("<!-- only --><script>var a = '<p>x</p>'</script><style>p{}</style>") == []
     assert texts("<p>a<p>b &amp; c<br>d</p>e") == ["a", "b & c d", "e"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,6 +62,32 @@ def segment_cancel_rate(
     )
 
 
+def segment_grains(
+    df: DataFrame,
+    segments: Sequence[str] = ("is_high_risk", *CATEGORY_COLUMNS),
+    level: int = 2,
+    label: str = LABEL,
+) -> DataFrame:
+    """Bookings and cancel rate of every combination of up to ``level`` segment columns.
+
+    ``grain`` names the columns, joined by `` x ``; ``segment_value`` has their values joined by
+    ``|``, missing ones as ``missing``. The grain of no column is the whole. All grains come from
+    one pass; a task sends one row per combination that it holds.
+    """
+    combined = [c for n in range(level + 1) for c in combinations(segments, n)]
+    named = {c: F.coalesce(F.col(c).cast("string"), F.lit("missing")) for c in segments}
+    cells = df.select(label, *[v.alias(c) for c, v in named.items()])
+    sets = [[F.col(c) for c in grain] for grain in combined]
+    used = [F.when(F.grouping(c) == 0, F.lit(c)) for c in segments]
+    grouped = cells.groupingSets(sets, *[F.col(c) for c in segments]).agg(
+        F.concat_ws(" x ", *used).alias("grain"),
+        F.count(F.lit(1)).alias("bookings"),
+        F.avg(label).alias("cancel_rate"),
+    )
+    # Columns outside a row's grain are null here, and concat_ws leaves nulls out.
+    return grouped.select("grain", F.concat_ws("|", *segments).alias("segment_value"), "bookings", "cancel_rate")
+
+
 def class_balance(df: DataFrame, label: str = LABEL) -> DataFrame:
     """Rows and share per label value (null is a value of its own)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("bookings"))
@@ -125,6 +152,45 @@ def seasonality(df: DataFrame, label: str = LABEL) -> DataFrame:
     )
 
 
+def calendar_check(
+    dated: DataFrame,
+    first: str | None = None,
+    last: str | None = None,
+    by: Sequence[str] = (),
+    date: str = "reservation_date",
+) -> DataFrame:
+    """``by``, ``day, weekday, bookings, status`` for each day of a calendar and each day that has
+    bookings.
+
+    The calendar goes from ``first`` to ``last``, by default from the group's first booked day to
+    its last. ``status`` is ``booked``, ``gap`` (a day of the calendar without bookings) or
+    ``outside`` (bookings on a day that is not in the calendar). Weekdays count from Monday, 0.
+    Rows without a date are left out, and a group that only has such rows has no days. Rows are
+    counted per day before anything is joined, so what is joined is bounded by the calendar.
+    """
+    by = list(by)
+    days = dated.filter(F.col(date).isNotNull()).groupBy(*by, F.col(date).alias("day")).agg(F.count(F.lit(1)).alias("bookings"))
+    bounds = days.groupBy(*by).agg(F.min("day").alias("_first"), F.max("day").alias("_last"))
+    given = {n: F.lit(end).cast("date") for n, end in (("_first", first), ("_last", last)) if end}
+    calendar = bounds.withColumns(given).filter("_first <= _last").select(
+        *by, F.explode(F.sequence("_first", "_last", F.expr("INTERVAL 1 DAY"))).alias("day"), F.lit(True).alias("_planned")
+    )
+    same = F.col("c.day") == F.col("d.day")
+    for c in by:
+        same = same & F.col(f"c.{c}").eqNullSafe(F.col(f"d.{c}"))
+    joined = calendar.alias("c").join(days.alias("d"), same, "full_outer")
+    status = F.when(F.col("d.bookings").isNull(), "gap").when(F.col("_planned"), "booked").otherwise("outside")
+    day = F.coalesce("c.day", "d.day")
+    keys = [F.when(F.col("_planned"), F.col(f"c.{c}")).otherwise(F.col(f"d.{c}")).alias(c) for c in by]
+    return joined.select(
+        *keys,
+        day.alias("day"),
+        F.weekday(day).alias("weekday"),
+        F.coalesce("d.bookings", F.lit(0).cast("long")).alias("bookings"),
+        status.alias("status"),
+    )
+
+
 def quality_checks(df: DataFrame) -> DataFrame:
     """Raw bookings: failing rows per check.
 

@@ -802,6 +802,11 @@ def segment_cancel_rate(spark, folder):
     return _rounded(A.segment_cancel_rate(_train_flags(spark, folder)), ["cancel_rate"])
 
 
+def segment_grains(spark, folder):
+    """All segments and all pairs of them."""
+    return _rounded(A.segment_grains(_train_flags(spark, folder)), ["cancel_rate"])
+
+
 def class_balance(spark, folder):
     return _rounded(A.class_balance(_bookings(spark, folder)), ["share"])
 
@@ -827,6 +832,12 @@ def seasonality(spark, folder):
     return _rounded(A.seasonality(_train_clean(spark, folder).frame), ["cancel_rate"])
 
 
+def calendar_check(spark, folder):
+    """Each market segment's days against the years 1994 and 1995: booked, gaps, and days outside."""
+    dated = C.parse_reservation_date(_bookings(spark, folder))
+    return A.calendar_check(dated, "1994-01-01", "1995-12-31", ["market_segment_type"])
+
+
 def quality_checks(spark, folder):
     return A.quality_checks(_bookings(spark, folder))
 
@@ -1030,8 +1041,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         train_model, predict_proba, train_and_report, score_batch, score_single_rule,
         train_baseline_lr, score_scorecard, compare_models, cross_validate,
         training_metrics, batch_metrics, metrics_to_long,
-        lift_at_share, segment_cancel_rate, class_balance, feature_profile, outlier_bounds,
-        drop_outliers, seasonality, quality_checks, client_aggregates,
+        lift_at_share, segment_cancel_rate, segment_grains, class_balance, feature_profile, outlier_bounds,
+        drop_outliers, seasonality, calendar_check, quality_checks, client_aggregates,
         client_aggregates_hot_day, feature_interactions,
         feature_drift, sketched_drift, assign_experiment, experiment_summary, rule_baseline, leakage_guard,
         stream_score_single, stream_score_requests, stream_batch_metrics, stream_feature_drift,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from lodgecast.operators.evaluate import METRICS
 from lodgecast.queries.bookings_sql import (
     NEW,
@@ -660,6 +662,25 @@ ORACLES: dict[str, str] = {
     "avg(booking_status) FILTER (WHERE is_high_risk = 1) OVER () AS t, avg(booking_status) OVER () AS o "
     "FROM train_scores) GROUP BY t, o",
     "segment_cancel_rate": _segments(),
+    "segment_grains": with_tables(*TRAIN_RANKED)
+    + _union(
+        [
+            f"SELECT '{' x '.join(grain)}' AS grain, concat_ws('|', {', '.join([*grain, chr(39) * 2] if not grain else grain)}) "
+            f"AS segment_value, count(*) AS bookings, {even('avg(booking_status)')} AS cancel_rate "
+            f"FROM train_scores{' GROUP BY ' + ', '.join(grain) if grain else ''}"
+            for n in range(3)
+            for grain in combinations(("is_high_risk", "type_of_meal", "room_type", "market_segment_type"), n)
+        ]
+    ),
+    "calendar_check": with_tables(
+        f"days AS (SELECT market_segment_type AS s, {PARSED.format('date_of_reservation')} AS day, count(*) AS n FROM bookings GROUP BY 1, 2)",
+        "calendar AS (SELECT DISTINCT s, CAST(unnest(generate_series(TIMESTAMP '1994-01-01', TIMESTAMP '1995-12-31', "
+        "INTERVAL 1 DAY)) AS DATE) AS day FROM days WHERE day IS NOT NULL)",
+    )
+    + "SELECT coalesce(c.s, d.s) AS market_segment_type, coalesce(c.day, d.day) AS day, "
+    "CAST(isodow(coalesce(c.day, d.day)) - 1 AS INTEGER) AS weekday, coalesce(n, 0) AS bookings, "
+    "CASE WHEN n IS NULL THEN 'gap' WHEN c.day IS NOT NULL THEN 'booked' ELSE 'outside' END AS status "
+    "FROM calendar c FULL JOIN (SELECT * FROM days WHERE day IS NOT NULL) d ON d.s = c.s AND d.day = c.day",
     "class_balance": with_tables()
     + f"SELECT booking_status, count(*) AS bookings, "
     f"{even('count(*) / (SELECT count(*) FROM bookings)')} AS share FROM bookings GROUP BY 1",

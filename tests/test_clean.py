@@ -10,6 +10,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from lodgecast.functions.dates import with_date
+from lodgecast.operators import analysis as A
 from lodgecast.operators import clean as C
 from lodgecast.operators.validate import (
     drop_invalid_dates,
@@ -235,3 +236,36 @@ def test_the_date_chain_is_small_enough_to_compile(spark, bookings, tmp_path):
     code = getattr(debug, "MODULE$").codegenString(query.executedPlan())
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
     assert len(sizes) == 1 and sizes[0] < 8_000
+
+
+def test_calendar_has_gaps_and_days_outside(spark):
+    days = ["2024-02-27", "2024-02-27", "2024-03-01", None, "2024-03-05"]
+    df = spark.createDataFrame([("a", d) for d in days] + [(None, "2024-02-28"), ("z", None)], "s string, d string")
+    df = df.withColumn("reservation_date", F.col("d").cast("date"))
+    found = {
+        (r["s"], r["day"].isoformat()): (r["weekday"], r["bookings"], r["status"])
+        for r in A.calendar_check(df, "2024-02-28", "2024-03-02", ["s"]).collect()
+    }
+    assert found == {
+        ("a", "2024-02-27"): (1, 2, "outside"), ("a", "2024-02-28"): (2, 0, "gap"), ("a", "2024-02-29"): (3, 0, "gap"),
+        ("a", "2024-03-01"): (4, 1, "booked"), ("a", "2024-03-02"): (5, 0, "gap"), ("a", "2024-03-05"): (1, 1, "outside"),
+        (None, "2024-02-28"): (2, 1, "booked"), (None, "2024-02-29"): (3, 0, "gap"), (None, "2024-03-01"): (4, 0, "gap"),
+        (None, "2024-03-02"): (5, 0, "gap"),
+    }
+    own = A.calendar_check(df).collect()
+    assert len(own) == 8 and sum(r["bookings"] for r in own) == 5 and {r["status"] for r in own} == {"booked", "gap"}
+    assert A.calendar_check(df.limit(0)).count() == 0
+    assert A.calendar_check(df.limit(0), "2024-01-01", "2024-01-31").filter("status = 'gap'").count() == 31
+
+
+def test_grains_of_segments(spark):
+    df = spark.createDataFrame(
+        [("x", "p", 1), ("x", "q", 0), ("y", None, 1), ("y", "p", None)], f"a string, b string, {LABEL} int"
+    )
+    found = {(r["grain"], r["segment_value"]): (r["bookings"], r["cancel_rate"]) for r in A.segment_grains(df, ["a", "b"]).collect()}
+    assert found == {
+        ("", ""): (4, 2 / 3), ("a", "x"): (2, 0.5), ("a", "y"): (2, 1.0), ("b", "p"): (2, 1.0), ("b", "q"): (1, 0.0),
+        ("b", "missing"): (1, 1.0), ("a x b", "x|p"): (1, 1.0), ("a x b", "x|q"): (1, 0.0),
+        ("a x b", "y|missing"): (1, 1.0), ("a x b", "y|p"): (1, None),
+    }
+    assert {r["grain"] for r in A.segment_grains(df, ["a", "b"], level=1).collect()} == {"", "a", "b"}

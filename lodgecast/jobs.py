@@ -1,7 +1,8 @@
 """Whole jobs: training and batch scoring with everything they leave behind.
 
 The sinks cannot be written in one transaction. Each of them replaces what the same run wrote
-before, so a job that failed half way is run again with the same ``run_id``.
+before, and the run is listed as finished last (see ``sinks.tables``), so a job that failed half way
+shows nothing to :func:`~lodgecast.sinks.tables.finished` and is run again with the same ``run_id``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,13 @@ from lodgecast.plans.storage import stored
 from lodgecast.schemas import RISK_SHARE
 from lodgecast.sinks.artifacts import load_model, load_stats, save_stats, save_training_run
 from lodgecast.sinks.files import write_high_risk, write_scores
-from lodgecast.sinks.tables import append_model_run, append_monitoring, append_predictions
+from lodgecast.sinks.tables import (
+    append_model_run,
+    append_monitoring,
+    append_predictions,
+    finish_run,
+    open_run,
+)
 
 
 def run_training(
@@ -36,6 +43,7 @@ def run_training(
     """
     spark = bookings.sparkSession
     params = FULL_PARAMS if params is None else params
+    open_run(spark, database, "train", MODEL_NAME, run_id)
     raw = stored(bookings, "training-input")
     stats = stored(imputation_stats(raw), "statistics")
     run = train_and_report(raw, params, stats=stats)
@@ -44,6 +52,7 @@ def run_training(
     append_model_run(run.metrics, params, f"{database}.model_runs", MODEL_NAME, run.version, run_id)
     metrics = training_metrics(run.summary, run.metrics)
     append_monitoring(metrics, f"{database}.monitoring_metrics", "train", MODEL_NAME, run_id)
+    finish_run(spark, database, "train", MODEL_NAME, run_id)
     return run
 
 
@@ -63,6 +72,7 @@ def run_batch(
     """
     spark = bookings.sparkSession
     model, _, name = load_model(spark, model_path)
+    open_run(spark, database, "batch_predict", name, run_id)
     stats = load_stats(spark, f"{model_path}/statistics") if training_stats else None
     result = score_batch(stored(bookings, "batch-input"), model, share, stats)
     scores = stored(result.scores, "scores")
@@ -71,6 +81,7 @@ def run_batch(
     append_predictions(scores, f"{database}.predictions", name, run_id)
     metrics = batch_metrics(result.cleaned.counts, scores)
     append_monitoring(metrics, f"{database}.monitoring_metrics", "batch_predict", name, run_id)
+    finish_run(spark, database, "batch_predict", name, run_id)
     return ScoringRun(scores, result.cleaned)
 
 

@@ -266,6 +266,25 @@ def append_model_run(spark, folder):
     return spark.table(table).drop("created_at")
 
 
+def finished_runs(spark, folder):
+    """Rows that readers see of three runs, of which the second ended between its two tables and the
+    third was finished, begun again and finished again."""
+    database = _run_database(spark)
+    scores, metrics = stored(_scores(spark, folder), "scores"), stored(batch_metrics(spark, folder), "metrics")
+    for run_id, whole in (("run-1", True), ("run-2", False), ("run-3", True), ("run-3", True)):
+        key = ("batch_predict", "scorecard", run_id)
+        tables.open_run(spark, database, *key)
+        tables.append_predictions(scores, f"{database}.predictions", *key[1:])
+        if whole:
+            tables.append_monitoring(metrics, f"{database}.monitoring_metrics", *key)
+            tables.finish_run(spark, database, *key)
+    seen = [
+        tables.finished(spark, database, name).groupBy(F.lit(name).alias("table_name"), "run_id").agg(F.count(F.lit(1)).alias("rows"))
+        for name in ("predictions", "monitoring_metrics")
+    ]
+    return seen[0].unionByName(seen[1])
+
+
 def scores_as_json(spark, folder):
     return R.scores_as_json(_scores(spark, folder))
 
@@ -1027,7 +1046,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         parse_reservation_date_shapes, stream_rejected, ensure_run_tables, training_job, batch_job,
         model_contracts,
         write_processed, write_scores, write_high_risk, append_predictions, append_monitoring,
-        append_model_run, scores_as_json,
+        append_model_run, finished_runs, scores_as_json,
         validate_rule_counts, validate_bookings, validate_rejected, validate_requests,
         validate_requests_by_row, drop_invalid_dates, filter_high_risk, select_features,
         impute_median, impute_mode, imputation_stats, count_duplicates, dedupe_bookings,

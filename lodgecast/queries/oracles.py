@@ -662,6 +662,9 @@ ORACLES: dict[str, str] = {
     "avg(booking_status) FILTER (WHERE is_high_risk = 1) OVER () AS t, avg(booking_status) OVER () AS o "
     "FROM train_scores) GROUP BY t, o",
     "segment_cancel_rate": _segments(),
+    "finished_runs": with_tables(*NEW_RANKED)
+    + "SELECT t.table_name, r.run_id, CASE WHEN t.table_name = 'predictions' THEN (SELECT count(*) FROM scores) ELSE 10 END AS rows "
+    "FROM (VALUES ('predictions'), ('monitoring_metrics')) t (table_name), (VALUES ('run-1'), ('run-3')) r (run_id)",
     "segment_grains": with_tables(*TRAIN_RANKED)
     + _union(
         [

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
-from conftest import SAMPLES, rows
+from conftest import SAMPLES, SMALL, rows
 from pyspark.sql import functions as F
 
 from lodgecast.operators import clean as C
@@ -197,3 +197,42 @@ def test_stored_frames_live_in_the_shared_folder(spark):
     df = stored(spark.range(10).withColumn("x", F.lit("a")))
     assert df.count() == 10
     assert all(scratch_root(spark).rstrip("/") in f for f in df.inputFiles())
+
+
+def test_a_run_that_ended_half_way_is_not_seen(spark, tmp_path, monkeypatch):
+    from lodgecast import jobs
+    from lodgecast.operators import train as M
+    from lodgecast.sinks import tables
+    from lodgecast.sources.orders import bookings_from_orders, labelled_bookings, new_bookings
+
+    database, model, out = "lodge_half", str(tmp_path / "model"), str(tmp_path / "out")
+    tables.ensure_run_tables(spark, database, str(tmp_path / "db"))
+    bookings = stored(bookings_from_orders(spark, SMALL))
+    quick = {**M.FULL_PARAMS, "maxIter": 2, "maxDepth": 2}
+    jobs.run_training(labelled_bookings(bookings), model, database, "train-1", quick)
+    assert tables.finished(spark, database, "model_runs").count() == 1
+    assert tables.finished(spark, database, "monitoring_metrics").count() == 9
+
+    def batch(run_id):
+        jobs.run_batch(new_bookings(bookings), model, out, database, run_id)
+
+    def seen():
+        rows = tables.finished(spark, database, "predictions").groupBy("run_id").count().collect()
+        runs = tables.finished(spark, database, "monitoring_metrics").filter("run_type = 'batch_predict'")
+        assert {r["run_id"] for r in rows} == {r["run_id"] for r in runs.select("run_id").distinct().collect()}
+        return {r["run_id"]: r["count"] for r in rows}
+
+    batch("b-1")
+    n = seen()["b-1"]
+    with monkeypatch.context() as broken:
+        broken.setattr(jobs, "append_monitoring", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        for run_id in ("b-2", "b-1"):  # a new run, and a finished one that is begun again
+            with pytest.raises(OSError):
+                batch(run_id)
+        assert seen() == {} and spark.table(f"{database}.predictions").count() == 2 * n
+    batch("b-2")
+    assert seen() == {"b-2": n}
+    batch("b-1")
+    assert seen() == {"b-1": n, "b-2": n}
+    listed = spark.table(f"{database}.finished_runs").filter("run_id = 'b-1'").first()
+    assert listed["rows_json"] == f'{{"monitoring_metrics": 10, "predictions": {n}}}'

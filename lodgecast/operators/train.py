@@ -122,10 +122,25 @@ class Assembled:
     def fit(self, classifier, held_out: bool = False) -> BookingModel:
         """``held_out`` leaves the validation rows out."""
         checkpoint_folder(self.frame.sparkSession)
-        fitted = classifier.fit(self.frame.filter(~F.col(_VALIDATION)) if held_out else self.frame)
+        fitted = _fitted(classifier, self.frame.filter(~F.col(_VALIDATION)) if held_out else self.frame)
         return BookingModel(self.rates, PipelineModel([self.assembler, fitted]))
 
 
+def _fitted(classifier, vectors: DataFrame):
+    """The fitted classifier without its training summary.
+
+    The summary holds the session, and a session that has observed a query cannot be sent to
+    tasks, so a model with a summary could score nothing there. A model that was written and
+    read again has none.
+    """
+    fitted = classifier.fit(vectors)
+    if not getattr(fitted, "hasSummary", False):
+        return fitted
+    path = scratch_path(vectors.sparkSession, "classifier")
+    fitted.write().save(path)
+    return type(fitted).load(path)
+
+
 def assemble(train: DataFrame, seed: int = SEED, validation: float = VALIDATION_SHARE) -> Assembled:
     """Numbers as they are, categories as label rates of other folds, and which rows to stop by.
 
@@ -200,7 +215,7 @@ def train_baseline_lr(train: DataFrame) -> PipelineModel:
         handleInvalid="keep",
     )
     vectors = stored(features.transform(train).select(LABEL, "features"), "vectors")
-    return PipelineModel([features, LogisticRegression(labelCol=LABEL, maxIter=50).fit(vectors)])
+    return PipelineModel([features, _fitted(LogisticRegression(labelCol=LABEL, maxIter=50), vectors)])
 
 
 def predict_proba(model: BookingModel | PipelineModel, df: DataFrame) -> DataFrame:

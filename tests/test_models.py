@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import pytest
 from conftest import SMALL, rows
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from lodgecast.functions.scoring import row_key, uniform_hash
@@ -13,6 +15,7 @@ from lodgecast.operators import encode as N
 from lodgecast.operators import split as P
 from lodgecast.operators import train as M
 from lodgecast.operators.evaluate import METRICS
+from lodgecast.operators.rank import PROBABILITY
 from lodgecast.plans import joins
 from lodgecast.plans.storage import stored
 from lodgecast.schemas import CATEGORY_COLUMNS, LABEL, POSITION
@@ -293,3 +296,26 @@ def test_a_model_scores_a_stream_as_it_scores_a_batch(spark, raw, run, tmp_path)
     batch = M.score_single_rule(new, run.model, threshold=0.5)
     columns = ["booking_id", "probability_of_cancellation", "is_high_risk", "risk_segment"]
     assert rows(spark.read.parquet(str(tmp_path / "out")), *columns) == rows(batch, *columns)
+
+
+def test_models_score_in_a_session_that_observed_a_query(spark):
+    """Training summaries hold the session, which cannot be sent to tasks after an observation."""
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
+    rows = spark.range(200).select(
+        F.concat(F.lit("b"), "id").alias("booking_id"),
+        (F.col("id") % 2).cast("int").alias("booking_status"),
+        (F.col("id") % 7).cast("double").alias("average_price"),
+        (F.col("id") % 5).cast("int").alias("total_nights"),
+        (F.col("id") % 11).cast("int").alias("lead_time"),
+    )
+    rows = stored(rows)
+    baseline = M.train_baseline_lr(rows)
+    assert M.predict_proba(baseline, rows).filter(F.col(PROBABILITY).between(0, 1)).count() == 200
+    candidates = {
+        "LogisticRegression": LogisticRegression(labelCol=LABEL, maxIter=5),
+        "RandomForest": RandomForestClassifier(labelCol=LABEL, numTrees=3, seed=1),
+    }
+    compared, models = M.compare_models(rows, rows, candidates)
+    assert compared.count() == 2 and not any(m.classifier.hasSummary for m in models.values())

@@ -29,7 +29,8 @@ SHARD_ROWS = 16_384  # pieces one task packs together
 ROUNDS = 3
 NEARLY_FULL = 0.99
 _JOINED = 2_000  # words encoded as one text
-CACHED_WORDS = 1_000_000  # per worker, some 200 MB; words beyond are encoded again, never dropped
+_TEXTS = 8  # of such texts at a time: a token being encoded takes a hundred times its id
+CACHED_WORDS = 200_000  # per worker, some 40 MB; words beyond are encoded again, never dropped
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -84,8 +85,8 @@ def _encode_words(encoder: _Encoder, words: list[bytes]) -> list[bytes]:
     rest = [k for k, t in enumerate(texts) if mark and mark not in t]
     groups = [rest[at : at + _JOINED] for at in range(0, len(rest), _JOINED)]
     joined = [f" {mark} ".join([texts[k] for k in g]) for g in groups]
-    for group, c in zip(groups, encoder.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-        ids = np.array(c.ids, np.uint32)
+    for group, coded in zip(groups, _ids(encoder, joined)):
+        ids = np.array(coded, np.uint32)
         cuts = 4 * np.flatnonzero(ids == encoder.mark_id)
         if len(cuts) + 1 != len(group):  # the mark came out of some word after all
             alone += group
@@ -93,12 +94,18 @@ def _encode_words(encoder: _Encoder, words: list[bytes]) -> list[bytes]:
         raw = ids.tobytes()
         for k, a, b in zip(group, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]):
             out[k] = raw[a:b]
-    coded = encoder.tokenizer.encode_batch_fast([texts[k] for k in alone], add_special_tokens=False)
-    for k, c in zip(alone, coded):
-        out[k] = array("I", c.ids).tobytes()
+    for k, coded in zip(alone, _ids(encoder, [texts[k] for k in alone], _TEXTS * _JOINED)):
+        out[k] = array("I", coded).tobytes()
     return out
 
 
+def _ids(encoder: _Encoder, texts: list[str], together: int = _TEXTS) -> Iterator[list[int]]:
+    """Ids of each text, ``together`` of them encoded at a time."""
+    for at in range(0, len(texts), together):
+        for c in encoder.tokenizer.encode_batch_fast(texts[at : at + together], add_special_tokens=False):
+            yield c.ids
+
+
 def _encode(texts: list[bytes | None], path: str | None) -> Iterator[bytes]:
     """Ids of each text as 32-bit numbers (little-endian on every machine Spark runs on), the end
     id last.

@@ -225,3 +225,24 @@ def test_pipeline_of_an_empty_table(spark):
         if "piece" not in docs.columns:
             assert docs.count() == 0
     assert docs.count() == 0
+
+
+def test_few_texts_are_encoded_at_a_time(monkeypatch):
+    """A token being encoded takes far more room than its id; a worker holds a bounded number."""
+    sizes = []
+
+    class Recording:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, texts, **kwargs):
+            sizes.append(sum(len(t.split()) for t in texts))
+            return self.tokenizer.encode_batch_fast(texts, **kwargs)
+
+    encoder = packing._encoder(None)
+    words = [f"word{k}x".encode() for k in range(60_000)] + [b"a|b~c^d@e#f", b""]
+    alone = [encoder.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in words[-300:]]
+    monkeypatch.setattr(encoder, "tokenizer", Recording(encoder.tokenizer))
+    coded = packing._encode_words(encoder, words)
+    assert [np.frombuffer(c, np.uint32).tolist() for c in coded[-300:]] == alone
+    assert max(sizes) <= 2 * packing._TEXTS * packing._JOINED

@@ -12,10 +12,12 @@ from llm_frames import documents, edge_docs, edge_rows, prose
 from pyspark.sql import functions as F
 from test_llm_text import LOW, words
 
+from lodgecast.llm import components as contraction
 from lodgecast.llm import jaccard_join as jj
 from lodgecast.llm.components import components
 from lodgecast.llm.fm_index import FmIndex
 from lodgecast.llm.substring_dedup import drop_repeated_windows, substring_report
+from lodgecast.plans.storage import stored
 
 
 def related_rows(count: int = 40) -> list[tuple]:
@@ -171,3 +173,20 @@ def test_empty_tables(spark):
     assert jj.near_duplicate_report(none).count() == 0
     assert jj.one_per_group(none).count() == 0
     assert substring_report(none).count() == 0
+
+
+def test_components_of_chains_stars_and_loops_in_few_rounds(spark, monkeypatch):
+    """A round leaves half of the nodes at most, so later rounds are small."""
+    written = []
+    monkeypatch.setattr(contraction, "stored", lambda df, label="table": written.append(label) or stored(df, label))
+    chain = [(k, k + 1) for k in range(1, 500)]
+    mixed = [(1000 + (k * 7919) % 500, 1000 + ((k + 1) * 7919) % 500) for k in range(499)]
+    star = [(3000 - k, 3000) for k in range(1, 300)]
+    odd = [(5000, 5000), (None, 6000), (6001, None)]
+    edges = spark.createDataFrame(chain + mixed + star + odd + chain, "a long, b long")
+    found = {r["node"]: r["label"] for r in components(edges).collect()}
+    expected = {k: 1 for k in range(1, 501)} | {k: 1000 for k in range(1000, 1500)}
+    expected |= {k: 2701 for k in range(2701, 3001)} | {5000: 5000}
+    assert found == expected
+    assert written.count("picks") <= 9
+    assert components(edges.limit(0)).count() == 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodgecast.plans.storage import stored
 
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 20_000  # the driver builds the table whole, and a plan may hold several
 SALTS = 32
 
 

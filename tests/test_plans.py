@@ -215,3 +215,16 @@ def test_scratch_folder_without_the_setting():
     assert local == scratch_root(session("local[2]")) and local.endswith("lodgecast-app-1")
     with pytest.raises(ValueError):
         scratch_root(session("yarn"))
+
+
+def test_a_lookup_of_many_rows_is_not_built_on_the_driver(spark):
+    """Tables of tens of thousands of values, several in one plan, are joined by shuffle."""
+    left = stored(spark.range(100).select((F.col("id") % 7).cast("string").alias("k"), "id"))
+    table = stored(spark.range(30_000).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("v")))
+    for known in (None, 30_000):
+        joined = lookup_join(left, table, ["k"], "left", rows_known=known)
+        hinted = joined._jdf.queryExecution().analyzed().toString()
+        assert "strategy=broadcast" not in hinted
+        assert joined.filter("v = 1").count() == 100
+    small = lookup_join(left, table, ["k"], "left", rows_known=7)
+    assert "strategy=broadcast" in small._jdf.queryExecution().analyzed().toString()

@@ -12,7 +12,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +30,7 @@ ROUNDS = 3
 NEARLY_FULL = 0.99
 _JOINED = 2_000  # words encoded as one text
 _TEXTS = 8  # of such texts at a time: a token being encoded takes a hundred times its id
-CACHED_WORDS = 200_000  # per worker, some 40 MB; words beyond are encoded again, never dropped
+CACHED_WORDS = 300_000  # a generation, two per worker, some 60 MB each; others are encoded again
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -51,12 +51,17 @@ class Capacity:
 
 @dataclass
 class _Encoder:
-    """A tokenizer and the words it has encoded; ``mark`` is a character whose word is one id."""
+    """A tokenizer and the words it has encoded; ``mark`` is a character whose word is one id.
+
+    Words stay for as long as they are used: once ``known`` is full it becomes ``older``, from
+    which words still met move to the new ``known``. So words met once cannot drive out others.
+    """
 
     tokenizer: object
     known: dict[bytes, bytes]
     mark: str
     mark_id: int
+    older: dict[bytes, bytes] = field(default_factory=dict)
 
 
 @lru_cache(maxsize=2)
@@ -119,10 +124,12 @@ def _encode(texts: list[bytes | None], path: str | None) -> Iterator[bytes]:
     lacking = [k for k, parts in enumerate(found) if None in parts]
     new: dict[bytes, bytes] = {}
     if lacking:
-        words = list({w for k in lacking for w, p in zip(split[k], found[k]) if p is None})
-        new = dict(zip(words, _encode_words(encoder, words)))
+        words = {w for k in lacking for w, p in zip(split[k], found[k]) if p is None}
+        new = {w: encoder.older[w] for w in words if w in encoder.older}
+        unseen = [w for w in words if w not in new]
+        new.update(zip(unseen, _encode_words(encoder, unseen)))
         if len(encoder.known) + len(new) > CACHED_WORDS:
-            encoder.known.clear()  # start again; these texts have what they need
+            encoder.known, encoder.older = {}, encoder.known  # these texts have what they need
         encoder.known.update(new)
     end = array("I", [END_ID]).tobytes()
     for ws, parts in zip(split, found):

@@ -137,6 +137,27 @@ def test_words_are_encoded_alike_together_and_alone(monkeypatch):
         assert len(other.known) < most + 1_000
 
 
+def test_words_in_use_are_encoded_once_however_many_others_come(monkeypatch):
+    known = packing._encoder(None)
+    encoder = packing._Encoder(known.tokenizer, {}, known.mark, known.mark_id)
+    asked = []
+    encode_words = packing._encode_words
+
+    def counted(encoder, words):
+        asked.extend(words)
+        return encode_words(encoder, words)
+
+    monkeypatch.setattr(packing, "CACHED_WORDS", 40)
+    monkeypatch.setattr(packing, "_encoder", lambda path: encoder)
+    monkeypatch.setattr(packing, "_encode_words", counted)
+    for k in range(30):
+        text = " ".join(["often", "used", *[f"rare{k}x{j}" for j in range(10)]]).encode()
+        ids = known.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+        assert np.frombuffer(next(packing._encode([text], None)), "<u4").tolist() == [*ids, 1]
+    assert asked.count(b"often") == asked.count(b"used") == 1
+    assert len(encoder.known) <= 40 and len(encoder.older) <= 40
+
+
 def test_packing_is_whole_and_tight(spark, monkeypatch):
     docs = edge_docs(spark, [(i, " ".join(prose(i, 5 + i % 90)), "en", "a") for i in range(600)])
     pieces = token_pieces(docs)

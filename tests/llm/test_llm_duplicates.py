@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -53,6 +54,16 @@ def groups_by_hand(docs):
     return sorted(out, key=repr)
 
 
+def test_shingle_hashes_leave_nothing_in_the_worker():
+    jj.shingle_set(b"one two three four five")
+    tracemalloc.start()
+    for k in range(20):
+        assert len(jj.shingle_set(" ".join(f"w{k}x{j}" for j in range(1_000)).encode())) == 997
+    left, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert left < 500_000  # 20,000 words
+
+
 @pytest.mark.parametrize("block_sets", [256, 3])
 def test_jaccard_join(spark, monkeypatch, block_sets):
     docs = edge_docs(spark, [*edge_rows(), *related_rows()])

@@ -8,7 +8,9 @@ Only these numbers are shuffled, never texts or ids, and no task sees more than
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -32,6 +34,27 @@ _JOINED = 2_000  # words encoded as one text
 _TEXTS = 8  # of such texts at a time: a token being encoded takes a hundred times its id
 CACHED_WORDS = 300_000  # a generation, two per worker, some 60 MB each; others are encoded again
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_IS_MARK = np.isin(np.arange(256), list(_MARKS.encode()))
+_IS_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\f\r"))
+_IS_SMALL = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz"))
+_IS_LATIN = np.isin(np.arange(256), sorted({*range(0x80, 0xC0)} - {0x97, 0xB7}))  # after 0xC3
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+|[%s]+" % re.escape(_MARKS).encode())
+# What vocabularies like the given one do to a text before they look at its bytes.
+_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+_SPLIT = {
+    "type": "Split",
+    "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+    "behavior": "Removed",
+    "invert": True,
+}
 
 
 @dataclass(frozen=True)
@@ -49,6 +72,17 @@ class Capacity:
         )
 
 
+@dataclass
+class _Plain:
+    """For a tokenizer that takes letters in small ones and apart from other characters: ``tokenizer``
+    gives plain words (``_PLAIN``) the same ids without normalizing and matching them, the last of
+    each word being one of ``last``; ``added`` are tokens that texts may hold as they are."""
+
+    tokenizer: object
+    last: np.ndarray
+    added: list[bytes]
+
+
 @dataclass
 class _Encoder:
     """A tokenizer and the words it has encoded; ``mark`` is a character whose word is one id.
@@ -62,6 +96,7 @@ class _Encoder:
     mark: str
     mark_id: int
     older: dict[bytes, bytes] = field(default_factory=dict)
+    plain: _Plain | None = None
 
 
 @lru_cache(maxsize=2)
@@ -77,8 +112,82 @@ def _encoder(path: str | None) -> _Encoder:
     for mark in "|~^@#":
         ids = tokenizer.encode(f"{mark} {mark}", add_special_tokens=False).ids
         if len(ids) == 2 and ids[0] == ids[1] and mark in tokenizer.id_to_token(ids[0]):
-            return _Encoder(tokenizer, {}, mark, ids[0])
-    return _Encoder(tokenizer, {}, "", -1)
+            return _Encoder(tokenizer, {}, mark, ids[0], plain=_plain(tokenizer))
+    return _Encoder(tokenizer, {}, "", -1, plain=_plain(tokenizer))
+
+
+def _plain(tokenizer) -> _Plain | None:
+    """None if the tokenizer is not of that kind, or does not end words in tokens of their own."""
+    from tokenizers import Tokenizer
+
+    spec = json.loads(tokenizer.to_str())
+    steps, model = (spec["pre_tokenizer"] or {}).get("pretokenizers"), spec["model"]
+    if not steps or spec["normalizer"] != _NORMALIZER or steps[0] != _SPLIT or len(steps) != 2:
+        return None
+    if steps[1]["type"] != "ByteLevel" or steps[1]["use_regex"] or steps[1]["add_prefix_space"]:
+        return None
+    end = model.get("end_of_word_suffix")
+    if model["type"] != "BPE" or not end or model["dropout"] or model["unk_token"] or model["byte_fallback"]:
+        return None
+    last = np.zeros(1 + max(model["vocab"].values()), bool)
+    last[[number for token, number in model["vocab"].items() if token.endswith(end)]] = True
+    spec["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+    spec.update(normalizer=None, added_tokens=[], post_processor=None)
+    added = [t["content"].lower().encode() for t in json.loads(tokenizer.to_str())["added_tokens"]]
+    return _Plain(Tokenizer.from_str(json.dumps(spec)), last, added)
+
+
+def _parted(texts: list[bytes], added: list[bytes]) -> list[bytes]:
+    """The texts in small ASCII letters, with a space before punctuation that ends a word after a
+    letter, so that far fewer different words are left.
+
+    Texts with added tokens, or with accents of their own (U+0300 to U+037F), which compose with
+    some letters in one case only, stay as they are.
+    """
+    small = [t.lower() for t in texts]
+    safe = [
+        k
+        for k, t in enumerate(small)
+        if b"\xcc" not in t and b"\xcd" not in t and not any(a in t for a in added)
+    ]
+    out = list(texts)
+    joined = b"".join([small[k] + b"\n" for k in safe])
+    raw = np.frombuffer(b"\n\n" + joined, np.uint8)
+    marks = np.flatnonzero(_IS_MARK[raw])
+    if len(marks):
+        gaps = np.flatnonzero(np.diff(marks) > 1)
+        first, after = marks[np.r_[0, gaps + 1]], marks[np.r_[gaps, -1]] + 1
+        letter = _IS_SMALL[raw[first - 1]] | (_IS_LATIN[raw[first - 1]] & (raw[first - 2] == 0xC3))
+        cuts = first[letter & _IS_SPACE[raw[after]]]
+        joined = np.insert(raw, cuts, 0x20).tobytes()[2:]
+        cuts -= 2
+    else:
+        cuts = marks
+    ends = np.cumsum([len(small[k]) + 1 for k in safe], dtype=np.int64)
+    ends += np.searchsorted(cuts, ends)
+    for k, a, b in zip(safe, [0, *ends.tolist()], ends.tolist()):
+        out[k] = joined[a:b]
+    return out
+
+
+def _encode_new(encoder: _Encoder, words: list[bytes]) -> dict[bytes, bytes]:
+    """Ids of each word, plain ones without normalizing and matching them."""
+    if encoder.plain is None:
+        return dict(zip(words, _encode_words(encoder, words)))
+    plain = [w for w in words if _PLAIN.fullmatch(w)]
+    rest = [w for w in words if not _PLAIN.fullmatch(w)]
+    new = dict(zip(rest, _encode_words(encoder, rest)))
+    groups = [plain[at : at + _JOINED] for at in range(0, len(plain), _JOINED)]
+    joined = [b" ".join(g).decode() for g in groups]
+    for group, coded in zip(groups, _ids(encoder.plain.tokenizer, joined)):
+        ids = np.array(coded, np.uint32)
+        ends = (4 * np.flatnonzero(encoder.plain.last[ids]) + 4).tolist()
+        if len(ends) != len(group):  # the vocabulary lacks some last character
+            new.update(zip(group, _encode_words(encoder, group)))
+            continue
+        raw = ids.tobytes()
+        new.update(zip(group, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+    return new
 
 
 def _encode_words(encoder: _Encoder, words: list[bytes]) -> list[bytes]:
@@ -90,7 +199,7 @@ def _encode_words(encoder: _Encoder, words: list[bytes]) -> list[bytes]:
     rest = [k for k, t in enumerate(texts) if mark and mark not in t]
     groups = [rest[at : at + _JOINED] for at in range(0, len(rest), _JOINED)]
     joined = [f" {mark} ".join([texts[k] for k in g]) for g in groups]
-    for group, coded in zip(groups, _ids(encoder, joined)):
+    for group, coded in zip(groups, _ids(encoder.tokenizer, joined)):
         ids = np.array(coded, np.uint32)
         cuts = 4 * np.flatnonzero(ids == encoder.mark_id)
         if len(cuts) + 1 != len(group):  # the mark came out of some word after all
@@ -99,15 +208,15 @@ def _encode_words(encoder: _Encoder, words: list[bytes]) -> list[bytes]:
         raw = ids.tobytes()
         for k, a, b in zip(group, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]):
             out[k] = raw[a:b]
-    for k, coded in zip(alone, _ids(encoder, [texts[k] for k in alone], _TEXTS * _JOINED)):
+    for k, coded in zip(alone, _ids(encoder.tokenizer, [texts[k] for k in alone], _TEXTS * _JOINED)):
         out[k] = array("I", coded).tobytes()
     return out
 
 
-def _ids(encoder: _Encoder, texts: list[str], together: int = _TEXTS) -> Iterator[list[int]]:
+def _ids(tokenizer, texts: list[str], together: int = _TEXTS) -> Iterator[list[int]]:
     """Ids of each text, ``together`` of them encoded at a time."""
     for at in range(0, len(texts), together):
-        for c in encoder.tokenizer.encode_batch_fast(texts[at : at + together], add_special_tokens=False):
+        for c in tokenizer.encode_batch_fast(texts[at : at + together], add_special_tokens=False):
             yield c.ids
 
 
@@ -119,7 +228,8 @@ def _encode(texts: list[bytes | None], path: str | None) -> Iterator[bytes]:
     words in order, and each distinct word needs to be encoded once.
     """
     encoder = _encoder(path)
-    split = [(text or b"").split() for text in texts]
+    texts = [text or b"" for text in texts]
+    split = [text.split() for text in (_parted(texts, encoder.plain.added) if encoder.plain else texts)]
     found = [list(map(encoder.known.get, ws)) for ws in split]
     lacking = [k for k, parts in enumerate(found) if None in parts]
     new: dict[bytes, bytes] = {}
@@ -127,7 +237,7 @@ def _encode(texts: list[bytes | None], path: str | None) -> Iterator[bytes]:
         words = {w for k in lacking for w, p in zip(split[k], found[k]) if p is None}
         new = {w: encoder.older[w] for w in words if w in encoder.older}
         unseen = [w for w in words if w not in new]
-        new.update(zip(unseen, _encode_words(encoder, unseen)))
+        new.update(_encode_new(encoder, unseen))
         if len(encoder.known) + len(new) > CACHED_WORDS:
             encoder.known, encoder.older = {}, encoder.known  # these texts have what they need
         encoder.known.update(new)

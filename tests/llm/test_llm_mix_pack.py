@@ -158,6 +158,40 @@ def test_words_in_use_are_encoded_once_however_many_others_come(monkeypatch):
     assert len(encoder.known) <= 40 and len(encoder.older) <= 40
 
 
+def test_words_in_other_cases_and_before_punctuation_are_encoded_once(monkeypatch):
+    asked = []
+    encode_new = packing._encode_new
+
+    def counted(encoder, words):
+        asked.extend(words)
+        return encode_new(encoder, words)
+
+    known = packing._encoder(None)
+    other = packing._Encoder(known.tokenizer, {}, known.mark, known.mark_id, plain=known.plain)
+    monkeypatch.setattr(packing, "_encoder", lambda path: other)
+    monkeypatch.setattr(packing, "_encode_new", counted)
+    text = "Harbour harbour, HARBOUR. harbour!!! caf\u00e9 caf\u00e9, harbour."
+    ids = known.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(next(packing._encode([text.encode()], None)), "<u4").tolist() == [*ids, 1]
+    assert sorted(asked) == [b"!!!", b",", b".", b"caf\xc3\xa9", b"harbour"]
+
+
+def test_parted_texts_have_the_ids_of_whole_ones():
+    """Accents of their own, added tokens, contractions, signs between letters, bytes that are no text."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(VOCABULARY))
+    signs = ["h", "H", "E", "s", "S", "\u00e9", "\u00c9", "\u00d7", "\u00f7", "\u00df", "\u0130", "\u03a3", "\u212a"]
+    signs += ["\u0331", "\u0301", "\u0338", "'", "'s", "'LL", ".", "=", "|", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    signs += ["7", "\u00b2", "\u00aa", "\u00ab", "\u2026", "\u4e2d", " ", " ", "\n", "\x1c", "\x85", "\u00a0", "\x00", "\ufffd"]
+    rng = random.Random(7)
+    texts = ["".join(rng.choices(signs, k=rng.randrange(30))) for _ in range(3_000)]
+    texts += ["x", "x.", ".", "\u00e9.", "", " ", "no marks here"]
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        for text, coded in zip(part, packing._encode([t.encode() for t in part], None)):
+            ids = tokenizer.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(coded, "<u4").tolist() == [*ids, 1], text
+
+
 def test_packing_is_whole_and_tight(spark, monkeypatch):
     docs = edge_docs(spark, [(i, " ".join(prose(i, 5 + i % 90)), "en", "a") for i in range(600)])
     pieces = token_pieces(docs)

@@ -8,6 +8,7 @@ import tracemalloc
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_frames import documents, edge_docs, edge_rows, prose
 from pyspark.sql import functions as F
@@ -64,6 +65,39 @@ def test_shingle_hashes_leave_nothing_in_the_worker():
     assert left < 500_000  # 20,000 words
 
 
+def test_word_hashes_tell_words_apart_wherever_they_stand():
+    """Words around the ends of pieces, longer than a piece, of zero bytes; A-Z as small letters."""
+    rng, first = random.Random(3), {}
+    odd = [b"\x00", b"\x00\x00", b"a\x00", b"\x00a", b"\xff", b"\x08", b"\x0e", "\u00e9\u00c9".encode()]
+    odd += [b"ab", b"ba", b"AB", b"x" * 70_000, b"x" * 70_001, b"y" + b"x" * 140_000]
+    odd += [f"w{k}".encode() for k in range(20_000)]
+    for _ in range(20):
+        chosen = rng.choices(odd, k=30_000) if rng.random() < 0.5 else rng.sample(odd, 12_000)
+        text = b"".join(w + rng.choice((b" ", b"\n", b" \t\r", b"\x0b\x0c")) for w in chosen)
+        text = rng.choice((b"", b" ", b"\n\n")) + text.rstrip() * rng.choice((0, 1))
+        split = text.lower().split()
+        hashes = jj.word_hashes(text).tolist()
+        assert len(hashes) == len(split)
+        assert all(first.setdefault(w, h) == h for w, h in zip(split, hashes))
+    assert len(set(first.values())) == len(first) > 10_000
+
+
+def test_a_block_is_linked_without_pandas():
+    """A block has a few sets as a rule, so a frame per block takes longer than its links."""
+    sets = [np.arange(n, dtype=np.uint64).tobytes() for n in (100, 99, 50, 100)]
+    block = pa.table(
+        {
+            "candidate": [7] * 5,
+            "block": [0] * 5,
+            "set_key": [4, 3, 9, 1, 4],
+            "tokens": [sets[0], sets[1], sets[2], sets[3], sets[0]],
+            "label": [4, 3, 9, 1, 4],
+            "probe": [False, True, True, False, True],
+        }
+    )
+    assert jj._block_links(block).to_pylist() == [{"candidate": 7, "a": a, "b": 1} for a in (3, 4)]
+
+
 @pytest.mark.parametrize("block_sets", [256, 3])
 def test_jaccard_join(spark, monkeypatch, block_sets):
     docs = edge_docs(spark, [*edge_rows(), *related_rows()])

@@ -9,6 +9,7 @@ from itertools import product
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
+    GBTClassificationModel,
     GBTClassifier,
     LogisticRegression,
     RandomForestClassifier,
@@ -164,6 +165,23 @@ def boosted_trees(params: dict | None = None, seed: int = SEED) -> GBTClassifier
     return GBTClassifier(labelCol=LABEL, seed=seed, **settings)
 
 
+def first_trees(model: GBTClassificationModel, count: int) -> GBTClassificationModel:
+    """The model that a fit of ``count`` rounds gives, taken from a fit of more rounds.
+
+    Spark draws each round's rows and features by the seed and the round's number, so the first
+    trees do not depend on how many follow.
+    """
+    context = SparkSession.active().sparkContext
+    jvm, fitted = context._jvm, model._to_java()
+    trees = context._gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, count)
+    weights = context._gateway.new_array(jvm.double, count)
+    for i, (tree, weight) in enumerate(zip(fitted.trees()[:count], fitted.treeWeights()[:count])):
+        trees[i], weights[i] = tree, weight
+    kind = jvm.org.apache.spark.ml.classification.GBTClassificationModel
+    cut = GBTClassificationModel(kind(fitted.uid(), trees, weights))
+    return model._copyValues(cut, {cut.maxIter: count})
+
+
 def fit_until_settled(
     vectors: Assembled, params: dict | None = None, seed: int = SEED, progress: str | None = None
 ) -> BookingModel:
@@ -171,7 +189,7 @@ def fit_until_settled(
 
     The rounds are doubled from :data:`FIRST_ROUNDS` on until the smallest validation error lies in
     their first half, so the last half of the rounds has brought nothing. The model then has the
-    trees up to that smallest error; a fit of fewer rounds has the same first trees. Each turn is
+    trees up to that smallest error, taken from the last turn (:func:`first_trees`). Each turn is
     appended to the folder ``progress``, and a fit that was stopped goes on after the last turn
     found there. Without validation rows all rounds are made.
     """
@@ -194,8 +212,11 @@ def fit_until_settled(
         if 2 * turns[rounds] <= rounds or rounds == most:
             break
         rounds, model = min(2 * rounds, most), None
-    if model is not None and model.classifier.getNumTrees == turns[rounds]:
-        return model
+    if model is not None:
+        kept = model.classifier
+        if kept.getNumTrees > turns[rounds]:
+            kept = first_trees(kept, turns[rounds])
+        return BookingModel(model.rates, PipelineModel([vectors.assembler, kept]))
     return vectors.fit(boosted_trees({**params, "maxIter": turns[rounds]}, seed), held_out=True)
 
 

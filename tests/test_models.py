@@ -319,3 +319,24 @@ def test_models_score_in_a_session_that_observed_a_query(spark):
     }
     compared, models = M.compare_models(rows, rows, candidates)
     assert compared.count() == 2 and not any(m.classifier.hasSummary for m in models.values())
+
+
+def test_the_settled_model_is_taken_from_the_last_turn(spark, vectors, tmp_path, monkeypatch):
+    monkeypatch.setattr(M, "FIRST_ROUNDS", 4)
+    fits, params = [], {"maxIter": 4, "maxDepth": 3, "stepSize": 1.0, "subsamplingRate": 0.85}
+    whole = M.Assembled.fit
+    monkeypatch.setattr(M.Assembled, "fit", lambda self, c, held_out=False: fits.append(c.getMaxIter()) or whole(self, c, held_out))
+    # The smallest error is put at the second tree, whatever the rows.
+    monkeypatch.setattr(M.GBTClassificationModel, "evaluateEachIteration", lambda self, df: [3.0, 1.0, 2.0, 2.0])
+    model = M.fit_until_settled(vectors, params)
+    assert fits == [4] and model.classifier.getNumTrees == 2  # not fitted a second time
+    short = whole(vectors, M.boosted_trees({**params, "maxIter": 2}), True)
+    model.save(str(tmp_path / "model"))
+    loaded = M.BookingModel.load(spark, str(tmp_path / "model"))
+    expected = [tuple(r) for r in short.classifier.transform(vectors.frame).select("probability", "prediction").collect()]
+    for kept in (model, loaded):
+        rows = kept.classifier.transform(vectors.frame).select("probability", "prediction").collect()
+        assert [tuple(r) for r in rows] == expected
+        assert kept.classifier.getMaxIter() == 2 and kept.classifier.getOrDefault("maxDepth") == 3
+        assert kept.classifier.treeWeights == short.classifier.treeWeights
+        assert kept.classifier.featureImportances.toArray() == pytest.approx(short.classifier.featureImportances.toArray())

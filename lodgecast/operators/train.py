@@ -178,7 +178,7 @@ def first_trees(model: GBTClassificationModel, count: int) -> GBTClassificationM
     for i, (tree, weight) in enumerate(zip(fitted.trees()[:count], fitted.treeWeights()[:count])):
         trees[i], weights[i] = tree, weight
     kind = jvm.org.apache.spark.ml.classification.GBTClassificationModel
-    cut = GBTClassificationModel(kind(fitted.uid(), trees, weights))
+    cut = GBTClassificationModel(kind(fitted.uid(), trees, weights, model.numFeatures, model.numClasses))
     return model._copyValues(cut, {cut.maxIter: count})
 
 

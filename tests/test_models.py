@@ -339,4 +339,5 @@ def test_the_settled_model_is_taken_from_the_last_turn(spark, vectors, tmp_path,
         assert [tuple(r) for r in rows] == expected
         assert kept.classifier.getMaxIter() == 2 and kept.classifier.getOrDefault("maxDepth") == 3
         assert kept.classifier.treeWeights == short.classifier.treeWeights
+        assert kept.classifier.numFeatures == short.classifier.numFeatures > 0 and kept.classifier.numClasses == 2
         assert kept.classifier.featureImportances.toArray() == pytest.approx(short.classifier.featureImportances.toArray())

@@ -160,7 +160,8 @@ def fit_label_rates(
     for k, (n, p) in others.items():
         overall = F.when(F.col("_fold") == k, F.lit(p / n if n else 0.0)).otherwise(overall)
         total = F.when(F.col("_fold") == k, F.lit(float(n))).otherwise(total)
-    left = by_fold.withColumnsRenamed({"rows": "_rows", "positives": "_positives"}).join(table, ["column", "value"])
+    own = by_fold.withColumnsRenamed({"rows": "_rows", "positives": "_positives"})
+    left = lookup_join(own, table, ["column", "value"], rows_known=sum(sizes.values()))
     left = left.withColumns({"rows": F.col("rows") - F.col("_rows"), "positives": F.col("positives") - F.col("_positives")})
     left = stored(
         left.select("column", "value", "_fold", *_smoothed("rows", "positives", overall, total, smoothing)), "rates-of-others"

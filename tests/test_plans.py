@@ -228,3 +228,35 @@ def test_a_lookup_of_many_rows_is_not_built_on_the_driver(spark):
         assert joined.filter("v = 1").count() == 100
     small = lookup_join(left, table, ["k"], "left", rows_known=7)
     assert "strategy=broadcast" in small._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_salted_table_is_never_broadcast_by_spark(spark, monkeypatch):
+    """Its files are small, so Spark would build all its repeated rows on the driver."""
+    from lodgecast.plans import joins
+
+    left = stored(spark.range(3000).select((F.col("id") % 50).cast("string").alias("k"), "id"))
+    table = stored(spark.range(40).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("v")))
+    for repeated in (joins.SALTED_ROWS, 100, 10):  # 4 salts, 2, and none for want of room
+        monkeypatch.setattr(joins, "SALTED_ROWS", repeated)
+        for known in (None, 40):
+            joined = lookup_join(left, table, ["k"], "left", broadcast_rows=5, salts=4, rows_known=known)
+            assert joined.filter("v = 1").count() == 2400 and joined.count() == 3000
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_label_rates_of_many_values_are_joined_by_shuffle(spark, monkeypatch):
+    from lodgecast.operators.encode import fit_label_rates
+    from lodgecast.plans import joins
+
+    df = spark.range(2000).select(
+        F.col("id").cast("string").alias("booking_id"), (F.col("id") % 700).cast("string").alias("client"),
+        (F.col("id") % 2).cast("int").alias("booking_status"),
+    )
+    train = stored(df)
+    expected = sorted(map(tuple, fit_label_rates(train, ["client"])[1].collect()))
+    monkeypatch.setattr(joins.lookup_join, "__defaults__", ("inner", 50, 4, None))
+    rates, others = fit_label_rates(train, ["client"])
+    assert sorted(map(tuple, others.collect())) == expected
+    for frame in (others, rates.transform(train)):
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()

@@ -187,6 +187,24 @@ def test_one_bad_booking_rejects_its_request(bookings):
         validate_requests(df, "ignore")
 
 
+def test_many_rejected_requests_are_not_built_on_the_driver(spark, bookings, monkeypatch):
+    from lodgecast.plans import joins
+
+    monkeypatch.setattr(joins.lookup_join, "__defaults__", ("inner", 50, 4, None))
+    df = bookings({"booking_id": "a"}).drop("booking_id", "lead_time").crossJoin(
+        spark.range(400).select(
+            F.col("id").cast("string").alias("booking_id"),
+            (F.col("id") % 200).cast("string").alias("request_id"),
+            F.lit(0.5).alias("risk_share"),
+            F.when(F.col("id") < 150, -1).otherwise(3).alias("lead_time"),
+        )
+    )
+    valid, rejected = validate_requests(df)
+    assert valid.count() == 100 and rejected.count() == 300
+    for frame in (valid, rejected):
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
 DATES = [  # text, date
     ("1/5/99", "1999-01-05"), ("1/5/69", "1969-01-05"), ("1/5/68", "2068-01-05"), ("13/5/18", "2018-05-13"),
     ("2/29/00", "2000-02-29"), ("06-Jan-18", "2018-01-06"), ("10-Apr-2026", "2026-04-10"),

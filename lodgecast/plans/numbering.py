@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodgecast.plans.joins import BROADCAST_ROWS
 from lodgecast.plans.storage import stored
 
 _SLICE_BITS = 33  # Fixed value: monotonically_increasing_id keeps the row place in 33 bits.
@@ -49,6 +50,8 @@ def number_rows(
     counts = ordered.groupBy("_slice", *keys).agg(
         F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_rows")
     )
+    if keys:
+        counts = stored(counts, "numbering-counts")
     group = Window.partitionBy(*keys)
     earlier = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -61,9 +64,11 @@ def number_rows(
     for i, key in enumerate(keys):
         same = same & F.col(key).eqNullSafe(F.col(f"_group{i}"))
     # Without groups the offsets hold one row per slice, so their size is bounded by the number
-    # of sort partitions. With groups it grows with the data and Spark chooses the join; a join
-    # key (slice, group) never holds more than one slice of rows.
-    joined = ordered.join(offsets if keys else F.broadcast(offsets), same)
+    # of sort partitions. With groups it grows with the data: they are counted, and many are joined
+    # by shuffle, where Spark by the size of the files might build either side on the driver. A
+    # join key (slice, group) never holds more than one slice of rows.
+    few = not keys or counts.count() <= BROADCAST_ROWS
+    joined = ordered.join(F.broadcast(offsets) if few else offsets.hint("merge"), same)
     return joined.select(
         *df.columns, group_rows, (F.col("_place") + F.col("_shift")).alias(position)
     )

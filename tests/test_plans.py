@@ -260,3 +260,18 @@ def test_label_rates_of_many_values_are_joined_by_shuffle(spark, monkeypatch):
     assert sorted(map(tuple, others.collect())) == expected
     for frame in (others, rates.transform(train)):
         assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbers_of_many_groups_are_joined_by_shuffle(spark, monkeypatch):
+    """Neither the rows nor the places of their groups are built on the driver."""
+    from lodgecast.plans import numbering
+
+    df = stored(spark.range(2000).select(F.when(F.col("id") % 5 > 0, F.col("id") % 300).alias("g"), "id"))
+    by_id = Window.partitionBy("g").orderBy("id")
+    expected = sorted(map(repr, df.select("g", "id", F.row_number().over(by_id).alias("position")).collect()))
+    for bound, broadcast in ((20_000, True), (50, False)):
+        monkeypatch.setattr(numbering, "BROADCAST_ROWS", bound, raising=False)
+        numbered = number_rows(df, [F.col("id").asc()], within=["g"])
+        assert sorted(map(repr, numbered.select("g", "id", "position").collect())) == expected
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+        assert ("Broadcast" in plan) == broadcast

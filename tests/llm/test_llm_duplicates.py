@@ -20,6 +20,7 @@ from lodgecast.llm.components import components
 from lodgecast.llm.fm_index import FmIndex
 from lodgecast.llm.substring_dedup import drop_repeated_windows, substring_report
 from lodgecast.plans.storage import stored
+from lodgecast.session import scratch_noted
 
 
 def related_rows(count: int = 40) -> list[tuple]:
@@ -110,6 +111,40 @@ def test_jaccard_join(spark, monkeypatch, block_sets):
     assert len({r[2] for r in by_hand}) < len(by_hand) - 10
 
 
+def test_blocks_meet_in_rounds_of_bounded_size(spark, monkeypatch):
+    """Asking sets of a large group meet all its blocks; not all of that lies on disk at once."""
+    texts = {i: " ".join(prose(50 + i, 60)) for i in range(60)}
+    texts |= {100 + i: f"{texts[i]} end" for i in range(0, 60, 7)}
+    docs = stored(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    whole, join, sent = jj.set_labels, jj._join_blocks, []
+
+    def counted(blocks):
+        sent.append(blocks.count())
+        return join(blocks)
+
+    monkeypatch.setattr(jj, "candidate_groups", lambda p: p.select("set_key", F.lit(1).cast("long").alias("candidate")))
+    monkeypatch.setattr(jj, "set_labels", lambda d, p, l: whole(d, p, l, 3))
+    monkeypatch.setattr(jj, "_join_blocks", counted)
+    monkeypatch.setattr(jj, "ROUND_SETS", 0, raising=False)
+    found = sorted((r.doc_id, r.component_id) for r in jj.near_duplicate_report(docs).collect())
+    assert found == sorted((r[0], r[2]) for r in groups_by_hand(documents(docs)))
+    assert len({c for _, c in found}) < len(found)
+    between = sent[1:]  # the first call is inside the blocks
+    assert sum(between) > 8 * len(texts) and max(between) <= 4 * len(texts)
+
+
+def test_intermediates_go_when_they_are_used(spark):
+    import os
+
+    docs = edge_docs(spark, related_rows())
+    with scratch_noted() as written:
+        found = jj.near_duplicates(docs)
+        assert found.count() == docs.count()
+    left = [p for p in written if os.path.exists(p)]
+    assert sorted(os.path.basename(p).rsplit("-", 1)[0] for p in left) == ["set-groups", "smallest"]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_one_per_group(spark):
     docs = edge_docs(spark, [*edge_rows(), *related_rows()])
     kept = jj.one_per_group(docs)
